@@ -78,12 +78,22 @@ def _flight(chance: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.
     return np.array(p), open_
 
 
-def _landing(chance: np.ndarray, size: np.ndarray, open_: list[int]) -> np.ndarray:
-    """The landing phase: of all ways to settle the open units, the one whose sizes sum nearest to what is due."""
-    due = sum(chance[i] * size[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: abs(sum(size[i] for j, i in enumerate(open_) if m >> j & 1) - due))
+def _landing(start: np.ndarray, chance: np.ndarray, size: np.ndarray, open_: list[int]) -> np.ndarray:
+    """The landing phase: settles the open units, then the sum of sizes.
+
+    Of all ways to settle them it takes the one whose sizes sum nearest to what the chances ``start`` give. A long
+    document can still leave a gap of half its length; units that had a choice, the largest that fit the gap
+    first, are picked or dropped to close it.
+    """
+    due = float((start * size).sum()) - float((chance * size).sum())
+    best = min(range(1 << len(open_)), key=lambda m: abs(due - sum(size[i] * ((m >> j & 1) - chance[i]) for j, i in enumerate(open_))))
     for j, i in enumerate(open_):
+        due -= size[i] * ((best >> j & 1) - chance[i])
         chance[i] = best >> j & 1
+    for i in np.argsort(-size, kind="stable").tolist():
+        if 0.0 < start[i] < 1.0 and 0.0 < size[i] <= abs(due) and chance[i] == (due < 0):
+            due -= size[i] * (1.0 - 2.0 * chance[i])
+            chance[i] = 1.0 - chance[i]
     return chance
 
 
@@ -95,8 +105,9 @@ def _group_flight(size: str, seed: int, last: bool) -> Callable[[pa.Table], pa.T
         rank = np.lexsort((order, -z))  # the largest settle first, so what lands is small
         rows, z = rows.take(pa.array(rank)), z[rank]
         draw = np.random.Generator(np.random.PCG64([seed, len(z), int(order[rank[0]]) & (2**63 - 1)])).random(len(z))
-        p, open_ = _flight(rows["_p"].to_numpy(), z, draw)
-        p = _landing(p, z, open_) if last else p
+        start = rows["_p"].to_numpy()
+        p, open_ = _flight(start, z, draw)
+        p = _landing(start, p, z, open_) if last else p
         kept = [c for c in rows.column_names if c not in ("_p", "_order", "_group")]
         return rows.select(kept).append_column("_p", pa.array(p)).append_column("_open", pa.array((p > 0) & (p < 1))).append_column("_order", rows["_order"])
 
