@@ -107,7 +107,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
         runs = np.zeros(n - k + 1, np.uint64)
         for j in range(k):
             runs = runs * _STEP + hashes[j : n - k + 1 + j]
-        runs = mix(runs + _U(k) * _LENGTH)
+        runs = mix(runs + _U(k * int(_LENGTH) % 2**64))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= k:
@@ -120,7 +120,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
             h = np.zeros(1, np.uint64)
             for j in range(a, b):
                 h = h * _STEP + hashes[j]
-            out.append(mix(h + _U(b - a) * _LENGTH))
+            out.append(mix(h + _U((b - a) * int(_LENGTH) % 2**64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
