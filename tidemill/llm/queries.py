@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, quality
+from . import exact_dedup, jaccard, mixing, packing, quality, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -47,7 +51,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup]
     return {f.__name__: f for f in own}
 
 
