@@ -114,7 +114,7 @@ def _group_flight(size: str, seed: int, last: bool) -> Callable[[pa.Table], pa.T
     return fly
 
 
-def cube_sample(units: DataFrame, stratum: str, chance: str, size: str, order: Column, group_rows: int = 20_000) -> DataFrame:
+def cube_sample(units: DataFrame, stratum: str, chance: str, size: str, order: Column, group_rows: int = 4_000) -> DataFrame:
     """``units`` with ``picked`` (0 or 1): a balanced sample with the inclusion probabilities ``chance``.
 
     Within each ``stratum``, the number picked and the sum of their ``size`` keep to what the chances give. Units
@@ -157,7 +157,7 @@ def mix_sources(
     weights: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     seed: int = 17,
-    group_rows: int = 20_000,
+    group_rows: int = 4_000,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``size`` (words), ``source``, ``source_size``, ``target`` and ``copies``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, quality, toxicity
+from . import exact_dedup, jaccard, mixing, packing, ppm, quality, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -50,8 +50,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = toxicity.held_out("doc_id", 10, 0)
+    scored = ppm.ppm_scores(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup, op8_ppm_scores]
     return {f.__name__: f for f in own}
 
 
