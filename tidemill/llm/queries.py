@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, ppm, quality, toxicity
+from . import exact_dedup, html_text, jaccard, mixing, packing, ppm, quality, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -57,8 +57,12 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup, op8_ppm_scores]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup, op8_ppm_scores, op9_main_text]
     return {f.__name__: f for f in own}
 
 
