@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard, mixing, packing, ppm, quality, toxicity
+from . import exact_dedup, html_text, jaccard, mixing, packing, pii, ppm, quality, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +46,14 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place_pieces(cut, docs.count(), F.xxhash64("doc_id"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -61,8 +69,18 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, before and after their personal data is masked."""
+    found = pii.base_spans(F.coalesce("text", F.lit("")))
+    # of spans of several kinds that overlap, the earliest is masked
+    masked = lambda spans, mask: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("text")))
+    edits = F.concat(*[masked(spans, f"[{kind}]") for kind, spans in found.items()])
+    docs = _documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits"))
+    return token_counts.edited_token_counts(docs, vocabulary("byte_bpe_50k.json"), edits_col="edits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op7_exact_dedup, op8_ppm_scores, op9_main_text]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op6_personal_data, op7_exact_dedup, op8_ppm_scores, op9_main_text, op10_token_counts]
     return {f.__name__: f for f in own}
 
 
