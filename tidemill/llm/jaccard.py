@@ -19,7 +19,7 @@ _U = np.uint64
 def _group_bits(n: int) -> int:
     """How many top bits of a hash name its group, for sets of ``n`` shingles in one band (powers of two)."""
     band = n.bit_length() - 1
-    return 6 if band < 5 else band if band < 8 else band - 1
+    return max(5, band - 1)
 
 
 def _group_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -216,6 +216,15 @@ def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterat
             uw.append(0)
         return ua, ub, uw
 
+    def two(batch: pa.RecordBatch, at: np.ndarray) -> tuple[list[int], list[int | None], list[int]]:
+        """All groups of two rows of a batch at once, without verifying."""
+        ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+        vec = batch.column("vec")
+        both = [np.frombuffer(b"".join(vec.take(pa.array(at + k)).to_pylist()), np.int32).reshape(-1, dims) for k in (0, 1)]
+        bound = np.minimum(*both).sum(axis=1, dtype=np.int64)
+        live = at[(num + den) * bound >= num * (n[at] + n[at + 1])]
+        return ids[live].tolist(), ids[live + 1].tolist(), [0] * len(live)
+
     def out(found: tuple[list[int], list[int | None], list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], ["u", "v", "w"])
 
@@ -228,7 +237,15 @@ def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterat
                 yield out(group(pa.Table.from_batches(held)))
                 held = []
             found: tuple[list, list, list] = ([], [], [])
+            inner = np.array([0, *cuts], np.int64)
+            pair = np.flatnonzero(np.diff(inner) == 2) if not verify else np.empty(0, np.int64)
+            pair = pair[pair > 0] if held else pair
+            for x, y in zip(found, two(batch, inner[pair])):
+                x.extend(y)
+            done = set(inner[pair].tolist())
             for a, b in zip([0, *cuts], cuts):
+                if a in done:
+                    continue
                 held.append(batch.slice(a, b - a))
                 for x, y in zip(found, group(pa.Table.from_batches(held))):
                     x.extend(y)
@@ -252,6 +269,21 @@ def _within(rows: DataFrame, num: int, den: int, dims: int, verify: bool, tile_r
     return tiled.mapInArrow(_join_tiles(num, den, dims, verify), "u bigint, v bigint, w bigint")
 
 
+def _blocks(keys: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(component, id): the rows that share a key, once for each set of rows that share any.
+
+    Keys are counted by partition first. Those of two rows say which two; only keys of more are looked up again,
+    and of keys with the same rows one is kept.
+    """
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).filter("low < high"), "shared")
+    two = shared.filter("rows = 2").select("low", "high").distinct()
+    two = two.select(F.xxhash64("low", "high").alias("component"), F.explode(F.array("low", "high")).alias("id"))
+    many = written(keys.join(few(shared.filter("rows > 2").select("key")), "key").distinct(), "many")
+    alike = many.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), F.count("*").alias("rows"))
+    alike = alike.groupBy("members", "rows").agg(F.min("key").alias("key")).select("key")
+    return two.union(many.join(few(alike), "key").select(F.col("key").alias("component"), "id"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -268,11 +300,11 @@ def ngram_jaccard_join(
     One row per row of ``docs``: id, ``n_shingles`` (set size), ``component_id`` (the smallest id reachable by links,
     its own included) and ``n_links`` (documents it links with, equal sets included).
 
-    Shingles are hashed into groups. Documents that can link share a group's content, which routes them without
-    comparing all with all; what is routed together forms candidate classes. In each, the counts of ``dims`` groups
-    are points of an R-tree, the summed coordinate minima bound the overlap, and rows that no surviving pair
-    connects part. The sets of what is left are read from the texts again and every surviving pair is verified.
-    Documents with equal sets are one point. Large classes are joined by pairs of tiles of ``tile_rows`` points; no
+    Shingles are hashed into groups. Documents that can link share a group's content, which routes them into blocks
+    without comparing all with all. In each block, the counts of ``dims`` groups are points of an R-tree and the
+    summed coordinate minima bound the overlap; what surviving pairs connect is a candidate class. The sets of
+    those are read from the texts again, and every pair in a class that survives the bound is verified. Documents
+    with equal sets are one point. Large blocks and classes are joined by pairs of tiles of ``tile_rows`` points; no
     pair leaves a task, only link counts and a spanning forest.
 
     Texts of fewer than ``k`` words have their whole word sequence as one shingle; null texts and texts without
@@ -287,16 +319,11 @@ def ngram_jaccard_join(
     known = points.filter("id is not null and n > 0")
     classes = written(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    keys = known.select(F.explode("keys").alias("key"), "id")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
-    stars = keys.join(shared, "key").filter("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
-    routed = components(stars)
-
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     singles = classes.select(F.col("rep").alias("id"), "copies")
-    candidates = written(routed.withColumnRenamed("node", "id").join(singles, "id"), "candidates")
-    rough = points.select("id", "n", "vec").dropDuplicates(["id"]).join(few(candidates), "id")
-    parted = components(_within(rough, num, den, dims, False, 4 * tile_rows))
+    blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
+    vectors = known.select("id", "n", "vec").join(few(blocks.select("id").distinct()), "id").dropDuplicates(["id"])
+    parted = components(_within(blocks.join(vectors, "id"), num, den, dims, False, 4 * tile_rows))
     finer = written(parted.withColumnRenamed("node", "id").join(singles, "id"), "finer")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
