@@ -93,40 +93,45 @@ class ContextTrie:
     that remain share evenly. ``deep`` holds the grams of some longest contexts, ``base`` those counted over two.
     """
 
-    def __init__(self, base: tuple[np.ndarray, np.ndarray], deep: tuple[np.ndarray, np.ndarray], first: bool):
-        levels = [self._counts(base[0] & ((1 << 8 * (k + 1)) - 1), base[1]) for k in range(ORDER)]
-        levels.append(self._counts(*deep))
-        empty = np.zeros((1, 256))
-        self.rows, parents = [], [(np.zeros(1, np.int64), empty, empty)]
-        for k, (contexts, counts) in enumerate(levels):
-            seen, total = counts > 0, counts.sum(1, keepdims=True)
-            kinds = seen.sum(1, keepdims=True)
-            escape = kinds / np.maximum(total + kinds, 1)
-            if k == 0:
-                rest = (255 - kinds[0, 0]) if len(contexts) else 255
-                below = np.full((len(contexts), 256), 1.0 / max(rest, 1))
-            else:
-                up_contexts, up_counts, up_below = parents[-1]
-                at = np.searchsorted(up_contexts, contexts & ((1 << 8 * (k - 1)) - 1))
-                up = up_counts[at]
-                left = (up * ~seen).sum(1, keepdims=True)
-                more = (up > 0).sum(1, keepdims=True) - kinds
-                scale = np.maximum(left + more, 1e-30)
-                below = np.where(up > 0, up / scale, np.where(more > 0, more / scale, 1.0) * up_below[at])
-            p = np.where(seen, counts / np.maximum(total + kinds, 1), escape * below)
-            parents.append((contexts, counts, below))
-            with np.errstate(divide="ignore"):
-                row = np.log10(p)
-            row[:, _BEFORE] = 0.0
-            self.rows.append(row.astype(np.float32))
-        self.contexts = [c for c, _ in levels]
-        self.first = first
+    def __init__(self, base: tuple[np.ndarray, np.ndarray], deep: tuple[np.ndarray, np.ndarray], first: bool, block: int = 2048):
+        self.first, self.contexts, self.rows = first, [], []
+        parents = None
+        for k in range(ORDER + 1):
+            grams, n = (base[0] & ((1 << 8 * (k + 1)) - 1), base[1]) if k < ORDER else deep
+            contexts, at = np.unique(grams >> 8, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            at, symbol, n = at[order], (grams & 255)[order], n[order]
+            rows = np.empty((len(contexts), 256), np.float32)
+            kept = [np.empty((len(contexts), 256), np.float32) for _ in range(2)] if k < ORDER else None
+            for x in range(0, len(contexts), block):
+                own = slice(*np.searchsorted(at, (x, x + block)))
+                part = contexts[x : x + block]
+                counts = np.bincount((at[own] - x) * 256 + symbol[own], n[own], 256 * len(part)).reshape(-1, 256)
+                rows[x : x + block], below = self._symbols(k, part, counts, parents)
+                if kept:
+                    kept[0][x : x + block], kept[1][x : x + block] = counts, below
+            self.contexts.append(contexts)
+            self.rows.append(rows)
+            parents = (contexts, *kept) if kept else None
 
     @staticmethod
-    def _counts(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        contexts, at = np.unique(grams >> 8, return_inverse=True)
-        counts = np.bincount(at * 256 + (grams & 255), n, 256 * len(contexts)).reshape(-1, 256)
-        return contexts, counts
+    def _symbols(k: int, contexts: np.ndarray, counts: np.ndarray, parents: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of all symbols in contexts of ``k`` bytes, and what an escape from them gives."""
+        seen, total = counts > 0, counts.sum(1, keepdims=True)
+        kinds = seen.sum(1, keepdims=True)
+        if k == 0:
+            below = np.full(counts.shape, 1.0 / max(255 - int(kinds[0, 0]), 1))
+        else:
+            at = np.searchsorted(parents[0], contexts & ((1 << 8 * (k - 1)) - 1))
+            up = parents[1][at].astype(np.float64)
+            left, more = (up * ~seen).sum(1, keepdims=True), (up > 0).sum(1, keepdims=True) - kinds
+            scale = np.maximum(left + more, 1e-30)
+            below = np.where(up > 0, up / scale, np.where(more > 0, more / scale, 1.0) * parents[2][at])
+        p = np.where(seen, counts, kinds * below) / (total + kinds)
+        with np.errstate(divide="ignore"):
+            row = np.log10(p)
+        row[:, _BEFORE] = 0.0
+        return row, below
 
     def table(self, all_deep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row of each three-byte context, flat log10 probabilities). Row 0 gives 0 for every symbol.
@@ -179,7 +184,7 @@ def _score(part: Broadcast, train_tokens: int, known_words: int) -> Callable[[It
                 c = np.zeros(len(h))
                 if len(words):
                     at = np.minimum(np.searchsorted(words, h.view(np.int64)), len(words) - 1)
-                    c = np.where(words[at] == h.view(np.int64), counts[at], 0)
+                    c = np.where(words[at] == h.view(np.int64), counts[at], 0).astype(np.float64)
                 gain = np.log10((c + 0.1) / 0.1)
                 n = np.diff(first)
                 found[0].append(n)
@@ -202,7 +207,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     ``base_score`` is a smoothed unigram model of lower-cased words, each text closed by one end token.
 
     All training texts are counted, by partition and then by key. The tables go out by broadcast in parts of at
-    most ``max_contexts`` longest contexts (1 KB each) and ``max_words`` words (16 bytes each), the contexts of up
+    most ``max_contexts`` longest contexts (1 KB each) and ``max_words`` words (12 bytes each), the contexts of up
     to two bytes being at most 65,793 rows more; with several parts, each is one more pass over the texts and the
     passes' sums are added by row. Null texts are empty and have the end token alone. Rows may repeat and have
     null ids. Without training rows all counts are 0, and all 255 symbols are alike.
@@ -217,11 +222,11 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     low = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     base = low["key"].to_numpy(), low["n"].to_numpy()
 
-    def pick(df: DataFrame, k: int, key: Column) -> tuple[np.ndarray, np.ndarray]:
+    def pick(df: DataFrame, k: int, key: Column, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
         own = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k).select("key", F.col("n").cast("double").alias("n")).toArrow()
         keys, n = own["key"].to_numpy(), own["n"].to_numpy()
         order = np.argsort(keys, kind="stable")
-        return keys[order], n[order]
+        return keys[order], n[order].astype(np.uint32) if small and n.max(initial=0) < 2**32 else n[order]
 
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_print") if parts > 1 else F.lit(0).cast("bigint").alias("_print"))
     every = None
@@ -230,7 +235,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _print bigint, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = None
     for k in range(parts):
-        own_words, own_counts = pick(words, k, F.col("key"))
+        own_words, own_counts = pick(words, k, F.col("key"), True)
         value = (uuid.uuid4().hex, base, pick(grams, k, F.shiftright("key", 8)), every, k == 0, own_words, own_counts)
         one = rows.mapInArrow(_score(spark.sparkContext.broadcast(value), int(tokens or 0), int(known)), schema)
         scored = one if scored is None else scored.union(one)
