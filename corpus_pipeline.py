@@ -5,17 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact_dedup, mixing, quality
+from tidemill.llm import exact_dedup, jaccard, mixing, packing, quality
 from tidemill.llm._store import written
+from tidemill.llm.queries import vocabulary
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids that are joined by broadcast at most; beyond, by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Documents that the quality rules keep."""
+    return quality.passing(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: that of the largest id."""
+    return exact_dedup.drop_duplicates(docs, broadcast_rows=BROADCAST_ROWS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (5 words, similarity 0.8): that of the smallest id. Rows without id stay."""
+    linked = written(jaccard.ngram_jaccard_join(docs, broadcast_rows=BROADCAST_ROWS), "linked")
+    gone = linked.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    mixed = written(mixed.filter("_copies > 0"), "mixed")
+    joined = docs.join(_few(mixed), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies"))).drop("col")
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 1024 tokens: a row per piece of a document."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
 
+STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 
-STAGES = [("quality", quality_stage)]
+#: No SQL expresses the mixing and packing stages; tests hold the others against plain loops.
 ORACLE_SQL = None
 
 
@@ -23,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

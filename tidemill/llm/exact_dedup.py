@@ -93,10 +93,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_print"))
-    rows = docs.count()
-    repeated = written(repeated_fingerprints(keyed, "_print", rows), "repeated")
-    few = repeated.count() <= broadcast_rows
-    repeated = F.broadcast(repeated) if few else repeated
+    repeated = _repeated(keyed, broadcast_rows)
     groups = (
         keyed.join(repeated, "_print", "left_semi")
         .groupBy("_print", "_text")
@@ -111,3 +108,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce(F.col("_id").eqNullSafe(F.col("keep_id")) | F.col("group_size").isNull(), F.lit(False)).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns; of equal rows one.
+
+    Only rows whose fingerprint is repeated are shuffled. Of rows of equal text and id, the largest by the other
+    columns stays, which have to be of comparable types.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"_print": F.xxhash64(text), "_text": text})
+    repeated = _repeated(keyed, broadcast_rows)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    best = F.max(F.struct(id_col, *rest, F.col(text_col).isNull().alias("_null"))).alias("_best")
+    groups = keyed.join(repeated, "_print", "left_semi").groupBy("_print", "_text").agg(best)
+    back = [F.when(~F.col("_best._null"), F.col("_text")).alias(c) if c == text_col else F.col("_best")[c].alias(c) for c in docs.columns]
+    return keyed.join(repeated, "_print", "left_anti").select(docs.columns).union(groups.select(back))
+
+
+def _repeated(keyed: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The repeated fingerprints, marked for broadcast while they are few."""
+    repeated = written(repeated_fingerprints(keyed, "_print", keyed.count()), "repeated")
+    return F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,9 +86,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no words and fails the base check. Ids are only passed on: null or repeated ids give a row each. Other
     columns are ignored, an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias(id_col), text.alias("_text"))
-    df = df.select(id_col, *[c.alias(k) for k, c in _measures(F.col("_text")).items()])
+    df = _rated(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", rules, min_words, max_repeat_percent)
+    return df.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "failed_rules")
+
+
+def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _rated(rows, "_row", rules, min_words, max_repeat_percent).filter("kept").select("_row.*")
+
+
+def _rated(df: DataFrame, carried: str, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int) -> DataFrame:
+    df = df.select(carried, *[c.alias(k) for k, c in _measures(F.col("_text")).items()])
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
@@ -102,12 +110,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     names = []
     for r in rules:
-        value = F.expr(r.measure.replace("/", "/ nullif(") + ", 0)" if "/" in r.measure else r.measure)
-        bad = reduce(lambda a, b: a | b, [c for c in (value < r.low if r.low is not None else None, value > r.high if r.high is not None else None) if c is not None])
+        value = F.expr(r.measure.replace("/ ", "/ nullif(") + ", 0)" if "/" in r.measure else r.measure)
+        bad = F.lit(False)
+        bad = bad | (value < r.low) if r.low is not None else bad
+        bad = bad | (value > r.high) if r.high is not None else bad
         names.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(r.name)))
     df = df.withColumn("base_failed", base).withColumn("failed_rules", F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "failed_rules")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 _SQL = r"""
