@@ -177,18 +177,26 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _join_tiles(num: int, den: int, dims: int, k: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Joins the rows of each (component, i, j), which arrive together: tile i with tile j, or with itself.
 
-    Pairs pass the R-tree; with ``verify`` their sets are compared too, and every row gets the number of links
-    (by copies) that it has here. Pairs leave as a forest that connects the same rows.
+    Rows have their set size and count vector, or for ``k`` words their text, of which the sets are made here. Pairs
+    pass the R-tree; sets are compared too, and then every row gets the number of links (by copies) that it has
+    here. Pairs leave as a forest that connects the same rows. Of rows that repeat an id one counts.
     """
+    verify = k is not None
 
     def group(rows: pa.Table) -> tuple[list[int], list[int | None], list[int]]:
         tile = rows["tile"].to_numpy()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        ids, n, copies = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["copies"].to_numpy()
-        vec = np.frombuffer(b"".join(rows["vec"].to_pylist()), np.int32).reshape(-1, dims)
+        ids, own = np.unique(rows["id"].to_numpy(), return_index=True)
+        rows, tile = rows.take(pa.array(own)), tile[own]
+        copies = rows["copies"].to_numpy()
+        if verify:
+            sets = [s for _, part in _shingle_sets(rows["text"].combine_chunks(), k) for s in part]
+            n, vec = np.array([len(s) for s in sets], np.int64), np.stack([_vector(s, dims) for s in sets])
+        else:
+            n, vec = rows["n"].to_numpy(), np.frombuffer(b"".join(rows["vec"].to_pylist()), np.int32).reshape(-1, dims)
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         if not len(left) or not len(right):
             return [], [], []
@@ -200,10 +208,6 @@ def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterat
         ub: list[int | None] = []
         uw: list[int] = []
         if verify and len(a):
-            flat = rows["sets"].combine_chunks()
-            off = flat.offsets.to_numpy()
-            values = flat.values.to_numpy().view(np.uint64)
-            sets = [values[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
             same = _overlaps(sets, a, b)
             linked = den * same >= num * (n[a] + n[b] - same)
             a, b = a[linked], b[linked]
@@ -218,6 +222,8 @@ def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterat
 
     def two(batch: pa.RecordBatch, at: np.ndarray) -> tuple[list[int], list[int | None], list[int]]:
         """All groups of two rows of a batch at once, without verifying."""
+        if not len(at):
+            return [], [], []
         ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
         vec = batch.column("vec")
         both = [np.frombuffer(b"".join(vec.take(pa.array(at + k)).to_pylist()), np.int32).reshape(-1, dims) for k in (0, 1)]
@@ -258,15 +264,21 @@ def _join_tiles(num: int, den: int, dims: int, verify: bool) -> Callable[[Iterat
     return run
 
 
-def _within(rows: DataFrame, num: int, den: int, dims: int, verify: bool, tile_rows: int) -> DataFrame:
-    """All pairs within each component, by pairs of tiles of about ``tile_rows`` rows: (u, v, w)."""
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("_n"))
-    tiled = rows.join(sizes.filter("_n > 1"), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = tiled.select("*", other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    columns = ["component", "i", "j", "tile", "id", "n", "copies", "vec", *(["sets"] if verify else [])]
-    tiled = tiled.select(columns).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return tiled.mapInArrow(_join_tiles(num, den, dims, verify), "u bigint, v bigint, w bigint")
+def _tiles(members: DataFrame, tile_rows: int) -> DataFrame:
+    """``members`` (component, id, copies) of components of two and more, once for each pair (i, j) of tiles that they are in.
+
+    A component has tiles of about ``tile_rows`` members.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("_n"))
+    tiled = members.join(sizes.filter("_n > 1"), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiled = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return tiled.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "copies")
+
+
+def _within(rows: DataFrame, join: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(u, v, w) from all pairs of tiles: the rows of each meet in one task, one pair after another."""
+    met = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return met.mapInArrow(join, "u bigint, v bigint, w bigint")
 
 
 def _blocks(keys: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -293,7 +305,7 @@ def ngram_jaccard_join(
     den: int = 100,
     dims: int = 64,
     tile_rows: int = 512,
-    broadcast_rows: int = 2_000_000,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Links of documents whose sets of ``k``-word shingles have Jaccard similarity of ``num/den`` or more.
 
@@ -302,8 +314,8 @@ def ngram_jaccard_join(
 
     Shingles are hashed into groups. Documents that can link share a group's content, which routes them into blocks
     without comparing all with all. In each block, the counts of ``dims`` groups are points of an R-tree and the
-    summed coordinate minima bound the overlap; what surviving pairs connect is a candidate class. The sets of
-    those are read from the texts again, and every pair in a class that survives the bound is verified. Documents
+    summed coordinate minima bound the overlap; what surviving pairs connect is a candidate class. The texts of
+    those are read again, and every pair in a class that survives the bound is verified. Documents
     with equal sets are one point. Large blocks and classes are joined by pairs of tiles of ``tile_rows`` points; no
     pair leaves a task, only link counts and a spanning forest.
 
@@ -322,20 +334,13 @@ def ngram_jaccard_join(
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     singles = classes.select(F.col("rep").alias("id"), "copies")
     blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
-    vectors = known.select("id", "n", "vec").join(few(blocks.select("id").distinct()), "id").dropDuplicates(["id"])
-    parted = components(_within(blocks.join(vectors, "id"), num, den, dims, False, 4 * tile_rows))
-    finer = written(parted.withColumnRenamed("node", "id").join(singles, "id"), "finer")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, sets in _shingle_sets(batch.column(1), k):
-                rest = [batch.column(c).slice(a, len(sets)) for c in (0, 2, 3)]
-                vec = pa.array([_vector(s, dims).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([len(s) for s in sets], pa.int64()), vec, _lists(sets)], ["id", "component", "copies", "n", "vec", "sets"])
-
-    exact = source.join(few(finer), "id").select("id", "text", "component", "copies").dropDuplicates(["id"])
-    exact = exact.mapInArrow(sets_of, "id bigint, component bigint, copies bigint, n bigint, vec binary, sets array<bigint>")
-    verified = written(_within(exact, num, den, dims, True, tile_rows), "verified")
+    tiles = written(_tiles(blocks, 4 * tile_rows), "tiles")
+    rough = known.select("id", "n", "vec").join(few(tiles), "id")
+    parted = components(_within(rough, _join_tiles(num, den, dims)))
+    finer = parted.withColumnRenamed("node", "id").join(singles, "id")
+    tiles = written(_tiles(finer, tile_rows), "tiles")
+    exact = source.join(few(tiles), "id").select("component", "i", "j", "tile", "id", "copies", "text")
+    verified = written(_within(exact, _join_tiles(num, den, dims, k)), "verified")
     linked = components(verified.filter("v is not null").select("u", "v"))
     counts = verified.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("links"))
 
