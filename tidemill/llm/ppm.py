@@ -199,7 +199,7 @@ def _score(part: Broadcast, train_tokens: int, known_words: int) -> Callable[[It
     return run
 
 
-def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_contexts: int = 1 << 17, max_words: int = 12_000_000) -> DataFrame:
+def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_contexts: int = 1 << 17, max_words: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``score`` is the log10 probability of the text's bytes and its end under a byte-context trie of order three

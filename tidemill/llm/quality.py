@@ -93,7 +93,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return _rated(rows, "_row", rules, min_words, max_repeat_percent).filter("kept").select("_row.*")
+    rated = _rated(rows, "_row", rules, min_words, max_repeat_percent)
+    # beside a column like this the verdict isn't copied into the filter, where it would be computed for every use
+    return rated.withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")
 
 
 def _rated(df: DataFrame, carried: str, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int) -> DataFrame:
