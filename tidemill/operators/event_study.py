@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import net_return
-from .segments import ORDERED
+from .segments import ordered
 
 # Fee and slippage of the registered cost cases, and the execution delays in bars.
 COST_CASES = (("baseline", 0.001, 0.0005), ("stress_1", 0.0015, 0.001), ("stress_2", 0.0025, 0.0015))
@@ -95,7 +95,7 @@ def eligible_benchmark(seg: DataFrame, eligible: DataFrame, fee: float, slip: fl
 
 def conditional_control(seg: DataFrame, condition: Column, delay: int) -> DataFrame:
     """Mean close-to-close return ``delay`` bars later: where ``condition`` holds, everywhere, and the difference."""
-    later = F.lead("close", delay).over(ORDERED) / F.lead("close", delay - 1).over(ORDERED) - 1 if delay > 1 else F.lead("close", 1).over(ORDERED) / F.col("close") - 1
+    later = F.lead("close", delay).over(ordered()) / F.lead("close", delay - 1).over(ordered()) - 1 if delay > 1 else F.lead("close", 1).over(ordered()) / F.col("close") - 1
     df = seg.withColumns({"_r": later, "_c": condition}).filter("bar_idx >= 1 and _r is not null")
     hit = F.when(F.coalesce("_c", F.lit(False)), F.col("_r"))
     out = df.agg(F.count(hit).alias("conditional_events"), F.count("*").alias("control_events"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("conditional_mean"), F.coalesce(F.avg("_r"), F.lit(0.0)).alias("control_mean"))

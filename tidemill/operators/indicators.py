@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import ORDERED, frame
+from .segments import ordered, frame
 
 
 def _col(c: str | Column) -> Column:
@@ -21,7 +21,7 @@ def _full(value: Column, needed: int) -> Column:
 
 
 def lag(c: str | Column, k: int) -> Column:
-    return F.lag(c, k).over(ORDERED)
+    return F.lag(c, k).over(ordered())
 
 
 def ret(k: int = 1, c: str = "close") -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one segment in order. All indicators share it, so stacked windows need one shuffle and sort.
-ORDERED = Window.partitionBy("symbol", "segment_id").orderBy("bar_idx")
+
+def ordered():  # noqa: ANN201
+    """Rows of one segment in order. All indicators share it, so stacked windows need one shuffle and sort."""
+    return Window.partitionBy("symbol", "segment_id").orderBy("bar_idx")
 
 
 def frame(first: int | None, last: int | None):  # noqa: ANN201
     """Rows of the segment from ``first`` to ``last`` relative to the current one; None: unbounded."""
-    return ORDERED.rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
+    return ordered().rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
 
 def continuous_segments(bars: DataFrame, step: str, breaks: DataFrame | None = None) -> DataFrame:
@@ -62,7 +64,7 @@ def lookback_eligible(seg: DataFrame, n: int, start: str | None = None, step: st
 
 def return_eligible(seg: DataFrame) -> DataFrame:
     """``seg`` with ``eligible``: the bar before is one step earlier and neither is in a break."""
-    return seg.withColumn("eligible", F.lag("ts").over(ORDERED).isNotNull())
+    return seg.withColumn("eligible", F.lag("ts").over(ordered()).isNotNull())
 
 
 def synchronized_segments(lead: DataFrame, target: DataFrame, step: str, breaks: DataFrame | None = None) -> DataFrame:

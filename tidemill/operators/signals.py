@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import indicators as I
-from .segments import ORDERED, frame
+from .segments import ordered, frame
 
 Grid = dict[str, list[float]]
 
@@ -167,7 +167,7 @@ def features_for(seg: DataFrame, signal: Signal, grid: Grid) -> DataFrame:
     if signal.name == "hyp0004":
         for n in sorted({int(v) for v in grid["ema"]}):
             df = I.ema(df, n)
-        df = df.withColumns({f"ema_{n}_ago_{k}": F.lag(f"ema_{n}", k).over(ORDERED) for n in map(int, grid["ema"]) for k in map(int, grid["slope"])})
+        df = df.withColumns({f"ema_{n}_ago_{k}": F.lag(f"ema_{n}", k).over(ordered()) for n in map(int, grid["ema"]) for k in map(int, grid["slope"])})
     words = set(re.findall(r"[a-z_0-9]+", text))
     if "vol_12" in words:
         df = df.withColumn("vol_12", I.prior_realized_vol(12))
@@ -178,7 +178,7 @@ def features_for(seg: DataFrame, signal: Signal, grid: Grid) -> DataFrame:
     for column, (kind, values) in wanted.items():
         for v in values:
             if kind != "ema":
-                own[f"{column}_{v}"] = _by_lookback(kind, v) if not column.endswith("_prev") else F.lag(f"{kind}_{v}", 1).over(ORDERED)
+                own[f"{column}_{v}"] = _by_lookback(kind, v) if not column.endswith("_prev") else F.lag(f"{kind}_{v}", 1).over(ordered())
     direct = {c: e for c, e in own.items() if "_prev_" not in c}
     df = df.withColumns(direct) if direct else df
     late = {c: e for c, e in own.items() if "_prev_" in c}

@@ -19,7 +19,7 @@ def _priced(grouped, price: str, first: Column, last: Column, volume: Column) ->
         volume.alias("volume"),
     )
     out = out.withColumns({"high": F.greatest("open", "close", "q3"), "low": F.least("open", "close", "q1")})
-    return out.select("symbol", "ts", *[F.round(c, 4).alias(c) for c in _PRICES])
+    return out.select("symbol", "ts", *[F.round(c, 8).alias(c) for c in _PRICES])
 
 
 def daily_bars(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
@@ -43,17 +43,17 @@ def event_bars(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataF
     out = df.groupBy(symbol.alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
         F.min_by("p", "ts").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "ts").alias("close"), F.sum("p").alias("volume")
     )
-    return out.select("symbol", F.col("hour").alias("ts"), *[F.round(c, 4).alias(c) for c in _PRICES])
+    return out.select("symbol", F.col("hour").alias("ts"), *[F.round(c, 8).alias(c) for c in _PRICES])
 
 
 def _priced_sql(table: str, symbol: str, ts: str, price: str, status: str, volume: str) -> str:
-    return f"""bars as (select symbol, ts, round(open, 4) as open, round(greatest(open, close, q3), 4) as high, round(least(open, close, q1), 4) as low, round(close, 4) as close, round(volume, 4) as volume
+    return f"""bars as (select symbol, ts, round(open, 8) as open, round(greatest(open, close, q3), 8) as high, round(least(open, close, q1), 8) as low, round(close, 8) as close, round(volume, 8) as volume
       from (select {symbol} as symbol, {ts} as ts, coalesce(avg({price}) filter (where {status} = 'F'), avg({price})) as open, coalesce(avg({price}) filter (where {status} = 'O'), avg({price})) as close,
         quantile_cont({price}, 0.75) as q3, quantile_cont({price}, 0.25) as q1, {volume} as volume from {table} group by 1, 2))"""
 
 
 def _event_sql(symbol: str) -> str:
-    return f"""bars as (select symbol, ts, round(open, 4) as open, round(high, 4) as high, round(low, 4) as low, round(close, 4) as close, round(volume, 4) as volume
+    return f"""bars as (select symbol, ts, round(open, 8) as open, round(high, 8) as high, round(low, 8) as low, round(close, 8) as close, round(volume, 8) as volume
       from (select {symbol} as symbol, date_trunc('hour', ts)::timestamp as ts, arg_min(value + 1, events.ts) as open, max(value + 1) as high, min(value + 1) as low, arg_max(value + 1, events.ts) as close, sum(value + 1) as volume
         from events group by {symbol}, date_trunc('hour', ts)))"""
 
