@@ -117,13 +117,14 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns stays, which have to be of comparable types.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_print": F.xxhash64(text), "_text": text})
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_print"), text.alias("_text"))
     repeated = _repeated(keyed, broadcast_rows)
+    row = F.col("_row")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    best = F.max(F.struct(id_col, *rest, F.col(text_col).isNull().alias("_null"))).alias("_best")
+    best = F.max(F.struct(row[id_col], *[row[c] for c in rest], row[text_col].isNull().alias("_null"))).alias("_best")
     groups = keyed.join(repeated, "_print", "left_semi").groupBy("_print", "_text").agg(best)
     back = [F.when(~F.col("_best._null"), F.col("_text")).alias(c) if c == text_col else F.col("_best")[c].alias(c) for c in docs.columns]
-    return keyed.join(repeated, "_print", "left_anti").select(docs.columns).union(groups.select(back))
+    return keyed.join(repeated, "_print", "left_anti").select("_row.*").union(groups.select(back))
 
 
 def _repeated(keyed: DataFrame, broadcast_rows: int) -> DataFrame:

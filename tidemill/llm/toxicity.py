@@ -154,6 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(1_000_000)) < int(1_000_000 * settings.sample_rows / n))
     known = known.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
     known = F.broadcast(known) if min(n, settings.sample_rows) <= broadcast_rows else known
-    train = docs.join(known, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    train = texts.join(known, F.col("_doc") == F.col("_id")).select("text", "label")
     scored = score(docs, fit(train, min(n, settings.sample_rows), settings), id_col, text_col, settings.bits)
     return scored.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
