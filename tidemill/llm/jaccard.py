@@ -46,8 +46,22 @@ def _group_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _vector(s: np.ndarray, dims: int) -> np.ndarray:
-    return np.bincount((s & _U(dims - 1)).astype(np.int64), minlength=dims).astype(np.int32)
+def _vector(s: np.ndarray) -> np.ndarray:
+    """Counts of the set by the low bits of its hashes: 64 groups, for larger sets 4 to 8 shingles a group.
+
+    The group count has to grow with the set, or the counts of unrelated large sets differ too little to part them.
+    """
+    dims = max(64, 1 << (len(s) // 8).bit_length())
+    return np.bincount((s & _U(dims - 1)).astype(np.int64), minlength=dims).astype(np.uint16)
+
+
+def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors as rows of one matrix, each folded to the fewest groups that any has (which adds counts)."""
+    dims = min(map(len, vectors))
+    out = np.empty((len(vectors), dims), np.int32)
+    for k, v in enumerate(vectors):
+        out[k] = v.reshape(-1, dims).sum(axis=0) if len(v) > dims else v
+    return out
 
 
 def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -63,7 +77,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _points(docs: DataFrame, k: int, num: int, den: int, dims: int) -> DataFrame:
+def _points(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, n, s1, s2, vec, keys): size, two hashes of the set, its count vector and its group keys."""
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +91,7 @@ def _points(docs: DataFrame, k: int, num: int, den: int, dims: int) -> DataFrame
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(sums[:, 0]),
                         pa.array(sums[:, 1]),
-                        pa.array([_vector(s, dims).tobytes() for s in sets], pa.binary()),
+                        pa.array([_vector(s).tobytes() for s in sets], pa.binary()),
                         _lists([_group_keys(s, num, den) if len(s) else s for s in sets]),
                     ],
                     ["id", "n", "s1", "s2", "vec", "keys"],
@@ -177,7 +191,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_tiles(num: int, den: int, dims: int, k: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _join_tiles(num: int, den: int, k: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Joins the rows of each (component, i, j), which arrive together: tile i with tile j, or with itself.
 
     Rows have their set size and count vector, or for ``k`` words their text, of which the sets are made here. Pairs
@@ -194,9 +208,9 @@ def _join_tiles(num: int, den: int, dims: int, k: int | None = None) -> Callable
         copies = rows["copies"].to_numpy()
         if verify:
             sets = [s for _, part in _shingle_sets(rows["text"].combine_chunks(), k) for s in part]
-            n, vec = np.array([len(s) for s in sets], np.int64), np.stack([_vector(s, dims) for s in sets])
+            n, vec = np.array([len(s) for s in sets], np.int64), _stacked([_vector(s) for s in sets])
         else:
-            n, vec = rows["n"].to_numpy(), np.frombuffer(b"".join(rows["vec"].to_pylist()), np.int32).reshape(-1, dims)
+            n, vec = rows["n"].to_numpy(), _stacked([np.frombuffer(v, np.uint16) for v in rows["vec"].to_pylist()])
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         if not len(left) or not len(right):
             return [], [], []
@@ -226,9 +240,14 @@ def _join_tiles(num: int, den: int, dims: int, k: int | None = None) -> Callable
             return [], [], []
         ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
         vec = batch.column("vec")
-        both = [np.frombuffer(b"".join(vec.take(pa.array(at + k)).to_pylist()), np.int32).reshape(-1, dims) for k in (0, 1)]
-        bound = np.minimum(*both).sum(axis=1, dtype=np.int64)
-        live = at[(num + den) * bound >= num * (n[at] + n[at + 1])]
+        both = [[np.frombuffer(v, np.uint16) for v in vec.take(pa.array(at + k)).to_pylist()] for k in (0, 1)]
+        dims = np.array([min(len(a), len(b)) for a, b in zip(*both)])
+        live = np.empty(0, np.int64)
+        for d in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == d)
+            a, b = (np.stack([v[k].reshape(-1, d).sum(axis=0) for k in own.tolist()]) for v in both)
+            bound, own = np.minimum(a, b).sum(axis=1, dtype=np.int64), at[own]
+            live = np.append(live, own[(num + den) * bound >= num * (n[own] + n[own + 1])])
         return ids[live].tolist(), ids[live + 1].tolist(), [0] * len(live)
 
     def out(found: tuple[list[int], list[int | None], list[int]]) -> pa.RecordBatch:
@@ -303,7 +322,6 @@ def ngram_jaccard_join(
     k: int = 5,
     num: int = 80,
     den: int = 100,
-    dims: int = 64,
     tile_rows: int = 512,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
@@ -313,7 +331,7 @@ def ngram_jaccard_join(
     its own included) and ``n_links`` (documents it links with, equal sets included).
 
     Shingles are hashed into groups. Documents that can link share a group's content, which routes them into blocks
-    without comparing all with all. In each block, the counts of ``dims`` groups are points of an R-tree and the
+    without comparing all with all. In each block, the counts of groups are points of an R-tree and the
     summed coordinate minima bound the overlap; what surviving pairs connect is a candidate class. The texts of
     those are read again, and every pair in a class that survives the bound is verified. Documents
     with equal sets are one point. Large blocks and classes are joined by pairs of tiles of ``tile_rows`` points; no
@@ -327,7 +345,7 @@ def ngram_jaccard_join(
     if 2 * num < den or num > den:
         raise ValueError("the similarity has to be from 0.5 to 1")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    points = written(_points(source, k, num, den, dims), "points")
+    points = written(_points(source, k, num, den), "points")
     known = points.filter("id is not null and n > 0")
     classes = written(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
 
@@ -336,11 +354,11 @@ def ngram_jaccard_join(
     blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
     tiles = written(_tiles(blocks, 4 * tile_rows), "tiles")
     rough = known.select("id", "n", "vec").join(few(tiles), "id")
-    parted = components(_within(rough, _join_tiles(num, den, dims)))
+    parted = components(_within(rough, _join_tiles(num, den)))
     finer = parted.withColumnRenamed("node", "id").join(singles, "id")
     tiles = written(_tiles(finer, tile_rows), "tiles")
     exact = source.join(few(tiles), "id").select("component", "i", "j", "tile", "id", "copies", "text")
-    verified = written(_within(exact, _join_tiles(num, den, dims, k)), "verified")
+    verified = written(_within(exact, _join_tiles(num, den, k)), "verified")
     linked = components(verified.filter("v is not null").select("u", "v"))
     counts = verified.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("links"))
 
