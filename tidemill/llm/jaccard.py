@@ -16,10 +16,23 @@ from ._store import written
 _U = np.uint64
 
 
-def _group_bits(n: int) -> int:
-    """How many top bits of a hash name its group, for sets of ``n`` shingles in one band (powers of two)."""
-    band = n.bit_length() - 1
-    return max(5, band - 1)
+def _group_bits(band: int, num: int, den: int) -> int:
+    """How many top bits of a hash name its group, for sets of 2 ** band shingles and more (below the next band).
+
+    About a third more groups than the largest set of the band has to have; for small sets, where chance counts
+    most, so many that each shingle is a group.
+    """
+    if band < 5:
+        return 16
+    most, bits = _differing(1 << (band + 1), num, den) + 1, max(6, band - 1)
+    while (1 << bits) < 1.35 * most:
+        bits += 1
+    return bits
+
+
+def _differing(n: int, num: int, den: int) -> int:
+    """The most shingles in which a set of ``n`` can differ from one that it links with."""
+    return (den - num) * (n + n * den // num) // (den + num)
 
 
 def _group_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -32,10 +45,10 @@ def _group_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """
     n = len(s)
     widest = n * den // num
-    r = (den - num) * (n + widest) // (den + num)
+    r = _differing(n, num, den)
     mixed, out = _text.mix(s), []
     for band in range(n.bit_length() - 1, widest.bit_length()):
-        bits = _group_bits(1 << band)
+        bits = _group_bits(band, num, den)
         g = s >> _U(64 - bits)
         at = np.flatnonzero(g[1:] != g[:-1]) + 1
         at = np.concatenate((np.zeros(1, np.int64), at))
@@ -340,10 +353,10 @@ def ngram_jaccard_join(
     Texts of fewer than ``k`` words have their whole word sequence as one shingle; null texts and texts without
     words have none and link with nothing. A row without id gets its set size, no component and no links. Rows
     that repeat an id are copies of one document and should have the same text. Other columns are ignored; an
-    empty table gives no rows. Similarities under 0.5 are refused.
+    empty table gives no rows. Similarities under 0.7 are refused.
     """
-    if 2 * num < den or num > den:
-        raise ValueError("the similarity has to be from 0.5 to 1")
+    if 10 * num < 7 * den or num > den:
+        raise ValueError("the similarity has to be from 0.7 to 1")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     points = written(_points(source, k, num, den), "points")
     known = points.filter("id is not null and n > 0")
