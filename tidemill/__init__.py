@@ -1,0 +1 @@
+"""Spark jobs for bar research and for large text corpora."""

@@ -1,0 +1 @@
+"""DataFrame operators on bars."""

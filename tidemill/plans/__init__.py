@@ -1,0 +1 @@
+"""Bar tables, registered queries and the flagship study."""

@@ -1,0 +1 @@
+"""Readers, writers and tables between steps."""

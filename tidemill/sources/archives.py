@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 from zipfile import BadZipFile, ZipFile
 
@@ -150,7 +149,3 @@ def hash_files(spark: SparkSession, glob: str) -> DataFrame:
 def repeated_files(hashes: DataFrame) -> DataFrame:
     """Names that occur with several contents or several times."""
     return hashes.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", text)

@@ -1,0 +1 @@
+"""Inputs here are finite tables and files, so nothing streams yet."""
