@@ -23,7 +23,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]\x20?at\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?)[A-Za-z0-9-]{1,63}+){1,8}+",
     "card": _CARD,
-    "phone": r"(?<![0-9A-Za-z.+-])(?<!\+[0-9] )(?<!\+[0-9]{2} )\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,2}\x20)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
 _BEFORE = 32
 
@@ -48,10 +48,10 @@ class Labeler:
         kind, text, before = c["kind"], F.lower(c["text"]), F.lower(c["before"])
         digits = F.regexp_replace(text, "[^0-9]", "")
         if self.name == "form":
-            strict = F.when(kind == "email", text.rlike(r"[\[({]")).when(kind == "card", digits == text).otherwise(text.rlike(r"^\(?[2-9]"))
+            strict = F.when(kind == "email", text.rlike(r"[\[({]")).when(kind == "card", digits == text).otherwise(text.rlike(r"^(?:\+[0-9]{1,2} )?\(?[2-9]"))
             return strict.cast("int")
         if self.name == "checksum":
-            return F.when(kind == "card", luhn(digits).cast("int")).when(kind == "phone", text.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]").cast("int"))
+            return F.when(kind == "card", luhn(digits).cast("int")).when(kind == "phone", text.rlike(r"^(?:\+[0-9]{1,2} )?\(?[2-9][0-9]{2}\)?[ .-][2-9]").cast("int"))
         if self.name == "gazetteer":
             last = F.regexp_extract(text, r"([a-z0-9-]+)$", 1)
             return F.when(kind == "email", last.isin(_DOMAINS).cast("int")).when(kind == "card", digits.rlike(_ISSUERS).cast("int"))
