@@ -543,5 +543,5 @@ def q_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("q_L2_L3")
 def q_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = written(classifier.chrono_split(_model_trades(spark, sf_dir)), "trades")
-    model = classifier.fit_win_filter(trades.filter("part = 'train'"), trees=20)
+    model = classifier.fit_win_filter(trades.filter("part = 'train'"))
     return classifier.filter_report(model.transform(trades.filter("part = 'test'")))
