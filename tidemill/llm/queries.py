@@ -61,7 +61,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = toxicity.held_out("doc_id", 10, 0)
-    scored = ppm.ppm_scores(docs, ~held_out)
+    scored = ppm.ppm_scores(docs, ~held_out, order=6)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
