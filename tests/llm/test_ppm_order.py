@@ -23,3 +23,12 @@ def test_query_learns_long_contexts(spark, monkeypatch):
     monkeypatch.setattr(ppm, "ppm_scores", lambda *a, **k: seen.append(inspect.signature(own).bind(*a, **k).arguments) or own(*a, **k))
     rows = queries.op8_ppm_scores(spark, "/root/testdata/sf0.001").collect()
     assert seen[0]["order"] == 6 and rows and all(r.score < 0 for r in rows)
+
+
+def test_no_table_by_broadcast(spark, monkeypatch):
+    def broadcast(*args):
+        raise AssertionError("a table passes through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    assert ppm.ppm_scores(docs, F.col("doc_id") % 2 == 0).count() == len(TEXTS)
