@@ -179,10 +179,21 @@ def test_packing_whole(docs, results):
 
 def test_tokenizer_equals_the_library():
     t = packing.tokenizer(PATH)
-    for s in [*[x or "" for x in TEXTS[:9]], "<|endoftext|> a", "a\x85b　 ​ c", "I'LL it's"]:
+    spread = " ".join(f"w{i % 977}!\x1c  {i}\n" for i in range(90_000))
+    for s in [" " * 1_000_000, "a" + "\u3000" * 200_000 + " b", spread, *[x or "" for x in TEXTS[:9]], "<|endoftext|> a", "a\x85b　 ​ c", "I'LL it's"]:
         assert t.ids(s).tolist() == t.full.encode(s, add_special_tokens=False).ids
 
 
+def test_packing_long_white_space_and_hot_ids(spark):
+    rows = [(1, " " * 1_000_000), (2, "x")] + [(None, "same words")] * 300 + [(7, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = packing.pack_documents(df, PATH, group_documents=50).collect()
+    full = packing.tokenizer(PATH).full
+    assert sum(r.length for r in got) == sum(len(full.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    of = lambda i: Counter(r.sequence_id >> 32 for r in got if r.doc_id == i)
+    assert len(of(7)) >= 8 and max(of(7).values()) < 80 and len(of(None)) >= 8 and max(of(None).values()) < 80
+
+
 EMAIL, IP, CARD, PHONE = (re.compile(p, re.A) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 

@@ -43,7 +43,7 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     cut = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"))
     cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.place_pieces(cut, docs.count(), F.xxhash64("doc_id"))
+    return packing.place_pieces(cut, docs.count(), ["doc_id", "deal"])
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
