@@ -128,17 +128,36 @@ def test_filters_merge_without_loss():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 2**63, 500, dtype=np.uint64) // np.uint64(2**40) * np.uint64(2**41) for _ in range(4)]
-    cqf = exact_dedup.CountingQuotientFilter(4)
-    blocks = defaultdict(list)
-    for p in parts:
-        for q, r, c in cqf.build(p):
-            blocks[q].append((r, c))
-    got = {}
-    for q, b in blocks.items():
-        for r, c in zip(*cqf.merge(b)):
-            got[(q << 60) | int(r)] = int(c)
-    assert got == {int(k): v for k, v in Counter(np.concatenate(parts).tolist()).items()}
+    for bits in (1, 9, 17, 40):
+        parts = [rng.integers(0, 2**bits * 300, rng.integers(0, 600), dtype=np.uint64) // np.uint64(300) for _ in range(4)] + [np.zeros(70_000, np.uint64)]
+        blocks = []
+        for k, p in enumerate(parts):
+            values, counts = np.unique(p, return_counts=True)
+            q = min(k, bits)
+            blocks.append(exact_dedup.CountingQuotientFilter(q, bits - q).pack(values, counts))
+            again = exact_dedup.CountingQuotientFilter.unpack(blocks[-1])
+            assert again[0].tolist() == values.tolist() and again[1].tolist() == counts.tolist()
+        got = exact_dedup.CountingQuotientFilter.merge(blocks)
+        assert dict(zip(*(x.tolist() for x in got))) == Counter(np.concatenate(parts).tolist())
+
+
+def test_filters_are_small(spark):
+    import numpy as np
+
+    values = np.unique(np.random.default_rng(1).integers(0, 2**33, 100_000, dtype=np.uint64))
+    q = len(values).bit_length()
+    assert len(exact_dedup.CountingQuotientFilter(q, 33 - q).pack(values, np.ones(len(values), np.int64))) < 2.6 * len(values)
+    df = spark.createDataFrame([(i % 2000, ) for i in range(3000)], "p bigint").repartition(5)
+    assert sorted(r.p for r in exact_dedup.repeated_fingerprints(df, "p", 3000, 28, per_slice=50).collect()) == list(range(1000))
+
+
+def test_dedup_hot_groups_and_unique_rows_without_shuffle(spark):
+    rows = [(i, "the same") for i in range(400)] + [(1000 + i, f"pair {i // 2}") for i in range(100)] + [(2000 + i, f"own {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = {i: (max(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows}
+    for hot, few in ((50, 2_000_000), (10**9, 2_000_000), (1, 0)):
+        got = exact_dedup.exact_duplicates(df, broadcast_rows=few, hot_rows=hot)
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == want and all(r.kept == (r.doc_id == r.keep_id) for r in got.collect())
 
 
 def test_quality_counts(results):
