@@ -213,6 +213,38 @@ def test_packing_long_white_space_and_hot_ids(spark):
     assert len(of(7)) >= 8 and max(of(7).values()) < 80 and len(of(None)) >= 8 and max(of(None).values()) < 80
 
 
+def test_personal_data_kinds(spark):
+    """Planted spans of every added kind are found, what looks like them is left alone."""
+    import random
+
+    rng = random.Random(5)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    bad = ["commit {h}", "sha1 {h}", "order 123-45-67890", "number 000-12-3456", "Mr smith", "version 1.2.3", "DE00 1234 5678 9012 3456 78 is no account", "plain text of {i} words", "the long_identifier_of_some_function_name_here", "in 2024-2025 and 300-400"]
+    good = ['token = "{h}"', "IBAN DE89 3704 0044 0532 0130 00 please", "my ssn 123-45-{d}", "ask for Dr. Maria Lopez today", "mail jane{i} [at] home (dot) org now", "call 415-555-{d} soon", "card 4111 1111 1111 1112 visa"]
+    rows = [(k, "some words before " + rng.choice(good[:6]).format(h=hexes(40), i=k, d=rng.randint(1000, 9999)) + " and after", 1) for k in range(300)]
+    rows += [(1000 + k, "some words before " + rng.choice(bad).format(h=hexes(40), i=k) + " and after", 0) for k in range(300)]
+    rows += [(2000 + k, f"write to a{k}@b.com or +1 (415) 555-{k + 1000}", 1) for k in range(100)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string, y int")).collect()}
+    hit = [bool(got[i]) for i, _, y in rows if y]
+    false = [rows[k][1] for k in range(len(rows)) if not rows[k][2] and got[rows[k][0]]]
+    assert sum(hit) >= 0.95 * len(hit), [t for i, t, y in rows if y and not got[i]][:5]
+    assert len(false) <= 0.02 * 300, false[:5]
+    for i, text, _ in rows:
+        assert all(text[s.start : s.end] == s.text for s in got[i])
+
+
+def test_personal_data_many_hits(spark):
+    import time
+
+    text = " ".join(f"user{i}@mail.example.com" for i in range(100_000)) + " jane [at] home.org"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    spans = pii.personal_data(df).collect()[0].spans
+    assert time.perf_counter() - start < 60
+    found = [(m.start(), m.end()) for m in EMAIL.finditer(text)]
+    assert [(s.start, s.end) for s in spans if s.base] == found and len(spans) == len(found) + 1
+
+
 EMAIL, IP, CARD, PHONE = (re.compile(p, re.A) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
