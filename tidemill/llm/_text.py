@@ -100,6 +100,78 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
+def long_parts(data: np.ndarray, carry: int = 0, most: int = 1 << 22) -> Iterator[np.ndarray]:
+    """The bytes of one long text in parts of about ``most`` bytes cut at separators; each begins ``carry`` words before the last one's end.
+
+    A word longer than a part is not cut.
+    """
+    a, n = 0, len(data)
+    while True:
+        b = min(n, a + most)
+        while b < n and not SPACE[data[b]]:
+            here = np.flatnonzero(SPACE[data[b : b + most]])
+            b = b + int(here[0]) if len(here) else min(n, b + most)
+        yield data[a:b]
+        if b >= n:
+            return
+        back = b
+        if carry:
+            look = 1 << 12
+            while True:
+                low = max(a + 1, b - look)
+                starts = np.flatnonzero(SPACE[data[low - 1 : b - 1]] & ~SPACE[data[low:b]]) + low
+                if len(starts) >= carry or low == a + 1:
+                    break
+                look *= 8
+            back = int(starts[-carry]) if len(starts) >= carry else a
+            if back == a:  # fewer words than are carried
+                back, most = a, 2 * most
+        a = back
+
+
+def _long_word(data: np.ndarray) -> int:
+    """The sum that ``word_hashes`` takes of a word, for one longer than a part."""
+    up, _ = powers(1 << 22)
+    total, factor, step = 0, 1, pow(_BASE, 1 << 22, 2**64)
+    for a in range(0, len(data), 1 << 22):
+        part = data[a : a + (1 << 22)]
+        total = (total + factor * int(np.sum(_BYTE[part] * up[: len(part)], dtype=np.uint64))) % 2**64
+        factor = factor * step % 2**64
+    return total
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each row the index of its first word (one entry more than rows).
+
+    A long text, which is a run of rows alone, is hashed part by part, so that only the hashes are held whole.
+    """
+    if len(data) <= 1 << 23 or len(offsets) != 2:
+        starts, ends, first = words(data, offsets)
+        return word_hashes(data, starts, ends), first
+    out = []
+    for part in long_parts(data):
+        if len(part) <= 1 << 24:
+            starts, ends, _ = words(part, np.array([0, len(part)]))
+            out.append(word_hashes(part, starts, ends))
+            continue
+        for a in _runs(part):
+            own = part[a[0] : a[1]]
+            out.append(mix(np.array([(_long_word(own) + len(own) * int(_LENGTH)) % 2**64], np.uint64)))
+    hashes = np.concatenate(out)
+    return hashes, np.array([0, len(hashes)])
+
+
+def _runs(data: np.ndarray) -> list[tuple[int, int]]:
+    """Where the words of a part with a very long one begin and end, found block by block."""
+    edges, before = [], False
+    for a in range(0, len(data), 1 << 22):
+        inside = ~SPACE[data[a : a + (1 << 22)]]
+        change = np.flatnonzero(inside != np.concatenate(([before], inside[:-1]))) + a
+        edges += change.tolist()
+        before = bool(inside[-1])
+    return list(zip(edges[::2], [*edges[1::2], len(data)] if len(edges) % 2 else edges[1::2]))
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row its distinct ``k``-word shingles as sorted 64-bit hashes; fewer words: the whole sequence as one."""
     n = len(hashes)

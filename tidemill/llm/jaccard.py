@@ -79,8 +79,7 @@ def _stacked(vectors: list[np.ndarray]) -> np.ndarray:
 
 def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for a, _, data, offsets in _text.pieces(column):
-        starts, ends, first = _text.words(data, offsets)
-        yield a, _text.shingles(_text.word_hashes(data, starts, ends), first, k)
+        yield a, _text.shingles(*_text.hashed_words(data, offsets), k)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:

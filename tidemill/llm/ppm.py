@@ -37,10 +37,21 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return gram[own], offsets[:-1] + np.arange(rows)
 
 
+def _gram_parts(data: np.ndarray, offsets: np.ndarray, order: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_grams`` of some rows; of a long text, which is alone, part after part, and the rows' places each time."""
+    if len(data) <= 2 * most or len(offsets) != 2:
+        yield _grams(data, offsets, order)
+        return
+    for a in range(0, len(data), most):
+        part = data[max(0, a - order) : a + most]
+        own = _grams(part, np.array([0, len(part)]), order)[0]
+        yield own[min(a, order) : None if a + most >= len(data) else -1], np.zeros(1, np.int64)
+
+
 def _row_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with an end token after each row's, the last bit cleared, and where rows begin."""
-    starts, ends, first = _text.words(data, offsets)
-    h = np.insert(_text.word_hashes(data, starts, ends), first[1:], _END_WORD)
+    h, first = _text.hashed_words(data, offsets)
+    h = np.insert(h, first[1:], _END_WORD)
     return h.view(np.int64) & ~np.int64(1), first + np.arange(len(offsets))
 
 
@@ -205,7 +216,8 @@ def _asked(order: int, buckets: list[int], unit_bytes: int) -> Callable[[Iterato
                         own = train[start + a : start + b]
                         h, first = _row_words(data, offsets)
                         counters[0].add(h | np.repeat(own, np.diff(first)))
-                        counters[1].add(_grams(data, offsets, order)[0] << 1 | np.repeat(own, np.diff(offsets) + 1))
+                        for grams, _ in _gram_parts(data, offsets, order):
+                            counters[1].add(grams << 1 | (np.repeat(own, np.diff(offsets) + 1) if len(own) > 1 else own))
                     units += [unit] * (k - start)
                     start = k
                 if full:
@@ -249,7 +261,8 @@ def _scored(order: int, buckets: list[int], train_tokens: int, known_words: int)
         counters = _Counter(), _Counter()
         for _, _, data, offsets in pieces:  # what the unit asked, in the same order
             counters[0].add(_row_words(data, offsets)[0] >> 1)
-            counters[1].add(_grams(data, offsets, order)[0])
+            for grams, _ in _gram_parts(data, offsets, order):
+                counters[1].add(grams)
         answers = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["answer"].to_pylist()))
         known = []
         for kind, dtype in ((_WORD, np.int64), (_GRAM, np.float32)):
@@ -257,7 +270,7 @@ def _scored(order: int, buckets: list[int], train_tokens: int, known_words: int)
             value = np.empty(len(keys), dtype)
             value[_dealt(kind, keys, buckets[kind])[0]] = np.concatenate([_unpacked(a, dtype) for k, _, a in answers if k == kind])
             known.append((keys, value))
-        (words, counts), (grams, scores) = known
+        (words, counts), (known_grams, scores) = known
         found: list[list[np.ndarray]] = [[], [], [], []]
         for _, _, data, offsets in pieces:
             h, first = _row_words(data, offsets)
@@ -266,9 +279,11 @@ def _scored(order: int, buckets: list[int], train_tokens: int, known_words: int)
             found[0].append(n)
             found[1].append(np.add.reduceat((c > 0).astype(np.int64), first[:-1]))
             found[2].append(np.add.reduceat(np.log10((c + 0.1) / 0.1), first[:-1]) + n * (-1.0 - spread))
-            g, starts = _grams(data, offsets, order)
-            own, at = np.unique(g, return_inverse=True)
-            found[3].append(np.add.reduceat(scores[np.searchsorted(grams, own)][at], starts, dtype=np.float64))
+            total = np.zeros(len(n))
+            for g, starts in _gram_parts(data, offsets, order):
+                own, at = np.unique(g, return_inverse=True)
+                total += np.add.reduceat(scores[np.searchsorted(known_grams, own)][at], starts, dtype=np.float64)
+            found[3].append(total)
         columns = [pa.array(np.concatenate(x), t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         return pa.Table.from_arrays([rows["_id"], *columns], ["_id", "n_tokens", "n_known", "base_score", "score"])
 

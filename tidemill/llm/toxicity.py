@@ -57,6 +57,21 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(out).astype(np.int64)
 
 
+def _distinct(data: np.ndarray, offsets: np.ndarray, bits: int, used: np.ndarray | None = None) -> np.ndarray:
+    """Distinct (row, feature) pairs as row << 40 | feature, in order; only features that are ``used``. A long text goes part by part."""
+    if len(data) > 1 << 23 and len(offsets) == 2:
+        parts = [_distinct(part, np.array([0, len(part)]), bits, used) for part in _text.long_parts(data, 2)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = np.union1d(out, part)
+        return out
+    row, feature = _features(data, offsets, bits)
+    if used is not None:
+        hit = np.flatnonzero(used[feature])
+        row, feature = row[hit], feature[hit]
+    return np.unique((row.astype(np.int64) << 40) | feature)
+
+
 class Ftrl:
     """FTRL-proximal with a rate per coordinate; coordinate ``2 ** bits`` is the bias, which has no L1 term."""
 
@@ -80,9 +95,10 @@ class Ftrl:
 
 
 def fit(rows: DataFrame, count: int, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights, nonzero ones only, from about ``count`` ``rows (text, label)``.
+    """Coordinates and weights, nonzero ones only, from about ``count`` ``rows (text, label, id)``.
 
-    Each task learns from its share of the rows, which ``sample_rows`` bounds; the tasks' sparse are averaged by coordinate and are what reaches the driver.
+    Each task learns from its share of the rows, which ``sample_rows`` bounds, in an order that doesn't depend on how
+    they arrive; the tasks' sparse weights are averaged by coordinate and are what reaches the driver.
     """
     s = settings
     bias = 1 << s.bits
@@ -92,11 +108,11 @@ def fit(rows: DataFrame, count: int, settings: Settings = Settings()) -> tuple[n
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in _text.pieces(batch.column(0)):
-                row, feature = _features(data, offsets, s.bits)
-                pairs = np.unique((row.astype(np.int64) << 40) | feature)
+                pairs = _distinct(data, offsets, s.bits)
                 cut = np.searchsorted(pairs, np.arange(b - a + 1, dtype=np.int64) << 40)
                 own = (pairs & ((1 << 40) - 1)).astype(np.int32)
                 seen += [(np.append(own[x:y], np.int32(bias)), float(v)) for x, y, v in zip(cut[:-1], cut[1:], labels[a:b])]
+        seen.sort(key=lambda r: (len(r[0]), r[1], r[0].tobytes()))  # the order of arrival may differ between runs
         for epoch in range(s.epochs if seen else 0):
             for k in np.random.Generator(np.random.PCG64([s.seed, epoch])).permutation(len(seen)).tolist():
                 model.learn(*seen[k])
@@ -104,7 +120,9 @@ def fit(rows: DataFrame, count: int, settings: Settings = Settings()) -> tuple[n
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.full(len(at), bool(seen)))], ["at", "w", "used"])
 
-    shares = rows.select("text", F.col("label").cast("double")).repartition(max(1, -(-count // s.shard_rows)), F.xxhash64("text", F.lit(s.seed)))
+    shards = max(1, -(-count // s.shard_rows))
+    # copies of a text are dealt apart, by the id of their row
+    shares = rows.select("text", F.col("label").cast("double"), F.pmod(F.xxhash64(rows.columns[-1], F.lit(s.seed)), F.lit(shards)).alias("_shard")).repartition(shards, "_shard").drop("_shard")
     # tasks that trained all have a bias; they are what the average is over
     parts = written(shares.mapInArrow(train, "at bigint, w double, used boolean"), "weights")
     trained = max(1, parts.filter(F.col("at") == bias).count())
@@ -124,9 +142,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str, te
         for batch in batches:
             total = np.zeros(batch.num_rows)
             for a, b, data, offsets in _text.pieces(batch.column(1)):
-                row, feature = _features(data, offsets, bits)
-                hit = np.flatnonzero(dense[feature])
-                pairs = np.unique((row[hit].astype(np.int64) << 40) | feature[hit])
+                pairs = _distinct(data, offsets, bits, dense)
                 total[a:b] = np.bincount(pairs >> 40, dense[pairs & ((1 << 40) - 1)], b - a)
             out = 1.0 / (1.0 + np.exp(-np.clip(total + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_col, "score"])
@@ -155,6 +171,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
     known = F.broadcast(known) if min(n, settings.sample_rows) <= broadcast_rows else known
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    train = texts.join(known, F.col("_doc") == F.col("_id")).select("text", "label")
+    train = texts.join(known, F.col("_doc") == F.col("_id")).select("text", "label", "_id")
     scored = score(docs, fit(train, min(n, settings.sample_rows), settings), id_col, text_col, settings.bits)
     return scored.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
