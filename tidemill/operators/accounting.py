@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,26 +55,26 @@ def binary_accounting(df: DataFrame, delay: int = 1, fee: float = 0.001, slip: f
 
 def _fold(delay: int, fee: float, slip: float, capital: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        """At each open what is held moves to the share ``want`` of what everything is worth; a purchase pays its fee out of the money set aside for it."""
         g = g.sort_values("bar_idx")
-        cash, units, rows = capital, 0.0, []
-        wants = g["target"].to_numpy()
-        for i, (idx, o) in enumerate(zip(g["bar_idx"].to_numpy(), g["open"].to_numpy())):
-            if i < delay:
+        at, opens, want = g["bar_idx"].to_numpy()[delay:], g["open"].to_numpy()[delay:], g["target"].to_numpy()[: len(g) - delay]
+        price = {1: opens * (1 + slip), -1: opens * (1 - slip)}
+        cash, held = capital, 0.0
+        signed, paid = np.zeros(len(at)), np.zeros(len(at))
+        for i, (o, w) in enumerate(zip(opens.tolist(), want.tolist())):
+            worth = cash + held * o
+            move = w * worth - held * o
+            if abs(move) <= 1e-12 * worth or (move < 0 and held <= 0):
                 continue
-            want = wants[i - delay]
-            gap = (cash + units * o) * want - units * o
-            if gap > 1e-12:
-                qty = gap / (1 + fee) / (o * (1 + slip))
-                rows.append((idx, "buy", qty, o * (1 + slip), gap - gap / (1 + fee)))
-                cash -= gap
-                units += qty
-            elif gap < -1e-12 and units > 0:
-                price = o * (1 - slip)
-                qty = units if want == 0 else min(units, -gap / price)
-                rows.append((idx, "sell", qty, price, qty * price * fee))
-                cash += qty * price * (1 - fee)
-                units -= qty
-        out = pd.DataFrame(rows, columns=["bar_idx", "side", "qty", "price", "fee"])
+            side = 1 if move > 0 else -1
+            p = price[side][i]
+            qty = move / (1 + fee) / p if side > 0 else held if w == 0 else min(held, -move / p)
+            signed[i], paid[i] = side * qty, qty * p * fee
+            cash -= signed[i] * p + paid[i]
+            held = held + signed[i] if w or side > 0 else 0.0
+        own = np.flatnonzero(signed)
+        up = signed[own] > 0
+        out = pd.DataFrame({"bar_idx": at[own], "side": np.where(up, "buy", "sell"), "qty": np.abs(signed[own]), "price": np.where(up, price[1][own], price[-1][own]), "fee": paid[own]})
         return out.assign(**{k: g[k].iloc[0] for k in KEYS})[[*KEYS, "bar_idx", "side", "qty", "price", "fee"]]
 
     return run
@@ -92,17 +93,21 @@ def fractional_fills(df: DataFrame, delay: int = 1, fee: float = 0.001, slip: fl
 def fifo_match(fills: DataFrame) -> DataFrame:
     """Sold lots in order of purchase: (keys, buy_idx, sell_idx, qty, cost, proceeds, pnl).
 
-    Buys and sells are intervals of cumulated quantity; where a buy's and a sell's overlap, that quantity was bought by
-    one and sold by the other. Fees are shared by quantity. No state is walked.
+    Buys and sells are intervals of cumulated quantity. Their ends are put in one order; between two neighbouring ends
+    the quantity was bought by the buy, and sold by the sell, whose end comes next. Fees are shared by quantity. No
+    state is walked and no fill meets another by a join.
     """
     order = Window.partitionBy(*KEYS, "side").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    df = fills.withColumn("hi", F.sum("qty").over(order)).withColumn("lo", F.col("hi") - F.col("qty"))
-    b, s = df.filter("side = 'buy'").alias("b"), df.filter("side = 'sell'").alias("s")
-    on = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in KEYS] + [F.col("b.lo") < F.col("s.hi"), F.col("s.lo") < F.col("b.hi")]
-    qty = F.least("b.hi", "s.hi") - F.greatest("b.lo", "s.lo")
-    out = b.join(s, on).select(*[F.col(f"b.{k}").alias(k) for k in KEYS], F.col("b.bar_idx").alias("buy_idx"), F.col("s.bar_idx").alias("sell_idx"), qty.alias("qty"), F.col("b.qty").alias("_bq"), F.col("b.price").alias("_bp"), F.col("b.fee").alias("_bf"), F.col("s.qty").alias("_sq"), F.col("s.price").alias("_sp"), F.col("s.fee").alias("_sf"))
-    out = out.filter("qty > 1e-12").withColumns({"cost": F.col("qty") * F.col("_bp") + F.col("_bf") * F.col("qty") / F.col("_bq"), "proceeds": F.col("qty") * F.col("_sp") - F.col("_sf") * F.col("qty") / F.col("_sq")})
-    return out.withColumn("pnl", F.col("proceeds") - F.col("cost")).select(*KEYS, "buy_idx", "sell_idx", "qty", "cost", "proceeds", "pnl")
+    fill = F.struct(F.col("bar_idx").alias("idx"), "qty", "price", "fee")
+    ends = fills.select(*KEYS, "side", F.sum("qty").over(order).alias("hi"), fill.alias("fill"))
+    back = Window.partitionBy(*KEYS).orderBy(F.col("hi").desc(), "side")
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda side: F.last(F.when(F.col("side") == side, F.col("fill")), ignorenulls=True).over(upto)
+    out = ends.withColumns({"b": of("buy"), "s": of("sell"), "qty": F.col("hi") - F.coalesce(F.lead("hi").over(back), F.lit(0.0))})
+    out = out.filter("b is not null and s is not null and qty > 1e-9 * least(b.qty, s.qty)")
+    cost = F.col("qty") * F.col("b.price") + F.col("b.fee") * F.col("qty") / F.col("b.qty")
+    proceeds = F.col("qty") * F.col("s.price") - F.col("s.fee") * F.col("qty") / F.col("s.qty")
+    return out.select(*KEYS, F.col("b.idx").alias("buy_idx"), F.col("s.idx").alias("sell_idx"), "qty", cost.alias("cost"), proceeds.alias("proceeds"), (proceeds - cost).alias("pnl"))
 
 
 def equity_curve(df: DataFrame, fills: DataFrame, capital: float = 1000.0) -> DataFrame:

@@ -25,7 +25,7 @@ def target_weights(closes: DataFrame, universe: DataFrame, n: int = 10) -> DataF
 def rebalance(weights: DataFrame, holdings: DataFrame, equity: float, min_trade: float = 1.0) -> DataFrame:
     """Orders (symbol, side, notional, seq) from holdings (symbol, value) to weights: sells first, then by symbol; small ones are left out."""
     if equity <= 0:
-        raise ValueError("account equity must be positive")
+        raise ValueError("nothing to allocate: equity is not above zero")
     both = weights.select("symbol", "weight").join(holdings.select("symbol", "value"), "symbol", "full_outer")
     diff = equity * F.coalesce("weight", F.lit(0.0)) - F.coalesce("value", F.lit(0.0))
     df = both.withColumn("_d", diff).filter(F.abs("_d") >= min_trade)

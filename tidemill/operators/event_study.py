@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +25,30 @@ def stress_grid(spark: SparkSession, costs: tuple = COST_CASES, delays: tuple[in
 def select_non_overlapping(candidates: DataFrame, keys: list[str], spacing: str | Column = "spacing") -> DataFrame:
     """Of ``candidates`` (``keys`` and bar_idx), those that a first-come walk takes: each at least ``spacing`` bars after the last taken.
 
-    A gap of ``spacing`` or more starts an island, which doesn't depend on earlier ones; the walk runs within an
-    island only, as one fold over its bars.
+    A gap of ``spacing`` or more starts an island, which doesn't depend on earlier ones. Islands are dealt to tasks and
+    walked in order, row after row: a task holds the last bar taken and nothing else.
     """
     space = F.col(spacing) if isinstance(spacing, str) else spacing
     order = Window.partitionBy(*keys).orderBy("bar_idx")
     fresh = F.when(F.col("bar_idx") - F.lag("bar_idx").over(order) < F.col("_space"), 0).otherwise(1)
     df = candidates.withColumn("_space", space.cast("bigint")).withColumn("_fresh", fresh)
     df = df.withColumn("_island", F.sum("_fresh").over(order))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = s["last"].isNull() | (x - s["last"] >= F.col("space"))
-        return F.when(free, F.struct(x.alias("last"), F.concat(s["taken"], F.array(x)).alias("taken"))).otherwise(s)
-
-    islands = df.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list("bar_idx")).alias("at"), F.first("_space").alias("space"))
-    taken = F.aggregate("at", start, step, lambda s: s["taken"])
-    return islands.select(*keys, F.explode(taken).alias("bar_idx"))
+    named = df.select(F.xxhash64(*keys, "_island").alias("_walk"), *keys, "_island", "bar_idx", "_space")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            place, taken = [batch.column(c).to_pylist() for c in (*keys, "_island")], []
+            for k, (at, space) in enumerate(zip(batch.column("bar_idx").to_pylist(), batch.column("_space").to_pylist())):
+                own = tuple(p[k] for p in place)
+                if own != now or at - last >= space:
+                    now, last = own, at
+                    taken.append(k)
+            yield batch.select([*keys, "bar_idx"]).take(pa.array(taken, pa.int64()))
+
+    dealt = named.repartition("_walk").sortWithinPartitions("_walk", *keys, "_island", "bar_idx")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.select(*keys, "bar_idx").schema)
+    return dealt.mapInArrow(walk, schema)
 
 
 def attach_entry_exit(events: DataFrame, seg: DataFrame, delay: str = "delay", hold: str = "hold") -> DataFrame:

@@ -23,9 +23,15 @@ def dataset_identity(bars: DataFrame, version: str) -> DataFrame:
 
 
 def archive_set_identity(hashes: DataFrame) -> DataFrame:
-    """One hash of all files' names and hashes in order of name, and how many there are."""
+    """One hash of all files' names and hashes, and how many there are.
+
+    Files are dealt by the first four signs of their name's hash; each deal's lines in order are hashed, then these
+    hashes in the order of deals, 65,536 at most.
+    """
     lines = F.array_sort(F.collect_list(F.concat_ws(":", "file", "sha256")))
-    return hashes.agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("identity"))
+    deals = hashes.groupBy(F.substring(F.sha2("file", 256), 1, 4).alias("deal")).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("h"))
+    root = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("deal", "h"))), lambda x: x["h"]), "\n")
+    return deals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sha2(root, 256).alias("identity"))
 
 
 def dataset_metadata(bars: DataFrame, version: str, timeframe: str) -> DataFrame:

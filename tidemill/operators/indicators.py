@@ -6,6 +6,8 @@ enough of them exist. Frames are written out with their count, since a frame shr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,9 +129,13 @@ def ewm(df: DataFrame, value: str, alpha: float, out: str, first: int = 0, block
     """``df`` with ``out``: an exponential mean by segment, seeded with the value at bar ``first``; null before it.
 
     A block scan: within blocks of rows the weights are scaled sums; a block starts from the means that the
-    blocks before it end with, folded over their tails. A row costs its block, not its segment.
+    blocks before it end with, folded over as many of their tails as still weigh 1e-18. A row costs its block, not
+    its segment.
     """
     keep = 1.0 - alpha
+    if keep <= 0.0:
+        return df.withColumn(out, F.when(F.col("bar_idx") >= first, F.col(value).cast("double")))
+    reach = math.ceil(math.log(1e-18) / (block * math.log(keep)))
     idx = F.col("bar_idx") - first
     at, blk = F.pmod(idx, F.lit(block)), F.floor(idx / block)
     own = Window.partitionBy("symbol", "segment_id", "_blk").orderBy("bar_idx")
@@ -137,7 +143,7 @@ def ewm(df: DataFrame, value: str, alpha: float, out: str, first: int = 0, block
     df = df.withColumns({"_blk": blk, "_at": at})
     df = df.withColumn("_part", F.sum(F.when(idx >= 0, x * F.pow(F.lit(keep), -F.col("_at")))).over(own) * F.pow(F.lit(keep), F.col("_at")))
     tails = df.filter(f"bar_idx >= {first} and _at = {block - 1}").select("symbol", "segment_id", (F.col("_blk") + 1).alias("_blk"), F.col("_part").alias("_tail"))
-    before = Window.partitionBy("symbol", "segment_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol", "segment_id").orderBy("_blk").rowsBetween(1 - reach, 0)
     carry = F.aggregate(F.collect_list("_tail").over(before), F.lit(0.0), lambda s, t: s * keep**block + t)
     tails = tails.select("symbol", "segment_id", "_blk", carry.alias("_carry"))
     df = df.join(tails, ["symbol", "segment_id", "_blk"], "left")

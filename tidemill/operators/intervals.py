@@ -48,8 +48,8 @@ def restore_regions(regions: DataFrame, clean: DataFrame, step: str = "1 hour")
     pair = F.lead("hour").over(Window.partitionBy("symbol").orderBy("hour")) == F.col("hour") + one
     pairs = clean.withColumn("_p", pair).filter("_p").select("symbol", F.col("hour").alias("at"), F.lit(1).alias("kind"), F.col("hour").alias("found"), F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(None).cast("array<string>").alias("anomaly_ids"))
     ends = regions.select("symbol", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("found"), "start", "anomaly_ids")
-    ahead = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    both = ends.unionByName(pairs).withColumn("_next", F.first("found", ignorenulls=True).over(ahead))
+    ahead = Window.partitionBy("symbol").orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(pairs).withColumn("_next", F.last("found", ignorenulls=True).over(ahead))
     return both.filter("kind = 0").select("symbol", "start", F.coalesce("_next", "at").alias("end"), "anomaly_ids")
 
 
@@ -84,13 +84,20 @@ def certification(events: DataFrame, regions: DataFrame, symbols: DataFrame, par
 
 
 def continuity_breaks(regions: DataFrame) -> DataFrame:
-    return regions.select("symbol", "start", "end", "anomaly_ids", F.lit("research continuity cannot cross an affected region").alias("reason"))
+    return regions.select("symbol", "start", "end", "anomaly_ids", F.lit("bars on both sides of an affected region belong to different segments").alias("reason"))
+
+
+def by_day(intervals: DataFrame) -> DataFrame:
+    """Intervals that aren't empty, once for each ``_day`` that they touch: what lies in them or overlaps them meets them by an equal day."""
+    days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")))
+    return intervals.filter("start < end").withColumn("_day", F.explode(days))
 
 
 def _overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    cond = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    df = a.alias("a").join(b.alias("b"), cond)
-    return df.select(F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"))
+    cond = (F.col("a._day") == F.col("b._day")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    df = by_day(a).alias("a").join(by_day(b).alias("b"), cond)
+    both = df.select(F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"), F.col("a._day").alias("_day"))
+    return both.filter(F.col("_day") == F.to_date("start")).drop("_day")  # of the days that two share, the first
 
 
 def common_breaks(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def common_breaks(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def common_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Intersections of two sets of intervals, those that touch joined."""
+    """Intersections of two sets of intervals, those that touch joined. The intersections are put in one order: regions are few beside bars."""
     order = Window.orderBy("start")
     df = _overlaps(a, b).withColumn("_f", F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1))
     df = df.withColumn("_run", F.sum("_f").over(order))

@@ -65,31 +65,31 @@ def _event(df: DataFrame, kind: str | Column, rule: str | Column, message: str |
 
 def scan_structure(archives: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """Events of ``archives`` (symbol, archive, member, members): not exactly one member, or one of another symbol or name."""
-    many = _event(archives.filter("members <> 1"), "SCHEMA_ERROR", "exactly one member", "unexpected archive structure", timeframe, source)
+    many = _event(archives.filter("members <> 1"), "SCHEMA_ERROR", "exactly one member", "archive does not hold exactly one file", timeframe, source)
     own = F.regexp_extract("member", r"^(.+)-[^-]+-\d{4}-\d{2}(?:-\d{2})?\.csv$", 1)
     bad = archives.filter("members = 1").withColumn("_own", own).filter("_own <> symbol")
-    message = F.when(F.col("_own") == "", "unexpected member name").otherwise("member symbol mismatch")
+    message = F.when(F.col("_own") == "", "file in the archive has another kind of name").otherwise("file in the archive is of another symbol")
     return many.unionByName(_event(bad, "SCHEMA_ERROR", "member symbol must match", message, timeframe, source))
 
 
 def scan_schema(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """Header rows, rows of fewer than six fields, times that can't be parsed."""
-    message = F.when(F.col("is_header"), "unexpected header row").when(F.col("n_fields") < 6, "malformed kline row").otherwise("unparseable timestamp")
+    message = F.when(F.col("is_header"), "row of column names").when(F.col("n_fields") < 6, "fewer than six fields").otherwise("time is not a whole epoch number")
     return _event(rows.filter("is_header or n_fields < 6 or ts is null"), "SCHEMA_ERROR", "kline row layout", message, timeframe, source)
 
 
 def scan_alignment(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """Times off the interval's boundary, as they are."""
     off = rows.filter("not is_header and n_fields >= 6 and ts is not null and not aligned")
-    return _event(off, "NON_ALIGNED_TIMESTAMP", "timestamp on an interval boundary", "timestamp is not aligned", timeframe, source)
+    return _event(off, "NON_ALIGNED_TIMESTAMP", "timestamp on an interval boundary", "time lies between interval starts", timeframe, source)
 
 
 def scan_duplicates(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
-    return _event(flagged(rows).filter("duplicate"), "DUPLICATE_TIMESTAMP", "timestamps must be unique", "duplicate timestamp", timeframe, source)
+    return _event(flagged(rows).filter("duplicate"), "DUPLICATE_TIMESTAMP", "timestamps must be unique", "time seen before in this archive", timeframe, source)
 
 
 def scan_order(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
-    return _event(flagged(rows).filter("out_of_order"), "OUT_OF_ORDER_TIMESTAMP", "timestamps must increase", "timestamp before the previous row's", timeframe, source)
+    return _event(flagged(rows).filter("out_of_order"), "OUT_OF_ORDER_TIMESTAMP", "timestamps must increase", "time is earlier than that of the row above", timeframe, source)
 
 
 def scan_values(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
@@ -108,32 +108,32 @@ def _holes(df: DataFrame, keys: list[str], order: str, step: str) -> DataFrame:
 def scan_gaps(rows: DataFrame, step: str = "1 hour", timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """An event for each missing time between consecutive valid rows of an archive."""
     holes = _holes(valid_timestamps(rows), ["symbol", "archive"], "row_no", step)
-    return _event(holes, "MISSING_INTERVAL", "intervals must be complete", "missing interval", timeframe, source)
+    return _event(holes, "MISSING_INTERVAL", "intervals must be complete", "no valid row for this time", timeframe, source)
 
 
 def scan_checksums(files: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """Events of ``files`` (symbol, archive, verified) that failed."""
-    return _event(files.filter("not coalesce(verified, false)"), "CHECKSUM_FAILURE", "published checksum", "checksum mismatch", timeframe, source)
+    return _event(files.filter("not coalesce(verified, false)"), "CHECKSUM_FAILURE", "published checksum", "digest differs from the published one", timeframe, source)
 
 
 def scan_quality(rows: DataFrame, step: str = "1 hour", timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """All row-level anomaly events of ``normalize_klines`` rows: one pass over flagged rows, and the gaps between valid ones."""
     rows = flagged(rows)
     layout = F.col("is_header") | (F.col("n_fields") < 6) | F.col("ts").isNull()
-    message = F.when(F.col("is_header"), "unexpected header row").when(F.col("n_fields") < 6, "malformed kline row").otherwise("unparseable timestamp")
+    message = F.when(F.col("is_header"), "row of column names").when(F.col("n_fields") < 6, "fewer than six fields").otherwise("time is not a whole epoch number")
     volume = F.col("violation").contains("volume")
     found = (
         (layout, F.lit("SCHEMA_ERROR"), F.lit("kline row layout"), message),
-        (~layout & ~F.col("aligned"), F.lit("NON_ALIGNED_TIMESTAMP"), F.lit("timestamp on an interval boundary"), F.lit("timestamp is not aligned")),
-        (F.col("duplicate"), F.lit("DUPLICATE_TIMESTAMP"), F.lit("timestamps must be unique"), F.lit("duplicate timestamp")),
-        (F.col("out_of_order"), F.lit("OUT_OF_ORDER_TIMESTAMP"), F.lit("timestamps must increase"), F.lit("timestamp before the previous row's")),
+        (~layout & ~F.col("aligned"), F.lit("NON_ALIGNED_TIMESTAMP"), F.lit("timestamp on an interval boundary"), F.lit("time lies between interval starts")),
+        (F.col("duplicate"), F.lit("DUPLICATE_TIMESTAMP"), F.lit("timestamps must be unique"), F.lit("time seen before in this archive")),
+        (F.col("out_of_order"), F.lit("OUT_OF_ORDER_TIMESTAMP"), F.lit("timestamps must increase"), F.lit("time is earlier than that of the row above")),
         (F.col("violation").isNotNull(), F.when(volume, "INVALID_VOLUME").otherwise("INVALID_OHLC"), F.col("violation"), F.col("violation")),
     )
     each = F.array_compact(F.array(*[F.when(bad, F.struct(k.alias("kind"), r.alias("rule"), m.alias("message"))) for bad, k, r, m in found]))
     own = rows.withColumn("_e", F.explode(each))
     own = _event(own, F.col("_e.kind"), F.col("_e.rule"), F.col("_e.message"), timeframe, source)
     valid = rows.filter("aligned and violation is null and not duplicate").select("symbol", "archive", "row_no", "ts")
-    return own.unionByName(_event(_holes(valid, ["symbol", "archive"], "row_no", step), "MISSING_INTERVAL", "intervals must be complete", "missing interval", timeframe, source))
+    return own.unionByName(_event(_holes(valid, ["symbol", "archive"], "row_no", step), "MISSING_INTERVAL", "intervals must be complete", "no valid row for this time", timeframe, source))
 
 
 def tag_provenance(events: DataFrame, known: DataFrame) -> DataFrame:
@@ -241,11 +241,10 @@ def affected_after(events: DataFrame, boundary: str) -> DataFrame:
     return events.agg(F.count_distinct("symbol", "parsed_timestamp").alias("affected"), F.coalesce(F.max(late), F.lit(False)).alias("any_after"))
 
 
-def validate_dataset(bars: DataFrame, step: str, symbols: list[str]) -> DataFrame:
-    """Issues of a dataset: (symbol, code, ts) for unknown symbols, times that don't increase, missing times."""
-    known = F.col("symbol").isin(*symbols)
+def validate_dataset(bars: DataFrame, step: str, symbols: DataFrame) -> DataFrame:
+    """Issues of a dataset: (symbol, code, ts) for symbols that aren't among ``symbols``, times that don't increase, missing times."""
     back = F.col("ts") <= F.lag("ts").over(Window.partitionBy("symbol").orderBy("row_no"))
-    wrong = bars.filter(~known).select("symbol", F.lit("symbol").alias("code"), "ts")
+    wrong = bars.join(symbols.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("symbol").alias("code"), "ts")
     order = bars.withColumn("_b", back).filter("_b").select("symbol", F.lit("ordering").alias("code"), "ts")
     missing = missing_intervals(bars, step).select("symbol", F.lit("missing_interval").alias("code"), "ts")
     return wrong.unionByName(order).unionByName(missing)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_day
+
 
 def ordered():  # noqa: ANN201
     """Rows of one segment in order. All indicators share it, so stacked windows need one shuffle and sort."""
@@ -29,19 +31,30 @@ def continuous_segments(bars: DataFrame, step: str, breaks: DataFrame | None = N
     return cut.withColumn("bar_idx", (F.row_number().over(Window.partitionBy("symbol", "segment_id").orderBy("ts")) - 1).cast("bigint"))
 
 
-def _inside(df: DataFrame, intervals: DataFrame) -> Column:
+def _lookup(df: DataFrame, intervals: DataFrame, how: str) -> DataFrame:
     own = F.col("b.symbol") == F.col("i.symbol") if "symbol" in intervals.columns else F.lit(True)
-    return own & (F.col("b.ts") >= F.col("i.start")) & (F.col("b.ts") < F.col("i.end"))
+    inside = own & (F.to_date("b.ts") == F.col("i._day")) & (F.col("b.ts") >= F.col("i.start")) & (F.col("b.ts") < F.col("i.end"))
+    return df.alias("b").join(by_day(intervals).alias("i"), inside, how)
 
 
 def outside_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows whose ``ts`` lies in no half-open interval (start, end), of their symbol where intervals have one."""
-    return df.alias("b").join(intervals.alias("i"), _inside(df, intervals), "left_anti")
+    """Rows whose ``ts`` lies in no half-open interval (start, end), of their symbol where intervals have one. They meet by symbol and day."""
+    return _lookup(df, intervals, "left_anti")
 
 
 def inside_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows whose ``ts`` lies in an interval."""
-    return df.alias("b").join(intervals.alias("i"), _inside(df, intervals), "left_semi")
+    """Rows whose ``ts`` lies in an interval: membership in certified segments."""
+    return _lookup(df, intervals, "left_semi")
+
+
+#: Fixed value: why a trade has to end at a continuity break.
+BOUNDARY = "DATA_BOUNDARY_TERMINATION"
+
+
+def boundary_termination(df: DataFrame, breaks: DataFrame) -> DataFrame:
+    """``df`` (symbol, ts, unique) with ``termination``: why a trade open at that time has to end there, null outside breaks."""
+    inside = inside_intervals(df, breaks).select("symbol", "ts", F.lit(BOUNDARY).alias("termination")).distinct()
+    return df.join(inside, ["symbol", "ts"], "left")
 
 
 def split_series(bars: DataFrame, breaks: DataFrame) -> DataFrame:

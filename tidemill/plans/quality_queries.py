@@ -257,11 +257,10 @@ def q_b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_partition(X.event_bars(spark, sf_dir, True), _partitions(spark)).groupBy("symbol", "partition").agg(F.count("*").alias("n"))
 
 
-@Q.add("q_B11", f"with {X.TYPE_SQL}, w as (select symbol as name, min(ts) as start, max(ts) as \"end\" from bars group by 1), b as (select *, lag(\"end\") over (order by start, \"end\", name) as before from w) select name, case when start >= \"end\" then 'start must be before end' when before <> start then 'partitions must be contiguous' when before is null and start <> timestamp '{START}' then 'window start not covered' end as error from b where start >= \"end\" or before <> start or (before is null and start <> timestamp '{START}')")
+@Q.add("q_B11", f"with {X.TYPE_SQL}, w as (select symbol as name, min(ts) as start, max(ts) as \"end\" from bars group by 1), b as (select *, lag(\"end\") over o as before, lead(start) over o as after from w window o as (order by start, \"end\", name)), e as (select name, case when start >= \"end\" then 'start must be before end' when before <> start then 'partitions must be contiguous' when before is null and start <> timestamp '{START}' then 'window start not covered' when after is null and \"end\" <> timestamp '{END}' then 'window end not covered' end as error from b) select * from e where error is not null")
 def q_b11(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = X.event_bars(spark, sf_dir, True).groupBy(F.col("symbol").alias("name")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
-    span = span.withColumn("start", F.col("start"))
-    return quality.validate_partitions(span, START, END).filter("error <> 'window end not covered'")
+    return quality.validate_partitions(span, START, END)
 
 
 @Q.add("q_B12", "select date_trunc('hour', ts)::timestamp as hour, count(*) as n from events group by 1")
@@ -272,7 +271,7 @@ def q_b12(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Quality scan
 
 
-@Q.add("q_C1", "select c_mktsegment as symbol, 'A-1h-' || c_custkey as archive, case when c_custkey % 3 = 0 then 'unexpected archive structure' when c_custkey % 3 = 1 then 'member symbol mismatch' else 'unexpected member name' end as message from customer where c_custkey % 4 <> 0 or c_custkey % 3 = 0")
+@Q.add("q_C1", "select c_mktsegment as symbol, 'A-1h-' || c_custkey as archive, case when c_custkey % 3 = 0 then 'archive does not hold exactly one file' when c_custkey % 3 = 1 then 'file in the archive is of another symbol' else 'file in the archive has another kind of name' end as message from customer where c_custkey % 4 <> 0 or c_custkey % 3 = 0")
 def q_c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     key = F.col("c_custkey")
@@ -295,7 +294,7 @@ _scan("q_C6", "'INVALID_OHLC', 'INVALID_VOLUME'", quality.scan_values)
 _scan("q_C7", "'MISSING_INTERVAL'", quality.scan_gaps)
 
 
-@Q.add("q_C8", _TEXTS + " select archive, 'checksum mismatch' as message from c where expected <> digest")
+@Q.add("q_C8", _TEXTS + " select archive, 'digest differs from the published one' as message from c where expected <> digest")
 def q_c8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scan_checksums(q_a3(spark, sf_dir).withColumn("symbol", F.lit("d"))).select("archive", "message")
 
@@ -332,7 +331,7 @@ def q_c12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_c13(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir).filter("aligned")
     r = r.withColumn("row_no", F.row_number().over(Window.partitionBy("symbol").orderBy("archive", "row_no")))
-    names = [s for (s,) in _symbols(spark, sf_dir).filter("symbol <> 'error'").collect()]  # a handful of event types
+    names = _symbols(spark, sf_dir).filter("symbol <> 'error'")
     return quality.validate_dataset(r.select("symbol", "ts", "row_no"), "1 hour", names)
 
 
@@ -402,7 +401,7 @@ def q_d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.certification(events(spark, sf_dir), regions(spark, sf_dir)[2], _symbols(spark, sf_dir), _partitions(spark))
 
 
-@Q.add("q_D7", RAW_SQL + "select symbol, start, \"end\", 'research continuity cannot cross an affected region' as reason from restored")
+@Q.add("q_D7", RAW_SQL + "select symbol, start, \"end\", 'bars on both sides of an affected region belong to different segments' as reason from restored")
 def q_d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.continuity_breaks(regions(spark, sf_dir)[2]).drop("anomaly_ids")
 
@@ -412,6 +411,17 @@ def q_d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.outside_intervals(X.event_bars(spark, sf_dir, True), regions(spark, sf_dir)[2]).select("symbol", "ts", "close")
 
 
+@Q.add("q_D8_certified", RAW_SQL + "select symbol, ts from bars b where exists (select 1 from cert c where c.symbol = b.symbol and b.ts >= c.start and b.ts < c.\"end\")")
+def q_d8_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cert = intervals.certified_segments(regions(spark, sf_dir)[2], _symbols(spark, sf_dir), START, END)
+    return segments.inside_intervals(X.event_bars(spark, sf_dir, True), cert).select("symbol", "ts")
+
+
+@Q.add("q_D8_boundary", RAW_SQL + "select symbol, ts, case when exists (select 1 from restored r where r.symbol = b.symbol and b.ts >= r.start and b.ts < r.\"end\") then 'DATA_BOUNDARY_TERMINATION' end as termination from bars b")
+def q_d8_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.boundary_termination(X.event_bars(spark, sf_dir, True), regions(spark, sf_dir)[2]).select("symbol", "ts", "termination")
+
+
 @Q.add("q_D9", RAW_SQL.replace("with bars as", "with allbars as", 1).replace("from bars", "from allbars") + f", bars as (select * from allbars b where not exists (select 1 from restored r where r.symbol = b.symbol and b.ts >= r.start and b.ts < r.\"end\")), {X.segments_sql('1 hour')} select symbol, ts, segment_id, bar_idx from seg")
 def q_d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.continuous_segments(X.event_bars(spark, sf_dir, True), "1 hour", regions(spark, sf_dir)[2]).select("symbol", "ts", "segment_id", "bar_idx")
@@ -463,7 +473,7 @@ def q_d18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.dataset_identity(X.daily_bars(spark, sf_dir), "v1")
 
 
-@Q.add("q_D19", "with h as (select string_agg('d' || doc_id || ':' || sha256(text), chr(10) order by 'd' || doc_id || ':' || sha256(text)) as t, count(*) as n from documents where text is not null) select n as files, sha256(t) as identity from h")
+@Q.add("q_D19", "with h as (select substr(sha256('d' || doc_id), 1, 4) as deal, sha256(string_agg('d' || doc_id || ':' || sha256(text), chr(10) order by 'd' || doc_id || ':' || sha256(text))) as t, count(*) as n from documents where text is not null group by 1) select coalesce(sum(n), 0)::bigint as files, sha256(string_agg(t, chr(10) order by deal)) as identity from h")
 def q_d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.archive_set_identity(q_a11(spark, sf_dir))
 

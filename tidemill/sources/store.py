@@ -11,9 +11,11 @@ _local: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; under a local folder only where that is unset (local mode)."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local folder in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _local[0]
