@@ -155,6 +155,31 @@ def test_rebalance_and_decision(spark):
     assert {r.hyp: (r.decision, r.failed) for r in robustness.decide(dims, ["hyp"]).collect()} == {"x": ("PASS", []), "y": ("FAIL", ["b"])}
 
 
+def test_first_come_selection_equals_walk(spark):
+    rng = random.Random(8)
+    rows = sorted({(k, rng.randint(0, 4000)) for k in "ab" for _ in range(1500)})
+    df = spark.createDataFrame(rows, "k string, bar_idx bigint").withColumn("spacing", F.lit(3))
+    want = []
+    for k in "ab":
+        last = -10
+        for _, i in [r for r in rows if r[0] == k]:
+            if i - last >= 3:
+                want.append((k, i))
+                last = i
+    assert sorted((r.k, r.bar_idx) for r in event_study.select_non_overlapping(df, ["k"]).collect()) == want
+
+
+def test_exponential_mean_of_one_bar_and_of_many(spark):
+    df, rows = bars(spark, 1500, seed=4)
+    seg = segments.continuous_segments(df, "1 hour")
+    got = indicators.ema(indicators.ema(seg, 1, out="one"), 200, out="many").orderBy("bar_idx").collect()
+    mean = None
+    for r in got:
+        assert r.one == r.close
+        mean = r.close if mean is None else mean + (r.close - mean) * 2 / 201
+        assert r.many == pytest.approx(mean, rel=1e-9)
+
+
 def test_stacked_windows_share_one_shuffle(spark):
     seg = segments.continuous_segments(fixtures.daily_bars(spark, "/root/testdata/sf0.001"), "1 day")
     df = indicators.with_base_columns(seg).withColumns({"a": indicators.sma(5), "b": indicators.prior_median("volume", 5), "c": indicators.range_ratio(5)})

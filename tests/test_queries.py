@@ -1,5 +1,8 @@
 """Registered queries beside their SQL on the smallest tables."""
 
+import hashlib
+import json
+from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
 
@@ -10,7 +13,7 @@ import __spark_entry__
 from tidemill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = "q_A1 q_A3 q_A5 q_A7 q_B1_B2_B3 q_B7 q_B10 q_C4 q_C5 q_C7 q_C12 q_D3 q_D4 q_D9 q_D13 q_D18 q_E3 q_E7 q_E13 q_E18 q_F05 q_F10 q_F02 q_G1 q_G9 q_H2 q_I8 q_I12 q_J4 q_J7 q_K2_K4 q_K3".split()
+SOME = "q_A1 q_A3 q_A5 q_A7 q_B1_B2_B3 q_B7 q_B10 q_C4 q_C5 q_C7 q_C12 q_D3 q_D4 q_D9 q_D13 q_D18 q_E3 q_E7 q_E13 q_E18 q_F05 q_F10 q_F02 q_G1 q_G9 q_H2 q_I8 q_I12 q_J4 q_J7 q_K2_K4 q_K3 q_B11 q_D8_certified q_D8_boundary q_D14 q_D19 q_C13 q_H3 q_H4 q_H5 q_J11 q_J13_control q_J15 q_J15_nine q_J16_segments q_L1 q_F31_F33".split()
 
 
 def plain(v):
@@ -34,6 +37,18 @@ def test_same_rows_as_sql(spark, name):
     assert got == want
 
 
+def test_event_ids(spark):
+    """Each id is the hash of its event's compact JSON with sorted keys, nulls included."""
+    from tidemill.plans import quality_queries
+
+    rows = quality_queries.events(spark, SF).collect()
+    for r in rows:
+        body = {k: v.strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] if isinstance(v, datetime) else v for k, v in r.asDict().items() if k != "event_id"}
+        assert r.event_id == hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    got = registry.queries()["q_D17"](spark, SF).collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in rows) and len(rows) > 20
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -112,6 +112,15 @@ def conditional_control(seg: DataFrame, condition: Column, delay: int) -> DataFr
     return out.withColumn("difference", F.col("conditional_mean") - F.col("control_mean"))
 
 
+def control_by_cell(seg: DataFrame, hits: DataFrame) -> DataFrame:
+    """As ``conditional_control`` one bar later, with the condition of each cell where ``hits`` (symbol, segment_id, bar_idx, cell) has the bar."""
+    df = seg.withColumn("_r", F.lead("close", 1).over(ordered()) / F.col("close") - 1).filter("bar_idx >= 1 and _r is not null")
+    every = df.agg(F.count("*").alias("control_events"), F.coalesce(F.avg("_r"), F.lit(0.0)).alias("control_mean"))
+    own = hits.select("cell", "symbol", "segment_id", "bar_idx").join(df.select("symbol", "segment_id", "bar_idx", "_r"), ["symbol", "segment_id", "bar_idx"])
+    out = own.groupBy("cell").agg(F.count("*").alias("conditional_events"), F.avg("_r").alias("conditional_mean")).crossJoin(F.broadcast(every))
+    return out.withColumn("difference", F.col("conditional_mean") - F.col("control_mean"))
+
+
 def first_touch(triggers: DataFrame, horizon: int = 19, reward: float = 2.0, fee: float = 0.0, warm: Column | None = None) -> DataFrame:
     """Trades of ``short`` / ``long`` bars: stop or target, whichever the next ``horizon`` bars touch first.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .event_study import compound
+from . import metrics
+from .event_study import compound, event_equity
 from .indicators import regime
 
 
@@ -102,9 +103,27 @@ def top_share(events: DataFrame, keys: list[str], variant: str = "ceil", value:
 
 
 def drawdown_gate(dd: DataFrame, variant: str = "loose") -> DataFrame:
-    """``dd`` (max_drawdown, worst_segment_return, recovery, duration) with ``pass``. 'strict' also refuses a worst segment of exactly -50 %."""
+    """``dd`` (max_drawdown, worst_segment_return, recovery, duration, events) with ``pass``; without events it fails. 'strict' also refuses a worst segment of exactly -50 %."""
     worst = F.col("worst_segment_return") >= -0.5 if variant == "loose" else F.col("worst_segment_return") > -0.5
-    return dd.withColumn("pass", (F.col("max_drawdown") < 0.7) & worst & (F.col("recovery") <= 0.5 * F.col("duration")))
+    return dd.withColumn("pass", (F.col("events") > 0) & (F.col("max_drawdown") < 0.7) & worst & (F.col("recovery") <= 0.5 * F.col("duration")))
+
+
+def drawdown_recovery(events: DataFrame, seg: DataFrame, keys: list[str], variant: str = "entry") -> DataFrame:
+    """Per keys: events, largest drawdown of a segment's event equity, worst segment (0 at best), longest recovery and eligible duration in hours.
+
+    'entry' dates equity by entries and spans segments from first to last bar; 'exit' dates it by exits, adds the time
+    from the last peak to the segment's end where equity ends below it, and counts bars as hours.
+    """
+    by = [*keys, "segment_id"]
+    equity = event_equity(events, by)
+    fall = metrics.max_drawdown(equity, by, start=1.0).groupBy(*keys).agg(F.max("max_drawdown").alias("max_drawdown"))
+    last = seg.groupBy("symbol", "segment_id").agg(F.min("ts").alias("_first"), F.max("ts").alias("end_ts"), F.count("*").alias("_bars"))
+    tail = events.select(*by).distinct().join(last, ["symbol", "segment_id"]).select(*by, "end_ts") if variant == "exit" else None
+    hours = metrics.longest_recovery_hours(equity, by, f"{variant}_ts", tail).groupBy(*keys).agg(F.max("longest_recovery_hours").alias("recovery"))
+    worst = metrics.segment_returns(events, keys).groupBy(*keys).agg(F.least(F.min("segment_return"), F.lit(0.0)).alias("worst_segment_return"), F.sum("events").alias("events"))
+    span = F.floor((F.unix_seconds(F.to_timestamp("end_ts")) - F.unix_seconds(F.to_timestamp("_first"))) / 3600) + 1
+    duration = last.groupBy("symbol").agg(F.sum(span if variant == "entry" else F.col("_bars")).alias("duration"))
+    return fall.join(worst, keys).join(hours, keys).join(duration, "symbol").select(*keys, "events", "max_drawdown", "worst_segment_return", "recovery", "duration")
 
 
 def concentration_drawdown(segs: DataFrame, events: DataFrame, keys: list[str], drawdown: DataFrame) -> DataFrame:
@@ -113,10 +132,54 @@ def concentration_drawdown(segs: DataFrame, events: DataFrame, keys: list[str],
     return worst.join(log_concentration(segs, keys), keys, "left").join(top_share(events, keys), keys, "left").join(drawdown, keys, "left")
 
 
-def transferability(summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether every symbol has positive mean segment and compound returns."""
+def transferability(summary: DataFrame, keys: list[str], control: DataFrame | None = None) -> DataFrame:
+    """Whether every symbol has positive mean segment and compound returns; with ``control`` (keys, difference) also a positive difference."""
     ok = (F.col("mean_segment_return") > 0) & (F.col("compound_return") > 0)
-    return summary.groupBy(*keys).agg(F.count("*").alias("symbols"), F.min(ok).alias("pass"))
+    out = summary.groupBy(*keys).agg(F.count("*").alias("symbols"), F.min(ok).alias("pass"))
+    if control is None:
+        return out
+    return out.join(control.select(*keys, "difference"), keys, "left").withColumn("pass", F.col("pass") & F.coalesce(F.col("difference") > 0, F.lit(False)))
+
+
+def battery(events: DataFrame, seg: DataFrame, cells: DataFrame, nine: bool = False, base: str = "baseline", worst: str = "stress_2") -> DataFrame:
+    """Every cell as a hypothesis' base: (cell and a boolean per dimension), each over all symbols of ``seg``. See ``decide``.
+
+    Eight dimensions: neighbourhood of all cells, costs, timing, regimes, leave-one-out with a gain, concentration,
+    drawdown and recovery, transfer to every symbol. ``nine`` takes the stricter regimes and the drawdown dated by
+    exits, and adds the protocol's eligibility. Of ``events`` it reads those of cost ``base`` and delay 1, but for
+    costs and timing. A symbol without events fails what it has no row for.
+    """
+    keys = ["cell", "symbol"]
+    summary = metrics.cell_summary(events, [*keys, "cost", "delay"])
+    at = (F.col("cost") == base) & (F.col("delay") == 1)
+    first, own = summary.filter(at), events.filter(at)
+    segs = metrics.segment_returns(own, keys)
+    gain = (F.col("mean_segment_return") > 0) & (F.col("compound_return") > 0)
+    half = (F.col("max_share") <= 0.5) & (F.col("top_share") <= 0.5)
+    fall = drawdown_gate(drawdown_recovery(own, seg, keys, "exit" if nine else "entry")).select(*keys, "pass")
+    dims = {
+        "fee_slippage": cost_stress(summary, keys, worst),
+        "timing": timing_stress(summary, keys, base),
+        "regime_stability": regime_events(own, seg, keys, 100, "strict" if nine else "bars"),
+        "sample_size_stability": leave_one_out(segs, keys, seg).join(first, keys).select(*keys, (F.col("pass") & (F.col("compound_return") > 0)).alias("pass")),
+        "concentration": log_concentration(segs, keys).join(top_share(own, keys, "tenth" if nine else "ceil"), keys, "left").select(*keys, half.alias("pass")),
+        "drawdown_recovery": fall,
+        "asset_transferability": first.select(*keys, gain.alias("pass")),
+    }
+    if nine:
+        economic = (F.col("compound_return") >= 0.1) & (F.col("mean_segment_return") > 0) & F.col("pass")
+        dims["protocol_eligibility"] = first.join(fall, keys, "left").select(*keys, economic.alias("pass"))
+    out = cells.select("cell").crossJoin(F.broadcast(seg.select("symbol").distinct()))
+    around = param_neighborhood(first, ["symbol"]).select("symbol", F.col("pass").alias("parameter_neighborhood"))
+    out = out.join(around, "symbol", "left")
+    for name, df in dims.items():
+        out = out.join(df.select(*keys, F.col("pass").alias(name)), keys, "left")
+    names = ["parameter_neighborhood", *dims]
+    out = out.groupBy("cell").agg(*[F.min(F.coalesce(n, F.lit(False))).alias(n) for n in names])
+    if nine:
+        support = protocol_eligibility(first, ["cell"]).select("cell", "support")
+        out = out.join(support, "cell", "left").withColumn("protocol_eligibility", F.col("protocol_eligibility") & F.coalesce("support", F.lit(False))).drop("support")
+    return out
 
 
 def protocol_eligibility(summary: DataFrame, keys: list[str], least_return: float = 0.1, trades: int = 300, segments: int = 20) -> DataFrame:
@@ -138,6 +201,19 @@ def decide(dimensions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_errors(cells: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Every cell, with its summary or the ``error`` that it has none. No cell drops out."""
+    """Every cell, with its summary and the ``error`` that came with it, or that it has none. No cell drops out."""
+    had = F.col("error") if "error" in summary.columns else F.lit(None).cast("string")
     out = cells.join(summary, keys, "left")
-    return out.withColumn("error", F.when(F.col("compound_return").isNull(), "no eligible segments"))
+    return out.withColumn("error", F.coalesce(had, F.when(F.col("compound_return").isNull(), "no eligible segments")))
+
+
+def segment_rows(seg: DataFrame, events: DataFrame, cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """A row per cell and segment: events and return, or the ``error`` why there is none. No segment drops out.
+
+    A segment of under ``least`` bars is too short; one that lost everything can't be compounded with others.
+    """
+    size = seg.groupBy("symbol", "segment_id").agg(F.count("*").alias("bars"))
+    own = metrics.segment_returns(events, keys)
+    out = size.crossJoin(F.broadcast(cells)).join(own, [*keys, "segment_id"], "left")
+    error = F.when(F.col("bars") < least, F.format_string("segment of %d bars, %d needed", F.col("bars"), F.lit(least))).when(F.col("segment_return") <= -1, "segment lost everything").when(F.col("events").isNull(), "no events")
+    return out.select(*keys, "segment_id", "bars", F.coalesce("events", F.lit(0)).alias("events"), "segment_return", error.alias("error"))

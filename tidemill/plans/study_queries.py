@@ -148,11 +148,30 @@ def q_f26(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHOCK = {"volume_lookback": [24, 48], "shock": [1.2, 1.5], "return_threshold": [0.05, 0.2]}
 
 
-@Q.add("q_F31_F33", "select count(*) as cells, count(distinct cell) as numbers, sum(v.v) as total from (values (0, 1.2 + 0.05), (1, 1.2 + 0.2), (2, 1.5 + 0.05), (3, 1.5 + 0.2), (4, 1.2 + 0.05), (5, 1.2 + 0.2), (6, 1.5 + 0.05), (7, 1.5 + 0.2)) v(cell, v), (select count(*) as n from lineitem) where n > 0")
+#: The registered cycles and their numbers of cells.
+CYCLES = (("next", ("hyp0005", "hyp0006", "hyp0007"), 45), ("2", ("hyp0008", "hyp0009", "hyp0010"), 45), ("3", ("hyp0011", "hyp0012", "hyp0013"), 33), ("4", ("hyp0014", "hyp0015", "hyp0016"), 26), ("5", ("hyp0017", "hyp0018", "hyp0019"), 28), ("6", ("hyp0020", "hyp0021", "hyp0022"), 40), ("7", ("hyp0023", "hyp0024", "hyp0025"), 28))
+_GRIDS = "".join(_cells_sql(n).replace("cells(", f"g_{n}(", 1) for _, names, _ in CYCLES for n in names)
+_COUNTED = " union all ".join(f"select '{cycle}' as cycle, '{n}' as hypothesis, cell from g_{n}" for cycle, names, _ in CYCLES for n in names)
+_FIRED = " union all ".join(f"select '{n}' as hypothesis, cell, count(*) as hits from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]} group by cell" for n in ("hyp0005", "hyp0008", "hyp0012", "hyp0019"))
+
+
+@Q.add("q_F31_F33", f"{_PRE}{_FEAT}{_GRIDS}, every as ({_COUNTED}), fired as ({_FIRED}) select cycle, count(*) as cells, count(distinct (hypothesis, cell)) as numbers, coalesce(sum(hits), 0)::bigint as hits from every left join fired using (hypothesis, cell) group by 1")
 def q_f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = signals.assert_cells(signals.param_grid(spark, SHOCK), 8)
-    some = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count("*").alias("n")).filter("n > 0")
-    return cells.crossJoin(some).agg(F.count("*").alias("cells"), F.count_distinct("cell").alias("numbers"), F.sum(F.col("shock") + F.col("return_threshold")).alias("total"))
+    """The registered grids with their counts asserted, and how often some of them fire on all bars."""
+    seg = daily(spark, sf_dir)
+    every = fired = None
+    for cycle, names, n in CYCLES:
+        own = None
+        for name in names:
+            grid = signals.param_grid(spark, signals.SIGNALS[name].grid).select(F.lit(cycle).alias("cycle"), F.lit(name).alias("hypothesis"), "cell")
+            own = grid if own is None else own.union(grid)
+        own = signals.assert_cells(own, n)
+        every = own if every is None else every.union(own)
+    for name in ("hyp0005", "hyp0008", "hyp0012", "hyp0019"):
+        hits = signals.evaluate_grid(seg, name).groupBy("cell").agg(F.count("*").alias("hits")).select(F.lit(name).alias("hypothesis"), "cell", "hits")
+        fired = hits if fired is None else fired.union(hits)
+    both = every.join(fired, ["hypothesis", "cell"], "left")
+    return both.groupBy("cycle").agg(F.count("*").alias("cells"), F.count_distinct("hypothesis", "cell").alias("numbers"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 
 
 _SHOCK_HITS = f"{_PRE}{_FEAT}{_cells_sql('hyp0005', SHOCK)}, hits as (select cell, symbol, segment_id, bar_idx from f2 join cells on bar_idx >= 1 and {_RULES['hyp0005']})"
@@ -173,13 +192,14 @@ def study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return seg, written(G.run_events(signals.evaluate_grid(seg, "hyp0005", SHOCK), seg, G.stress_grid(spark)), "events")
 
 
-_STUDY = _SHOCK_HITS + """, stress(cost, fee, slip, delay) as (select c.*, d from (values ('baseline', 0.001::double, 0.0005::double), ('stress_1', 0.0015, 0.001), ('stress_2', 0.0025, 0.0015)) c(cost, fee, slip), (values (1), (2)) d(d)),
+_STUDY_OF_HITS = """, stress(cost, fee, slip, delay) as (select c.*, d from (values ('baseline', 0.001::double, 0.0005::double), ('stress_1', 0.0015, 0.001), ('stress_2', 0.0025, 0.0015)) c(cost, fee, slip), (values (1), (2)) d(d)),
   lastbar as (select symbol, segment_id, max(bar_idx) as lb from seg group by 1, 2),
   cand as (select h.cell, h.symbol, h.segment_id, h.bar_idx, d.delay from hits h join (select distinct delay from stress) d on true join lastbar l on l.symbol = h.symbol and l.segment_id = h.segment_id and h.bar_idx + d.delay <= lb),
   walk as (with recursive w as (select cell, symbol, segment_id, delay, min(bar_idx) as bar_idx from cand group by 1, 2, 3, 4
     union all select cell, symbol, segment_id, delay, nxt from (select w.*, (select min(c.bar_idx) from cand c where c.cell = w.cell and c.symbol = w.symbol and c.segment_id = w.segment_id and c.delay = w.delay and c.bar_idx > w.bar_idx + w.delay) as nxt from w) where nxt is not null) select * from w),
-  ev as (select w.cell, w.symbol, w.segment_id, w.bar_idx, w.delay, s.cost, w.bar_idx + w.delay as entry_idx, b.ts as entry_ts, b.close * (1 - slip) / (b.open * (1 + slip)) * (1 - fee) * (1 - fee) - 1 as ret
+  ev as (select w.cell, w.symbol, w.segment_id, w.bar_idx, w.delay, s.cost, w.bar_idx + w.delay as entry_idx, b.ts as entry_ts, b.ts as exit_ts, b.close * (1 - slip) / (b.open * (1 + slip)) * (1 - fee) * (1 - fee) - 1 as ret
     from walk w join seg b on b.symbol = w.symbol and b.segment_id = w.segment_id and b.bar_idx = w.bar_idx + w.delay join stress s on s.delay = w.delay)"""
+_STUDY = _SHOCK_HITS + _STUDY_OF_HITS
 KEYS = ["cell", "symbol", "cost", "delay"]
 _K = "cell, symbol, cost, delay"
 _COMP = "exp(sum(ln(1 + ret))) - 1"
@@ -195,10 +215,9 @@ def q_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study(spark, sf_dir)[1].select(*KEYS, "segment_id", "bar_idx", "entry_idx", "ret")
 
 
-@Q.add("q_G5", _STUDY + f" select {_K}, segment_id, bar_idx, round(exp(sum(ln(1 + ret)) over (partition by {_K}, segment_id order by bar_idx)), 4) as equity from ev where exists (select 1) and cost = 'stress_1'")
+@Q.add("q_G5", _STUDY + f" select {_K}, segment_id, bar_idx, round(sum(ln(1 + ret)) over (partition by {_K}, segment_id order by bar_idx), 6) as log_equity from ev")
 def q_g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = study(spark, sf_dir)[1].filter("cost = 'stress_1'")
-    return G.event_equity(ev, [*KEYS, "segment_id"]).select(*KEYS, "segment_id", "bar_idx", F.round("equity", 4).alias("equity"))
+    return G.event_equity(study(spark, sf_dir)[1], [*KEYS, "segment_id"]).select(*KEYS, "segment_id", "bar_idx", F.ln("equity").alias("log_equity"))
 
 
 _BENCH = "select symbol, segment_id, count(*) as bars, arg_min(open, bar_idx) as o, arg_max(close, bar_idx) as c from seg group by 1, 2 having count(*) >= 2"
@@ -248,6 +267,8 @@ def q_g10_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Accounting
 
+SEG = ["symbol", "segment_id"]
+
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of the momentum signal on daily bars."""
@@ -284,33 +305,48 @@ def q_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seg = daily(spark, sf_dir)
-    loc = F.round(C.close_location(F.col("high"), F.col("low"), F.col("close")) * 4) / 4
-    df = seg.withColumns({"cell": F.lit(0).cast("bigint"), "target": loc}).filter("bar_idx < 120")
-    df = written(df, "targets")
+    """Daily bars whose target is larger the nearer the close is to the low, in quarters, and the fills."""
+    df = daily(spark, sf_dir)
+    low = 1 - F.round(C.close_location(F.col("high"), F.col("low"), F.col("close")) * 4) / 4
+    df = written(df.withColumns({"cell": F.lit(0).cast("bigint"), "target": low}), "targets")
     return df, written(accounting.fractional_fills(df), "fills")
 
 
-@Q.add("q_H3")
+_FRACTION = f"""{_PRE}, tg as (select symbol, segment_id, bar_idx, open, close, 1 - round((case when high > low then (close - low) / (high - low) else 0 end) * 4) / 4 as target from seg),
+  d as (select *, lag(target) {_P}) as wanted from tg),
+  w as (with recursive a as (select symbol, segment_id, bar_idx, 1000.0::double as cash, 0.0::double as units, 0.0::double as traded, 0.0::double as price, 0.0::double as fee, 1000.0::double as equity from d where bar_idx = 0
+    union all select symbol, segment_id, bar_idx, cash - q * p - abs(q) * p * 0.001, case when q < 0 and wanted = 0 then 0.0 else units + q end, q, p, abs(q) * p * 0.001, cash - q * p - abs(q) * p * 0.001 + (case when q < 0 and wanted = 0 then 0.0 else units + q end) * close
+    from (select *, case when still then 0.0 when move > 0 then move / 1.001 / p when wanted = 0 then -units else -least(units, -move / p) end as q
+      from (select *, open * (case when move > 0 then 1.0005 else 0.9995 end) as p, abs(move) <= 1e-12 * (cash + units * open) or (move < 0 and units <= 0) as still
+        from (select d.*, a.cash, a.units, (a.cash + a.units * d.open) * d.wanted - a.units * d.open as move from a join d on d.symbol = a.symbol and d.segment_id = a.segment_id and d.bar_idx = a.bar_idx + 1)))) select * from a),
+  fills as (select symbol, segment_id, bar_idx, case when traded > 0 then 'buy' else 'sell' end as side, abs(traded) as qty, price, fee from w where traded <> 0),
+  cum as (select *, sum(qty) over (partition by symbol, segment_id, side order by bar_idx) as hi from fills),
+  met as (select b.symbol, b.segment_id, b.bar_idx as buy_idx, s.bar_idx as sell_idx, least(b.hi, s.hi) - greatest(b.hi - b.qty, s.hi - s.qty) as q, b.qty as bq, b.price as bp, b.fee as bf, s.qty as sq, s.price as sp, s.fee as sf from cum b join cum s on b.symbol = s.symbol and b.segment_id = s.segment_id and b.side = 'buy' and s.side = 'sell' and b.hi - b.qty < s.hi and s.hi - s.qty < b.hi),
+  lots as (select symbol, segment_id, buy_idx, sell_idx, q, q * bp + bf * q / bq as cost, q * sp - sf * q / sq as proceeds from met where q > 1e-9 * least(bq, sq))"""
+
+
+@Q.add("q_H3", _FRACTION + " select symbol, segment_id, bar_idx, side, round(ln(qty), 6) as log_qty, round(ln(price), 6) as log_price, round(ln(fee), 6) as log_fee from fills")
 def q_h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fills(spark, sf_dir)[1]
+    return _fills(spark, sf_dir)[1].select(*SEG, "bar_idx", "side", F.ln("qty").alias("log_qty"), F.ln("price").alias("log_price"), F.ln("fee").alias("log_fee"))
 
 
-@Q.add("q_H4")
+@Q.add("q_H4", _FRACTION + " select symbol, segment_id, buy_idx, sell_idx, round(proceeds / cost, 6) as gain, round(ln(cost), 5) as log_cost from lots")
 def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.fifo_match(_fills(spark, sf_dir)[1])
+    lots = accounting.fifo_match(_fills(spark, sf_dir)[1])
+    return lots.select(*SEG, "buy_idx", "sell_idx", (F.col("proceeds") / F.col("cost")).alias("gain"), F.round(F.ln("cost"), 5).alias("log_cost"))
 
 
-@Q.add("q_H5")
+@Q.add("q_H5", _FRACTION + """, fin as (select symbol, segment_id, arg_max(w.equity, w.bar_idx) as equity, arg_max(w.units, w.bar_idx) * arg_max(d.close, d.bar_idx) as held, sum(w.fee) as fees, sum(w.traded * w.price + w.fee) filter (w.traded > 0) as bought from w join d using (symbol, segment_id, bar_idx) group by 1, 2),
+  sold as (select symbol, segment_id, sum(proceeds - cost) as realized, sum(cost) as closed from lots group by 1, 2)
+  select symbol, segment_id, round(ln(equity), 6) as log_equity, round(coalesce(fees, 0) / equity, 4) as fees, round(coalesce(realized, 0) / equity, 4) as realized, round((held - (coalesce(bought, 0) - coalesce(closed, 0))) / equity, 4) as unrealized from fin left join sold using (symbol, segment_id)""")
 def q_h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, fills = _fills(spark, sf_dir)
-    return accounting.account_totals(accounting.equity_curve(df, fills), fills, accounting.fifo_match(fills))
+    t = accounting.account_totals(accounting.equity_curve(df, fills), fills, accounting.fifo_match(fills))
+    return t.select(*SEG, F.ln("final_equity").alias("log_equity"), *[F.round(F.col(c) / F.col("final_equity"), 4).alias(c) for c in ("fees", "realized", "unrealized")])
 
 
 # Metrics
 
-SEG = ["symbol", "segment_id"]
-
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(accounting.binary_accounting(_targets(spark, sf_dir)), "curve")
@@ -408,10 +444,10 @@ def q_j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.regime_events(ev, seg, KEYS)
 
 
-@Q.add("q_J5", _REG + f" select {_K}, count(*) filter (events >= 20) as qualifying, count(*) filter (events >= 20 and comp > 0) as positive, count(*) filter (events >= 20 and comp > 0) >= 2 as pass from rc group by 1, 2, 3, 4")
+@Q.add("q_J5", _REG + f" select {_K}, count(*) filter (events >= 100) as qualifying, count(*) filter (events >= 100 and comp > 0) as positive, count(*) filter (events >= 100 and comp > 0) >= 2 as pass from rc group by 1, 2, 3, 4")
 def q_j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg, ev = study(spark, sf_dir)
-    return robustness.regime_events(ev, seg, KEYS, 20, "strict")
+    return robustness.regime_events(ev, seg, KEYS, 100, "strict")
 
 
 _metric("q_J6", f", lb as (select *, close / lag(close, 168) over (partition by symbol, segment_id order by bar_idx) - 1 as m from cv) select symbol, case when m > 0.1 then 'bull' when m < -0.1 then 'bear' else 'neutral' end as regime, count(*) as bars, round(asinh(exp(sum(ln(1 + r))) - 1), 6) as compound from lb where m is not null and r is not null group by 1, 2", lambda c: robustness.regime_equity(c, ["symbol"]).select("symbol", "regime", "bars", F.asinh("return").alias("compound")))
@@ -453,12 +489,16 @@ def _drawdowns(ev: DataFrame) -> DataFrame:
     return per.groupBy(*KEYS).agg(F.max("max_drawdown").alias("max_drawdown"))
 
 
-@Q.add("q_J11", _DD + f" select {_K}, round(mdd, 6) as max_drawdown, round(least(worst, 0), 6) as worst_segment_return, mdd < 0.7 and least(worst, 0) >= -0.5 as pass from dd join ws using ({_K})")
+_RECOVERY = f""", pt as (select *, max(case when equity >= peak then entry_ts end) over (partition by {_K}, segment_id order by bar_idx) as pts from pk), rh as (select {_K}, segment_id, coalesce(max(case when equity < peak then epoch_us(entry_ts) - epoch_us(pts) end), 0) / 3.6e9 as entry_hours,
+    greatest(coalesce(max(case when equity < peak then epoch_us(entry_ts) - epoch_us(pts) end), 0), coalesce(arg_max(case when equity < peak then epoch_us(last_ts) - epoch_us(pts) end, bar_idx), 0), coalesce(max(case when bar_idx = last_event and equity < peak then epoch_us(last_ts) - epoch_us(pts) end), 0)) / 3.6e9 as exit_hours
+    from (select pt.*, l.last_ts, max(bar_idx) over (partition by {_K}, pt.segment_id) as last_event from pt join (select symbol, segment_id, max(ts) as last_ts from seg group by 1, 2) l using (symbol, segment_id)) group by 1, 2, 3, 4, 5),
+  rk as (select {_K}, max(entry_hours) as recovery, max(exit_hours) as exit_recovery from rh group by 1, 2, 3, 4), du as (select symbol, sum(floor((epoch(b) - epoch(a)) / 3600) + 1)::bigint as duration, sum(n)::bigint as bars from (select symbol, segment_id, min(ts) as a, max(ts) as b, count(*) as n from seg group by 1, 2) group by 1)""".replace(" coalesce(arg_max(case when equity < peak then epoch_us(last_ts) - epoch_us(pts) end, bar_idx), 0),", "")
+
+
+@Q.add("q_J11", _DD + _RECOVERY + f" select {_K}, n::bigint as events, round(mdd, 6) as max_drawdown, round(least(worst, 0), 6) as worst_segment_return, round(recovery, 6) as recovery, duration, n > 0 and mdd < 0.7 and least(worst, 0) >= -0.5 and recovery <= 0.5 * duration as pass from dd join ws using ({_K}) join rk using ({_K}) join du using (symbol)")
 def q_j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = study(spark, sf_dir)[1]
-    worst = metrics.segment_returns(ev, KEYS).groupBy(*KEYS).agg(F.least(F.min("segment_return"), F.lit(0.0)).alias("worst_segment_return"))
-    dd = _drawdowns(ev).join(worst, KEYS).withColumns({"recovery": F.lit(0), "duration": F.lit(1)})
-    return robustness.drawdown_gate(dd).drop("recovery", "duration")
+    seg, ev = study(spark, sf_dir)
+    return robustness.drawdown_gate(robustness.drawdown_recovery(ev, seg, KEYS))
 
 
 @Q.add("q_J12", _DD + f", tk as (select *, row_number() over (partition by {_K} order by ret desc) as k, count(*) over (partition by {_K}) as n from ev where ret > 0), ts_ as (select {_K}, sum(ret) filter (k <= greatest(1, ceil(n * 0.1))) / sum(ret) as top from tk group by 1, 2, 3, 4), mx as (select {_K}, max(ln(1 + sret)) filter (sret > 0) / nullif(sum(ln(1 + sret)) filter (sret > 0), 0) as share from sr group by 1, 2, 3, 4) select {_K}, round(asinh(worst), 6) as worst, n::bigint as eligible_events, round(share, 6) as max_share, round(top, 6) as top_share, round(mdd, 6) as max_drawdown from ws left join mx using ({_K}) left join ts_ using ({_K}) left join dd using ({_K})")
@@ -473,17 +513,67 @@ def q_j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.transferability(summary(spark, sf_dir)[2], ["cell", "cost", "delay"])
 
 
-@Q.add("q_J14", _J + " select cell, cost, delay, bool_and(comp >= 0.1 and msr > 0) as economic, sum(events)::bigint as trades, sum(nseg)::bigint as segments, sum(events) >= 300 and sum(nseg) >= 3 as support, bool_and(comp >= 0.1 and msr > 0) and sum(events) >= 300 and sum(nseg) >= 3 as pass from su group by 1, 2, 3")
+_LEAD_HITS = _PAIR + _cells_sql("hyp0006") + ", hits as (select cell, symbol, segment_id, bar_idx from pr join cells on bar_idx >= 1 and lr >= lead_threshold and lr - r1 >= gap)"
+
+
+@Q.add("q_J13_control", _LEAD_HITS + _STUDY_OF_HITS + f", sr as (select {_K}, segment_id, {_COMP} as sret from ev where cost = 'baseline' and delay = 1 group by cell, symbol, cost, delay, segment_id), su as (select cell, avg(sret) as msr, exp(sum(ln(1 + sret))) - 1 as comp from sr group by 1), fw as (select *, lead(close) {_P}) / close - 1 as nr from pr), c0 as (select avg(nr) as m from fw where bar_idx >= 1 and nr is not null), cd as (select cell, avg(nr) - (select m from c0) as difference from hits join fw using (symbol, segment_id, bar_idx) where nr is not null group by 1) select cell, 1::bigint as symbols, {_OK} and coalesce(difference > 0, false) as pass, round(difference, 6) as difference from su left join cd using (cell)")
+def q_j13_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfer of the lead and lag signal: gains at baseline cost and delay 1, and a mean above that of all bars."""
+    pair = written(_pair(spark, sf_dir), "pairs")
+    hits = written(signals.evaluate_grid(pair, "hyp0006"), "hits")
+    ev = G.run_events(hits, pair, G.stress_grid(spark)).filter("cost = 'baseline' and delay = 1")
+    return robustness.transferability(metrics.cell_summary(ev, ["cell", "symbol"]), ["cell"], G.control_by_cell(pair, hits))
+
+
+@Q.add("q_J14", _J + " select cell, cost, delay, bool_and(comp >= 0.1 and msr > 0) as economic, sum(events)::bigint as trades, sum(nseg)::bigint as segments, sum(events) >= 300 and sum(nseg) >= 20 as support, bool_and(comp >= 0.1 and msr > 0) and sum(events) >= 300 and sum(nseg) >= 20 as pass from su group by 1, 2, 3")
 def q_j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robustness.protocol_eligibility(summary(spark, sf_dir)[2], ["cell", "cost", "delay"], segments=3)
+    return robustness.protocol_eligibility(summary(spark, sf_dir)[2], ["cell", "cost", "delay"])
+
+
+def _battery_sql(nine: bool) -> str:
+    """All dimensions by cell, each a table (cell, symbol, ok), over the pieces of the queries above."""
+    base = "cost = 'baseline' and delay = 1"
+    regime = "count(*) filter (events >= 100 and comp > 0) >= 2" if nine else "count(*) filter (bars >= 100) < 2 or count(*) filter (bars >= 100 and comp > 0) >= 2"
+    fall = "n > 0 and mdd < 0.7 and least(worst, 0) >= -0.5 and " + ("exit_recovery <= 0.5 * bars" if nine else "recovery <= 0.5 * duration")
+    dims = {
+        "fee_slippage": f"select cell, symbol, {_OK} as ok from su where cost = 'stress_2' and delay = 1",
+        "timing": f"select cell, symbol, {_OK} as ok from su where cost = 'baseline' and delay = 2",
+        "regime_stability": f"select cell, symbol, {regime} as ok from rc where {base} group by 1, 2",
+        "sample_size_stability": f"select tt.cell, tt.symbol, avg((exp(rest) - 1 > 1e-12)::int) >= 0.75 and any_value(su.comp) > 0 as ok from tt join su using ({_K}) where {base} group by 1, 2",
+        "concentration": f"select cell, symbol, max_share <= 0.5 and top <= 0.5 as ok from (select {_K}, max(ln(1 + sret)) filter (sret > 0) / nullif(sum(ln(1 + sret)) filter (sret > 0), 0) as max_share from sr group by 1, 2, 3, 4) left join (select {_K}, sum(ret) filter (k <= greatest(1, ceil(n * 0.1))) / sum(ret) as top from (select *, row_number() over (partition by {_K} order by ret desc) as k, count(*) over (partition by {_K}) as n from ev where ret > 0) group by 1, 2, 3, 4) using ({_K}) where {base}",
+        "drawdown_recovery": f"select cell, symbol, {fall} as ok from dd join ws using ({_K}) join rk using ({_K}) join du using (symbol) where {base}",
+        "asset_transferability": f"select cell, symbol, {_OK} as ok from su where {base}",
+    }
+    if nine:
+        dims["protocol_eligibility"] = f"select s.cell, s.symbol, s.comp >= 0.1 and s.msr > 0 and d.ok and t.support as ok from (select * from su where {base}) s join d_drawdown_recovery d using (cell, symbol) join (select cell, sum(events) >= 300 and sum(nseg) >= 20 as support from su where {base} group by 1) t on t.cell = s.cell"
+    names = ["parameter_neighborhood", *dims]
+    rest = _REG[len(_STUDY):] + _LOO[len(_SEGS):] + _DD[len(_SEGS):] + _RECOVERY
+    tables = "".join(f", d_{n} as ({q})" for n, q in dims.items())
+    around = f", d_parameter_neighborhood as (select c.cell, symbol, ok from cells c cross join (select symbol, avg((msr > 0)::int) >= 0.6 and quantile_cont(comp, 0.5) > 0 as ok from su where {base} group by 1))"
+    every = ", fr as (select c.cell, y.symbol from cells c cross join (select distinct symbol from seg) y)"
+    joined = "".join(f" left join (select cell, symbol, ok as {n} from d_{n}) using (cell, symbol)" for n in names)
+    wide = f", wd as (select cell, {', '.join(f'bool_and(coalesce({n}, false)) as {n}' for n in names)} from fr{joined} group by 1)"
+    failed = "array_to_string(list_filter([" + ", ".join(f"case when not {n} then '{n}' end" for n in names) + "], lambda x: x is not null), ',')"
+    passed = " + ".join(f"{n}::int" for n in names)
+    return _J + rest + tables + around + every + wide + f" select cell, {failed} as failed, {len(names)} as required, {passed} as passed, case when {passed} = {len(names)} then 'PASS' else 'FAIL' end as decision from wd"
+
+
+def _decision(name: str, nine: bool) -> None:
+    @Q.add(name, _battery_sql(nine))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        seg, ev = study(spark, sf_dir)
+        dims = robustness.battery(ev, seg, signals.param_grid(spark, SHOCK), nine)
+        return robustness.decide(dims, ["cell"]).withColumn("failed", F.array_join("failed", ","))
 
 
-@Q.add("q_J15", _J + f", c2 as (select cell, symbol, {_OK} as cost_stress from su where cost = 'stress_2' and delay = 1), c3 as (select cell, symbol, {_OK} as timing from su where cost = 'baseline' and delay = 2), dm as (select * from c2 full join c3 using (cell, symbol)) select cell, symbol, list_filter([case when not coalesce(cost_stress, false) then 'cost_stress' end, case when not coalesce(timing, false) then 'timing' end], lambda x: x is not null) as failed, 2 as required, coalesce(cost_stress, false)::int + coalesce(timing, false)::int as passed, case when cost_stress and timing then 'PASS' else 'FAIL' end as decision from dm".replace("list_filter([", "array_to_string(list_filter([").replace("is not null) as failed", "is not null), ',') as failed"))
-def q_j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = summary(spark, sf_dir)[2]
-    keys = ["cell", "symbol"]
-    dims = robustness.cost_stress(s, keys).withColumnRenamed("pass", "cost_stress").join(robustness.timing_stress(s, keys).withColumnRenamed("pass", "timing"), keys, "full_outer")
-    return robustness.decide(dims, keys).withColumn("failed", F.array_join("failed", ","))
+_decision("q_J15", False)
+_decision("q_J15_nine", True)
+
+
+@Q.add("q_J16_segments", _SEGS + ", sz as (select symbol, segment_id, count(*) as bars from seg group by 1, 2), r1 as (select cell, symbol, segment_id, events, sret from sr where cost = 'baseline' and delay = 1) select c.cell, z.symbol, z.segment_id, z.bars, coalesce(r.events, 0) as events, round(r.sret, 6) as segment_return, case when z.bars < 100 then 'segment of ' || z.bars || ' bars, 100 needed' when r.sret <= -1 then 'segment lost everything' when r.events is null then 'no events' end as error from sz z cross join cells c left join r1 r on r.cell = c.cell and r.symbol = z.symbol and r.segment_id = z.segment_id")
+def q_j16_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg, ev = study(spark, sf_dir)
+    return robustness.segment_rows(seg, ev.filter("cost = 'baseline' and delay = 1"), signals.param_grid(spark, SHOCK).select("cell"), ["cell", "symbol"], 100)
 
 
 @Q.add("q_J16", _hits_sql("hyp0005") + ", sy as (select distinct symbol from seg) select c.cell, y.symbol, count(h.bar_idx) > 0 as has_hits from cells c cross join sy y left join hits h on h.cell = c.cell and h.symbol = y.symbol group by 1, 2")
@@ -535,7 +625,13 @@ def _model_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.first_touch(df, fee=0.08, warm=F.col("atr").isNotNull() & F.col("rsi").isNotNull())
 
 
-@Q.add("q_L1")
+_ML = f"""{X.DAILY_SEG}, lv as (select *, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as cnt, case when count(volume) over v20 = 20 then avg(volume) over v20 end as vm, max(case when bar_idx >= 1 and close <> pc then 1 else 0 end) {_P}) as moved from (select *, lag(close) {_P}) as pc from seg) window v20 as (partition by symbol order by ts rows 19 preceding)),
+  n as (select *, coalesce(close < open and volume > vm, false) as short, coalesce(close > open and volume > vm, false) as long from lv), t as (select *, case when short then high - close else close - low end as risk from n where (short or long) and i < cnt - 20 and bar_idx >= 14 and moved = 1),
+  o as (select t.symbol, t.ts, t.short, min(case when (t.short and f.high >= t.high) or (not t.short and f.low <= t.low) then f.i * 2 when (t.short and f.low <= t.close - 2 * t.risk) or (not t.short and f.high >= t.close + 2 * t.risk) then f.i * 2 + 1 end) as hit from t join n f on f.symbol = t.symbol and f.i > t.i and f.i < t.i + 20 where t.risk > 0 group by 1, 2, 3),
+  trades as (select symbol, ts, case when short then 'SHORT' else 'LONG' end as side, case when hit % 2 = 0 then -1.0 else 2.0 end - 0.08 as result, row_number() over (order by ts, symbol) as k, count(*) over () as n from o where hit is not null)"""
+
+
+@Q.add("q_L1", _ML + " select symbol, ts, side, result::double as result, case when n >= 10 then case when k <= floor(n * 0.7) then 'train' else 'test' end end as part from trades")
 def q_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.chrono_split(_model_trades(spark, sf_dir)).select("symbol", "ts", "side", "result", "part")
 
