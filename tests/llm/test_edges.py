@@ -97,6 +97,35 @@ def test_jaccard_tiles_and_joins(docs, results):
     assert sorted(map(str, got)) == sorted(map(str, results["jaccard"]))
 
 
+def test_jaccard_without_link_counts(docs, results):
+    for rows in (1, 512):
+        got = jaccard.ngram_jaccard_join(docs, k=4, num=85, tile_rows=rows, links=False).collect()
+        key = lambda r: str((r.doc_id, r.n_shingles, r.component_id))
+        assert sorted(map(key, got)) == sorted(map(key, results["jaccard"]))
+
+
+def test_fewer_pairs_connect_the_same():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = [np.sort(rng.choice(2**60, 60, False)).astype(np.uint64) for _ in range(6)]
+    sets = [np.sort(np.append(rng.choice(base[i % 6], 57, False), rng.integers(2**61, 2**62, 3).astype(np.uint64))) for i in range(80)]
+    n = np.array([len(x) for x in sets])
+    a, b = np.triu_indices(80, 1)
+    same = jaccard._overlaps(sets, a, b)
+    hit = 100 * same >= 80 * (n[a] + n[b] - same)
+    parts = [{frozenset(x) for x in _groups(80, p)} for p in (list(zip(a[hit], b[hit])), list(zip(*jaccard._linking(sets, n, a, b, 80, 100))))]
+    assert parts[0] == parts[1]
+
+
+def _groups(n, pairs):
+    low = list(range(n))
+    for _ in range(n):
+        for x, y in pairs:
+            low[x] = low[y] = min(low[x], low[y])
+    return [[i for i in range(n) if low[i] == k] for k in set(low)]
+
+
 def test_near_copies_by_the_hundred(spark):
     words = [f"t{i}" for i in range(120)]
     rows = [(i, " ".join(words[:i] + ["edit"] + words[i + 1 :])) for i in range(120)] + [(1000 + i, " ".join(words)) for i in range(50)]

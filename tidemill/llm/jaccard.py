@@ -203,12 +203,43 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_tiles(num: int, den: int, k: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _linking(sets: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), some that link and connect what all that link connect.
+
+    Each round verifies at most one pair for every row, of rows that earlier links don't connect yet; a group of near
+    copies so takes about as many verifications as it has rows.
+    """
+    root, ka, kb = np.arange(len(sets)), [], []
+    while len(a):
+        _, first = np.unique(b, return_index=True)
+        x, y = a[first], b[first]
+        same = _overlaps(sets, x, y)
+        hit = den * same >= num * (n[x] + n[y] - same)
+        ka.append(x[hit])
+        kb.append(y[hit])
+        for i, j in zip(root[x[hit]].tolist(), root[y[hit]].tolist()):
+            i, j = root[i], root[j]
+            while root[i] != i:
+                i = root[i]
+            while root[j] != j:
+                j = root[j]
+            root[max(i, j)] = min(i, j)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        left = np.ones(len(a), bool)
+        left[first] = False
+        left &= root[a] != root[b]
+        a, b = a[left], b[left]
+    return (np.concatenate(ka), np.concatenate(kb)) if ka else (a, b)
+
+
+def _join_tiles(num: int, den: int, k: int | None = None, links: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Joins the rows of each (component, i, j), which arrive together: tile i with tile j, or with itself.
 
     Rows have their set size and count vector, or for ``k`` words their text, of which the sets are made here. Pairs
     pass the R-tree; sets are compared too, and then every row gets the number of links (by copies) that it has
-    here. Pairs leave as a forest that connects the same rows. Of rows that repeat an id one counts.
+    here, if ``links`` are asked for; else pairs of rows that others connect aren't verified. Pairs leave as a forest
+    that connects the same rows. Of rows that repeat an id one counts.
     """
     verify = k is not None
 
@@ -233,7 +264,9 @@ def _join_tiles(num: int, den: int, k: int | None = None) -> Callable[[Iterator[
         ua: list[int] = []
         ub: list[int | None] = []
         uw: list[int] = []
-        if verify and len(a):
+        if verify and not links:
+            a, b = _linking(sets, n, a, b, num, den)
+        elif verify and len(a):
             same = _overlaps(sets, a, b)
             linked = den * same >= num * (n[a] + n[b] - same)
             a, b = a[linked], b[linked]
@@ -336,11 +369,13 @@ def ngram_jaccard_join(
     den: int = 100,
     tile_rows: int = 512,
     broadcast_rows: int = 500_000,
+    links: bool = True,
 ) -> DataFrame:
     """Links of documents whose sets of ``k``-word shingles have Jaccard similarity of ``num/den`` or more.
 
     One row per row of ``docs``: id, ``n_shingles`` (set size), ``component_id`` (the smallest id reachable by links,
-    its own included) and ``n_links`` (documents it links with, equal sets included).
+    its own included) and, if ``links``, ``n_links`` (documents it links with, equal sets included). Without it pairs
+    of documents that other links connect aren't verified.
 
     Shingles are hashed into groups. Documents that can link share a group's content, which routes them into blocks
     without comparing all with all. In each block, the counts of groups are points of an R-tree and the
@@ -350,9 +385,10 @@ def ngram_jaccard_join(
     pair leaves a task, only link counts and a spanning forest.
 
     Texts of fewer than ``k`` words have their whole word sequence as one shingle; null texts and texts without
-    words have none and link with nothing. A row without id gets its set size, no component and no links. Rows
-    that repeat an id are copies of one document and should have the same text. Other columns are ignored; an
-    empty table gives no rows. Similarities under 0.7 are refused.
+    words have none and link with nothing. Long texts are hashed part by part. A row without id gets its set size, no
+    component and no links. Rows that repeat an id are copies of one document and should have the same text; of
+    different texts under one id, one stands for the id where it is compared. Other columns are ignored; an empty
+    table gives no rows. Similarities under 0.7 are refused, and ids have to be whole numbers.
     """
     if 10 * num < 7 * den or num > den:
         raise ValueError("the similarity has to be from 0.7 to 1")
@@ -370,7 +406,7 @@ def ngram_jaccard_join(
     finer = parted.withColumnRenamed("node", "id").join(singles, "id")
     tiles = written(_tiles(finer, tile_rows), "tiles")
     exact = source.join(few(tiles), "id").select("component", "i", "j", "tile", "id", "copies", "text")
-    verified = written(_within(exact, _join_tiles(num, den, k)), "verified")
+    verified = written(_within(exact, _join_tiles(num, den, k, links)), "verified")
     linked = components(verified.filter("v is not null").select("u", "v"))
     counts = verified.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("links"))
 
@@ -378,9 +414,10 @@ def ngram_jaccard_join(
     classes = classes.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = points.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     has = F.col("id").isNotNull()
+    count = F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links")
     return out.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(has, F.coalesce("component_id", "id")).alias("component_id"),
-        F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+        *([count] if links else []),
     )
