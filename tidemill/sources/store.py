@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_inside: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -22,8 +25,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tidemill-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables written inside on leaving, all but those taken out of the list that it gives."""
+    paths: list[str] = []
+    _inside.append(paths)
+    try:
+        yield paths
+    finally:
+        _inside.remove(paths)
+    for path in paths:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet there and read it back: no lost executor loses it, no reader computes it again."""
     path = shared_path(df.sparkSession, name)
+    for paths in _inside:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
