@@ -165,8 +165,9 @@ def mix_sources(
     more for a balanced sample (cube method) whose chance is the fraction. The words and the documents that each
     source gives so come within a few documents of its target; no document is taken over ``most`` times. A null
     text has size 0; documents without words have copies too, which weigh nothing. A null source is a source. Rows
-    of equal id and size draw their sample in an arbitrary order among themselves only. An empty table gives no
-    rows.
+    of equal source, id and size, such as repeated rows or rows without id, are one unit of the sample: so many of
+    them as their chances add up to have a copy more, and the rest of the sum is the unit's chance of one more yet.
+    Long texts count their words like all others. An empty table gives no rows.
     """
     sizes = docs.select(
         F.col(id_col).alias("_id"),
@@ -176,7 +177,13 @@ def mix_sources(
     sizes = written(sizes, "sizes")
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
-    joined = joined.withColumns({"_whole": F.floor(ratio + 1e-12).cast("int"), "_chance": F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12))})
+    units = sizes.groupBy("source", "_id", "size").agg(F.count("*").alias("_rows"))
+    joined = units.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
+    joined = joined.withColumns({"_whole": F.floor(ratio + 1e-12).cast("int"), "_more": F.col("_rows") * F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12))})
+    joined = joined.withColumns({"_sure": F.floor(F.col("_more") + 1e-9), "_chance": F.greatest(F.lit(0.0), F.col("_more") - F.floor(F.col("_more") + 1e-9))})
     picked = cube_sample(joined, "source", "_chance", "size", F.xxhash64(F.col("_id"), F.col("size"), F.lit(seed)), group_rows)
-    return picked.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", (F.col("_whole") + F.col("picked")).alias("copies"))
+    run = 100_000  # a unit of many rows is spread out run by run
+    rows = picked.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_rows") - 1) / run))))
+    rows = rows.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(run), F.col("_rows") - F.col("_run") * run))))
+    more = (F.col("_run") * run + F.col("_row") <= F.col("_sure") + F.col("picked")).cast("int")
+    return rows.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", (F.col("_whole") + more).alias("copies"))
