@@ -83,7 +83,8 @@ def _landing(start: np.ndarray, chance: np.ndarray, size: np.ndarray, open_: lis
 
     Of all ways to settle them it takes the one whose sizes sum nearest to what the chances ``start`` give. A long
     document can still leave a gap of half its length; units that had a choice, the largest that fit the gap
-    first, are picked or dropped to close it.
+    first, are picked or dropped to close it, and what then remains is made up by exchanging a picked unit for one
+    that isn't, the pair that fits best, while that helps.
     """
     due = float((start * size).sum()) - float((chance * size).sum())
     best = min(range(1 << len(open_)), key=lambda m: abs(due - sum(size[i] * ((m >> j & 1) - chance[i]) for j, i in enumerate(open_))))
@@ -94,6 +95,21 @@ def _landing(start: np.ndarray, chance: np.ndarray, size: np.ndarray, open_: lis
         if 0.0 < start[i] < 1.0 and 0.0 < size[i] <= abs(due) and chance[i] == (due < 0):
             due -= size[i] * (1.0 - 2.0 * chance[i])
             chance[i] = 1.0 - chance[i]
+    free = np.flatnonzero((start > 0) & (start < 1))
+    for _ in range(32):
+        there, away = free[chance[free] == 1], free[chance[free] == 0]
+        if not len(there) or not len(away) or abs(due) < 0.5:
+            break
+        away = away[np.argsort(size[away], kind="stable")]
+        want = size[there] + due
+        near = np.clip(np.searchsorted(size[away], want) - np.array([[1], [0]]), 0, len(away) - 1)
+        miss = np.abs(size[away][near] - want)
+        row, k = np.unravel_index(int(np.argmin(miss)), miss.shape)
+        if miss[row, k] >= abs(due) - 1e-9:
+            break
+        i, j = there[k], away[near[row, k]]
+        due -= size[j] - size[i]
+        chance[i], chance[j] = 0.0, 1.0
     return chance
 
 
