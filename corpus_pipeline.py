@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, jaccard, mixing, packing, quality
-from tidemill.llm._store import written
+from tidemill.llm._store import delete, passing_tables, written
 from tidemill.llm.queries import vocabulary
 
 #: Ids that are joined by broadcast at most; beyond, by shuffle.
@@ -55,8 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table, each written and read again as the next one's input.
+
+    What a stage wrote on its way, and its input, is deleted when its output is written; the last stage's input stays.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing_tables(spark) as inner:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            output = inner.pop()
+        if last:
+            delete(spark, last)
+        last = output
     return STAGES[-1][1](spark, docs, sf_dir)
