@@ -120,9 +120,9 @@ def fit(rows: DataFrame, count: int, settings: Settings = Settings()) -> tuple[n
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.full(len(at), bool(seen)))], ["at", "w", "used"])
 
-    shards = max(1, -(-count // s.shard_rows))
     # copies of a text are dealt apart, by the id of their row
-    shares = rows.select("text", F.col("label").cast("double"), F.pmod(F.xxhash64(rows.columns[-1], F.lit(s.seed)), F.lit(shards)).alias("_shard")).repartition(shards, "_shard").drop("_shard")
+    dealt = rows.withColumn("label", F.col("label").cast("double")).repartition(max(1, -(-count // s.shard_rows)), F.xxhash64(rows.columns[-1], F.lit(s.seed)))
+    shares = dealt.select("text", "label")
     # tasks that trained all have a bias; they are what the average is over
     parts = written(shares.mapInArrow(train, "at bigint, w double, used boolean"), "weights")
     trained = max(1, parts.filter(F.col("at") == bias).count())
