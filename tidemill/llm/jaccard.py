@@ -160,6 +160,17 @@ class CountRTree:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _can_link(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of vectors, whose sets have ``n`` shingles together, can link by their summed coordinate minima."""
+    dims = np.array([min(len(x), len(y)) for x, y in zip(a, b)])
+    out = np.zeros(len(a), bool)
+    for d in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == d)
+        x, y = (np.stack([v[k].reshape(-1, d).sum(axis=0) for k in own.tolist()]) for v in (a, b))
+        out[own] = (num + den) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= num * n[own]
+    return out
+
+
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection sizes of the pairs (a, b) of sorted sets."""
     if len(a) <= 8 * len(sets):
@@ -286,13 +297,7 @@ def _join_tiles(num: int, den: int, k: int | None = None, links: bool = True) ->
         ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
         vec = batch.column("vec")
         both = [[np.frombuffer(v, np.uint16) for v in vec.take(pa.array(at + k)).to_pylist()] for k in (0, 1)]
-        dims = np.array([min(len(a), len(b)) for a, b in zip(*both)])
-        live = np.empty(0, np.int64)
-        for d in np.unique(dims).tolist():
-            own = np.flatnonzero(dims == d)
-            a, b = (np.stack([v[k].reshape(-1, d).sum(axis=0) for k in own.tolist()]) for v in both)
-            bound, own = np.minimum(a, b).sum(axis=1, dtype=np.int64), at[own]
-            live = np.append(live, own[(num + den) * bound >= num * (n[own] + n[own + 1])])
+        live = at[_can_link(*both, n[at] + n[at + 1], num, den)]
         return ids[live].tolist(), ids[live + 1].tolist(), [0] * len(live)
 
     def out(found: tuple[list[int], list[int | None], list[int]]) -> pa.RecordBatch:
@@ -328,17 +333,79 @@ def _join_tiles(num: int, den: int, k: int | None = None, links: bool = True) ->
     return run
 
 
-def _tiles(members: DataFrame, tile_rows: int) -> DataFrame:
+def _near_leader(num: int, den: int, k: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(component, leader, id) of the rows that can link with their component's leader by their count vectors, or, for
+    ``k`` words, that do by their texts."""
+
+    def bounded(batch: pa.RecordBatch) -> np.ndarray:
+        both = [[np.frombuffer(v, np.uint16) for v in batch.column(c).to_pylist()] for c in ("vec", "leader_vec")]
+        return _can_link(*both, batch.column("n").to_numpy() + batch.column("leader_n").to_numpy(), num, den)
+
+    def linked(batch: pa.RecordBatch) -> np.ndarray:
+        _, first, at = np.unique(batch.column("component").to_numpy(), return_index=True, return_inverse=True)
+        leaders = [s for _, part in _shingle_sets(batch.column("leader_text").take(pa.array(first)), k) for s in part]
+        out = []
+        for a, own in _shingle_sets(batch.column("text"), k):
+            sets, mine = [*own, *leaders], len(own) + at[a : a + len(own)]
+            n = np.array([len(s) for s in sets], np.int64)
+            same = _overlaps(sets, np.arange(len(own)), mine)
+            out.append((same > 0) & (den * same >= num * (n[: len(own)] + n[mine] - same)))
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                near = (bounded if k is None else linked)(batch)
+                yield batch.select(["component", "leader", "id"]).filter(pa.array(near))
+
+    return run
+
+
+def _followers(members: DataFrame, rows: DataFrame, near: Callable, large: int, few: Callable[[DataFrame], DataFrame], leader_mb: int = 64) -> DataFrame | None:
+    """(component, leader, id): members of components of more than ``large`` rows that link with the component's leader,
+    its smallest id, which is one of them; None without such components.
+
+    ``rows`` (id and what ``near`` compares) are read once. What followers have in common with each other isn't asked:
+    the leader connects them. Leaders are broadcast up to ``leader_mb``.
+    """
+    own = [c for c in rows.columns if c != "id"]
+    sizes = members.groupBy("component").agg(F.count("*").alias("_n"), F.min("id").alias("leader"))
+    sizes = written(sizes.filter(F.col("_n") > large).select("component", "leader"), "large")
+    led = rows.select(F.col("id").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in own])
+    led = written(led.join(few(sizes), "leader").dropDuplicates(["component"]), "leaders")
+    payload = F.octet_length(f"leader_{own[-1]}")
+    n, size = led.agg(F.count("*"), F.sum(payload + 64)).first()
+    if not n:
+        return None
+    inside = members.join(few(sizes.select("component")), "component").select("component", "id")
+    met = rows.join(few(inside), "id").join(F.broadcast(led) if size <= leader_mb << 20 else led, "component")
+    return written(met.mapInArrow(near, "component bigint, leader bigint, id bigint").distinct(), "followers")
+
+
+def _tiles(members: DataFrame, tile_rows: int, followers: DataFrame | None) -> DataFrame:
     """``members`` (component, id, copies) of components of two and more, once for each pair (i, j) of tiles that they are in.
 
-    A component has tiles of about ``tile_rows`` members.
+    A component has tiles of about ``tile_rows`` members, followers in tiles of their own. Tiles of followers meet only
+    those of others, so a component of followers alone has none.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("_n"))
-    tiled = members.join(sizes.filter("_n > 1"), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiled = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    led = F.lit(False)
+    if followers is not None:
+        members, led = members.join(followers.select("component", "id", F.lit(True).alias("_led")), ["component", "id"], "left"), F.coalesce("_led", F.lit(False))
+    members = members.select("component", "id", "copies", led.alias("led"))
+    tiles = lambda mine: F.ceil(F.count_if(mine) / tile_rows).cast("int")
+    sizes = members.groupBy("component").agg(tiles(~F.col("led")).alias("tiles"), tiles(F.col("led")).alias("led_tiles"), F.count("*").alias("_n"))
+    tiled = members.join(sizes.filter("_n > 1 and tiles > 0"), "component")
+    tile = F.when(F.col("led"), F.col("tiles") + F.pmod(F.xxhash64("id"), F.greatest("led_tiles", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "tiles"))
+    last = F.col("tiles") - 1 + F.when(F.col("led"), 0).otherwise(F.col("led_tiles"))
+    tiled = tiled.withColumn("tile", tile.cast("int")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     return tiled.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "copies")
 
 
+def _edges(pairs: DataFrame, followers: DataFrame | None) -> DataFrame:
+    pairs = pairs.select("u", "v")
+    return pairs if followers is None else pairs.union(followers.select("leader", "id"))
+
+
 def _within(rows: DataFrame, join: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """(u, v, w) from all pairs of tiles: the rows of each meet in one task, one pair after another."""
     met = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -381,8 +448,10 @@ def ngram_jaccard_join(
     without comparing all with all. In each block, the counts of groups are points of an R-tree and the
     summed coordinate minima bound the overlap; what surviving pairs connect is a candidate class. The texts of
     those are read again, and every pair in a class that survives the bound is verified. Documents
-    with equal sets are one point. Large blocks and classes are joined by pairs of tiles of ``tile_rows`` points; no
-    pair leaves a task, only link counts and a spanning forest.
+    with equal sets are one point. Large blocks, and without ``links`` large classes, have a leader, whom all rows are
+    held against first: what it links with it connects, so only pairs with one of the other rows are compared after
+    that. These, and where link counts are asked for all pairs of a class, are joined by pairs of tiles of ``tile_rows``
+    points; no pair leaves a task, only link counts and a spanning forest.
 
     Texts of fewer than ``k`` words have their whole word sequence as one shingle; null texts and texts without
     words have none and link with nothing. Long texts are hashed part by part. A row without id gets its set size, no
@@ -400,14 +469,17 @@ def ngram_jaccard_join(
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     singles = classes.select(F.col("rep").alias("id"), "copies")
     blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
-    tiles = written(_tiles(blocks, 4 * tile_rows), "tiles")
-    rough = known.select("id", "n", "vec").join(few(tiles), "id")
-    parted = components(_within(rough, _join_tiles(num, den)))
-    finer = parted.withColumnRenamed("node", "id").join(singles, "id")
-    tiles = written(_tiles(finer, tile_rows), "tiles")
+    vectors = known.select("id", "n", "vec")
+    followers = _followers(blocks, vectors, _near_leader(num, den), tile_rows, few)
+    tiles = written(_tiles(blocks, 4 * tile_rows, followers), "tiles")
+    rough = vectors.join(few(tiles), "id")
+    parted = components(_edges(_within(rough, _join_tiles(num, den)), followers))
+    finer = written(parted.withColumnRenamed("node", "id").join(singles, "id"), "finer")
+    followers = None if links else _followers(finer, source, _near_leader(num, den, k), tile_rows, few)
+    tiles = written(_tiles(finer, tile_rows, followers), "tiles")
     exact = source.join(few(tiles), "id").select("component", "i", "j", "tile", "id", "copies", "text")
     verified = written(_within(exact, _join_tiles(num, den, k, links)), "verified")
-    linked = components(verified.filter("v is not null").select("u", "v"))
+    linked = components(_edges(verified.filter("v is not null"), followers))
     counts = verified.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("links"))
 
     classes = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
