@@ -470,7 +470,7 @@ def ngram_jaccard_join(
     singles = classes.select(F.col("rep").alias("id"), "copies")
     blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
     vectors = known.select("id", "n", "vec")
-    followers = _followers(blocks, vectors, _near_leader(num, den), tile_rows, few)
+    followers = _followers(blocks, vectors, _near_leader(num, den), 4 * tile_rows, few)
     tiles = written(_tiles(blocks, 4 * tile_rows, followers), "tiles")
     rough = vectors.join(few(tiles), "id")
     parted = components(_edges(_within(rough, _join_tiles(num, den)), followers))
