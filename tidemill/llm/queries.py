@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard, mixing, packing, pii, ppm, quality, token_counts, toxicity
+from . import exact_dedup, html_text, jaccard, mixing, neighbours, packing, pii, ppm, quality, repair, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -79,8 +79,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_token_counts(docs, vocabulary("byte_bpe_50k.json"), edits_col="edits")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair.audits(repair.repair_conversations(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op6_personal_data, op7_exact_dedup, op8_ppm_scores, op9_main_text, op10_token_counts]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op6_personal_data, op7_exact_dedup, op8_ppm_scores, op9_main_text, op10_token_counts, op11_nearest_neighbours, op12_conversation_repair]
     return {f.__name__: f for f in own}
 
 
