@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard, mixing, neighbours, packing, pii, ppm, quality, repair, token_counts, toxicity
+from . import collocations, exact_dedup, html_text, jaccard, mixing, neighbours, packing, pii, ppm, quality, repair, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -89,8 +89,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audits(repair.repair_conversations(rows))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op6_personal_data, op7_exact_dedup, op8_ppm_scores, op9_main_text, op10_token_counts, op11_nearest_neighbours, op12_conversation_repair]
+    own = [op1_ngram_jaccard_join, op2_toxicity, op3_mix_sources, op4_quality_rules, op5_pack_sequences, op6_personal_data, op7_exact_dedup, op8_ppm_scores, op9_main_text, op10_token_counts, op11_nearest_neighbours, op12_conversation_repair, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -101,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                    coalesce(doc_id is not distinct from max(doc_id) over g, false) as kept, sha256(coalesce(text, '')) as text_sha256
             from documents window g as (partition by coalesce(text, ''))""",
+        "op13_collocations": collocations.oracle_sql(),
     }
