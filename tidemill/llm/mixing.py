@@ -96,9 +96,9 @@ def _landing(start: np.ndarray, chance: np.ndarray, size: np.ndarray, open_: lis
             due -= size[i] * (1.0 - 2.0 * chance[i])
             chance[i] = 1.0 - chance[i]
     free = np.flatnonzero((start > 0) & (start < 1))
-    for _ in range(32):
+    while abs(due) >= 0.5:
         there, away = free[chance[free] == 1], free[chance[free] == 0]
-        if not len(there) or not len(away) or abs(due) < 0.5:
+        if not len(there) or not len(away):
             break
         away = away[np.argsort(size[away], kind="stable")]
         want = size[there] + due
@@ -198,8 +198,38 @@ def mix_sources(
     joined = joined.withColumns({"_whole": F.floor(ratio + 1e-12).cast("int"), "_more": F.col("_rows") * F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12))})
     joined = joined.withColumns({"_sure": F.floor(F.col("_more") + 1e-9), "_chance": F.greatest(F.lit(0.0), F.col("_more") - F.floor(F.col("_more") + 1e-9))})
     picked = cube_sample(joined, "source", "_chance", "size", F.xxhash64(F.col("_id"), F.col("size"), F.lit(seed)), group_rows)
-    run = 100_000  # a unit of many rows is spread out run by run
-    rows = picked.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_rows") - 1) / run))))
-    rows = rows.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(run), F.col("_rows") - F.col("_run") * run))))
-    more = (F.col("_run") * run + F.col("_row") <= F.col("_sure") + F.col("picked")).cast("int")
+    small = picked.filter(F.col("_rows") <= _RUN).withColumn("_run", F.lit(0).cast("bigint"))
+    rows = small.unionByName(_runs(picked.filter(F.col("_rows") > _RUN), "_rows"))
+    rows = rows.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_RUN), F.col("_rows") - F.col("_run") * _RUN))))
+    more = (F.col("_run") * _RUN + F.col("_row") <= F.col("_sure") + F.col("picked")).cast("int")
     return rows.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", (F.col("_whole") + more).alias("copies"))
+
+
+_RUN = 100_000  # rows that one row becomes in a task
+
+
+def _runs(rows: DataFrame, count: str) -> DataFrame:
+    """``rows`` of large ``count`` once for each ``_run`` of it, dealt to as many tasks."""
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / _RUN))))
+    return runs.repartition("_run")
+
+
+def mixed_documents(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:  # noqa: ANN003
+    """The rows of ``docs``, each as many times as the mix takes it; ``options`` are those of ``mix_sources``.
+
+    Rows are told apart by a 128-bit hash of all their columns, not by id: rows without id, of one id, or of one id in several
+    sources each have their own copies. Rows that are equal in all columns are one unit, whose copies are dealt out from one of them.
+    """
+    seen = docs.select(F.struct("*").alias("_row"), *docs.columns) if docs.columns else docs
+    key = F.struct(F.xxhash64("_row").alias("a"), F.xxhash64(F.lit(7), "_row").alias("b"))
+    seen = seen.withColumn("_key", key)
+    taken = mix_sources(seen, id_col="_key", **options)
+    taken = written(taken.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same")).filter("_copies > 0"), "mixed")
+    if taken.count() <= broadcast_rows:
+        taken = F.broadcast(taken)
+    rows = seen.select("_row", "_key").join(taken, "_key")
+    single = rows.filter("_same = 1").withColumn("_run", F.lit(0).cast("bigint"))
+    many = rows.filter("_same > 1").groupBy("_key").agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))
+    every = single.select("_row", "_copies", "_run").unionByName(_runs(many, "_copies").select("_row", "_copies", "_run"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_RUN), F.col("_copies") - F.col("_run") * _RUN))
+    return every.select("_row", F.explode(copies)).select("_row.*")
