@@ -35,12 +35,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    mixed = written(mixed.filter("_copies > 0"), "mixed")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"))
-    joined = rows.join(_few(mixed), F.col("_doc").eqNullSafe(F.col("_id")))
-    return joined.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
+    """Every row as many times as the mix takes it, whatever its id: rows without id or of a repeated id count on their own."""
+    return mixing.mixed_documents(docs, broadcast_rows=BROADCAST_ROWS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
