@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,8 @@ class Shard:
         own = np.array([hash_text(x) for x in self.langs], np.uint64)
         out = own[self.lang[at]]
         for j in range(n):
-            out = out * _STEP + self.hashes[at + j]
+            out *= _STEP
+            out += self.hashes[at + j]
         return at, mix(out + _U(n))
 
     def text(self, at: int, n: int) -> str:
@@ -91,11 +93,11 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], ~_GAP[raw], [False]))
     change = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = change[::2], change[1::2]
-    return starts, ends, np.cumsum(_BREAK[raw], dtype=np.int64)[starts] if len(starts) else np.empty(0, np.int64)
+    return starts, ends, np.searchsorted(np.flatnonzero(_BREAK[raw]), starts)
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
-    """The (lang, text) rows of a task in shards of about ``most`` bytes; a longer text is several shards."""
+    """The (lang, text) rows of a task in shards of about ``most`` bytes; a longer text is several shards. A word takes 28 bytes in a shard."""
     held: list[tuple] = []
     size, langs = 0, {}
 
@@ -107,7 +109,7 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
             hashes = np.concatenate([_hashes(raw[a:b], s, e) for a, b, s, e in _runs(starts, ends)] or [np.empty(0, np.uint64)])
             new = np.ones(len(starts), bool)
             new[:carried] = False
-            out.append((starts + at, ends + at, hashes, piece + pieces, np.full(len(starts), lang), new))
+            out.append(((starts + at).astype(np.uint32), (ends + at).astype(np.uint32), hashes, (piece + pieces).astype(np.uint32), np.full(len(starts), lang, np.int32), new))
             pieces += int(piece[-1] if len(piece) else 0) + 1
             data.append(part)
             at += len(part)
@@ -140,16 +142,30 @@ def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 class Filter:
-    """A bitmap of phrases that may be frequent, in sections; what it lacks isn't."""
+    """A bitmap of the hashes that may be frequent, in sections; what it lacks isn't.
 
-    def __init__(self, rows: DataFrame, column: str, bits: int):
-        """Spark builds the sections of the hashes in ``column`` and merges them; ``bits`` / 8 bytes at most reach the driver."""
-        at = F.pmod(F.col(column), F.lit(bits)) + 1
-        found = rows.groupBy(F.bitmap_bucket_number(at).alias("section")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    Of ``mined`` rows (h, seen), the counts of a hash are added up by Spark. A row without hash is the most that a shard may
+    have left out of any hash; added up, that is what a sum may lack. Spark builds the sections; ``bits`` / 8 bytes at
+    most reach the driver.
+    """
+
+    def __init__(self, mined: DataFrame, support: int, bits: int):
+        sums = mined.groupBy("h").agg(F.sum("seen").alias("seen"))
+        at, marks = F.pmod(F.col("h"), F.lit(bits)) + 1, F.col("h").isNull()
+        section, place = F.coalesce(F.bitmap_bucket_number(at), F.lit(0)), F.coalesce(F.bitmap_bit_position(at), F.lit(0))
+        lacks = 0
+        while True:
+            near = sums.filter(marks | (F.col("seen") + lacks >= support))
+            found = near.groupBy(section.alias("section")).agg(F.bitmap_construct_agg(place).alias("bits"), F.max(F.when(marks, F.col("seen"))).alias("lacks")).collect()
+            more = max((r.lacks or 0 for r in found), default=0)
+            if more <= lacks:
+                break
+            lacks = more  # few shards, so a small table: once more with what they left out
         self.bits = np.zeros(bits // 8, np.uint8)
-        for r in found.collect():
-            low = (r.section - 1) * (_SECTION // 8)
-            self.bits[low : low + _SECTION // 8] = np.frombuffer(r.bits, np.uint8)[: len(self.bits) - low]
+        for r in found:
+            if r.section:
+                low = (r.section - 1) * (_SECTION // 8)
+                self.bits[low : low + _SECTION // 8] = np.frombuffer(r.bits, np.uint8)[: len(self.bits) - low]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes % _U(len(self.bits) * 8)).astype(np.int64)
@@ -172,40 +188,42 @@ def _shorter(shard: Shard, n: int, filter_: Filter) -> tuple[np.ndarray, np.ndar
 
 
 def _mined(docs: DataFrame, n: int, shorter, support: int, total: int, shard_bytes: int) -> DataFrame:  # noqa: ANN001
-    """Hashes of phrases of ``n`` words that are frequent in a shard: as large a part of ``support`` as the shard has of all words."""
+    """(h, seen): hashes of phrases of ``n`` words that are frequent in a shard, at as large a part of ``support`` as the shard has of all words, and their counts beyond what a shard may leave out; a row without hash says how much that is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_bytes):
             _, hashes = _shorter(shard, n, shorter.value)
             found, count = np.unique(hashes, return_counts=True)
-            # with weights that sum to 1 over all shards, what is below its part everywhere is below the support; floats only lower it
-            low = support * (int(shard.new.sum()) / total) * (1 - 1e-9)
-            yield pa.RecordBatch.from_arrays([_as_long(found[count >= low])], names=["h"])
+            # the parts sum to the support over all shards, so what is below its part everywhere is below the support; floats only lower them
+            low = max(1, math.ceil(support * (int(shard.new.sum()) / total) * (1 - 1e-9)))
+            found, count = found[count >= low], count[count >= low] - (low - 1)
+            h = pa.concat_arrays([_as_long(found), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays([h, pa.array(np.append(count, low - 1).astype(np.int64))], names=["h", "seen"])
 
-    return docs.mapInArrow(run, "h bigint")
+    return docs.mapInArrow(run, "h bigint, seen bigint")
 
 
-_COUNTED = "lang string, phrase string, n bigint"
+_COUNTED = "lang string, words int, phrase string, n bigint"
 
 
-def _counted(docs: DataFrame, n: int, wanted, shorter, shard_bytes: int) -> DataFrame:  # noqa: ANN001
-    """(lang, phrase, n): how often each phrase of ``n`` words that ``wanted`` has is found, by shard. Without ``wanted`` all phrases."""
+def _counted(docs: DataFrame, wanted: dict, shard_bytes: int) -> DataFrame:
+    """(lang, words, phrase, f): how often all phrases that ``wanted`` has are found: {number of words: shared filter, or None for all}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_bytes):
-            at, hashes = _shorter(shard, n, shorter.value) if shorter else shard.phrases(n)
-            if wanted:
-                keep = wanted.value.has(hashes)
-                at, hashes = at[keep], hashes[keep]
-            _, first, count = np.unique(hashes, return_index=True, return_counts=True)
-            for a in range(0, len(first), 50_000):
-                own = at[first[a : a + 50_000]]
-                texts = [shard.text(k, n) for k in own.tolist()]
-                langs = [shard.langs[k] for k in shard.lang[own].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(count[a : a + 50_000].astype(np.int64))], names=["lang", "phrase", "n"])
+            for n, own in wanted.items():
+                at, hashes = shard.phrases(n)
+                if own is not None:
+                    keep = own.value.has(hashes)
+                    at, hashes = at[keep], hashes[keep]
+                _, first, count = np.unique(hashes, return_index=True, return_counts=True)
+                for a in range(0, len(first), 50_000):
+                    here = at[first[a : a + 50_000]]
+                    texts = [shard.text(k, n) for k in here.tolist()]
+                    langs = [shard.langs[k] for k in shard.lang[here].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([n] * len(here), pa.int32()), pa.array(texts, pa.string()), pa.array(count[a : a + 50_000].astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
-    found = docs.mapInArrow(run, _COUNTED)
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, _COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
 
 
 def _hashed(counts: DataFrame, n: int) -> DataFrame:
@@ -229,31 +247,27 @@ def _hashed(counts: DataFrame, n: int) -> DataFrame:
     return counts.select("lang", "phrase").mapInArrow(run, "h bigint")
 
 
-def phrase_counts(docs: DataFrame, support: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = 1 << 25, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, support: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = 1 << 23, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all phrases of up to ``longest`` words that occur ``support`` times or more, and (lang, n), all words.
 
-    Length by length: each shard lists its phrases that are frequent at the support's share for its size and whose
-    shorter phrases may be frequent everywhere; Spark unites the lists in a bitmap of ``filter_bits``; then all
-    shards count what the bitmap has, with its text, and the sums decide. A full bitmap only lets more phrases be counted.
-    Where a shard's share of the support is below 1, it lists all its phrases with frequent parts. A task holds one shard at a time.
-    Within a shard phrases are told apart by 64-bit hashes.
+    Length by length each shard lists its phrases that are frequent at the support's share for its size and whose shorter
+    phrases may be frequent everywhere; Spark adds the lists up and unites what may be frequent in a bitmap of ``filter_bits``.
+    Then all shards count what the bitmaps have, with its text, and the sums decide. A full bitmap only lets more
+    phrases be counted. Where a shard's share of the support is below 1, as it is with more shards than ``support``, it lists all its
+    phrases with frequent parts, and nothing is left out of the sums. A task holds one shard at a time. Within a shard
+    phrases are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = written(_counted(docs, 1, None, None, shard_bytes), "words")
+    words = written(_counted(docs, {1: None}, shard_bytes), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = words.agg(F.sum("f")).first()[0] or 1
-    levels = [words.filter(F.col("f") >= support).select("lang", F.lit(1).alias("words"), "phrase", "f")]
+    frequent = words.filter(F.col("f") >= support)
+    shorter, wanted = share(Filter(_hashed(frequent, 1).withColumn("seen", F.lit(support)), support, filter_bits)), {}
     for n in range(2, longest + 1):
-        shorter = share(Filter(_hashed(levels[-1], n - 1), "h", filter_bits))
-        wanted = share(Filter(_mined(docs, n, shorter, support, total, shard_bytes), "h", filter_bits))
-        found = _counted(docs, n, wanted, shorter, shard_bytes).filter(F.col("f") >= support)
-        levels.append(written(found.select("lang", F.lit(n).alias("words"), "phrase", "f"), "phrases"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every, totals
+        shorter = wanted[n] = share(Filter(_mined(docs, n, shorter, support, total, shard_bytes), support, filter_bits))
+    found = written(_counted(docs, wanted, shard_bytes).filter(F.col("f") >= support), "phrases")
+    return frequent.unionByName(found), totals
 
 
 def collocations(docs: DataFrame, support: int = 30, longest: int = 4, keep: int = 2_000, covered: tuple[int, int] = (80, 100), **options) -> DataFrame:  # noqa: ANN003
