@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from . import scans
+from .segments import ordered
+
 KEYS = ["cell", "symbol", "segment_id"]
 
 
@@ -53,41 +56,61 @@ def binary_accounting(df: DataFrame, delay: int = 1, fee: float = 0.001, slip: f
     return df.withColumns({"position": F.when(held, F.lit(1.0)).otherwise(F.lit(0.0)), "trade_pnl": F.col("_flat") - before, "cost": cost, "unrealized": F.when(held, F.col("equity") - F.col("_flat")).otherwise(F.lit(0.0))}).drop("_was", "_in", "_out", "_entry", "_growth", "_flat")
 
 
-def _fold(delay: int, fee: float, slip: float, capital: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        """At each open what is held moves to the share ``want`` of what everything is worth; a purchase pays its fee out of the money set aside for it."""
-        g = g.sort_values("bar_idx")
-        at, opens, want = g["bar_idx"].to_numpy()[delay:], g["open"].to_numpy()[delay:], g["target"].to_numpy()[: len(g) - delay]
-        price = {1: opens * (1 + slip), -1: opens * (1 - slip)}
-        cash, held = capital, 0.0
-        signed, paid = np.zeros(len(at)), np.zeros(len(at))
-        for i, (o, w) in enumerate(zip(opens.tolist(), want.tolist())):
-            worth = cash + held * o
-            move = w * worth - held * o
-            if abs(move) <= 1e-12 * worth or (move < 0 and held <= 0):
-                continue
-            side = 1 if move > 0 else -1
-            p = price[side][i]
-            qty = move / (1 + fee) / p if side > 0 else held if w == 0 else min(held, -move / p)
-            signed[i], paid[i] = side * qty, qty * p * fee
-            cash -= signed[i] * p + paid[i]
-            held = held + signed[i] if w or side > 0 else 0.0
-        own = np.flatnonzero(signed)
-        up = signed[own] > 0
-        out = pd.DataFrame({"bar_idx": at[own], "side": np.where(up, "buy", "sell"), "qty": np.abs(signed[own]), "price": np.where(up, price[1][own], price[-1][own]), "fee": paid[own]})
-        return out.assign(**{k: g[k].iloc[0] for k in KEYS})[[*KEYS, "bar_idx", "side", "qty", "price", "fee"]]
+def _fold(fee: float, slip: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """At each open what is held moves to the share ``want`` of what everything is worth; a purchase pays its fee out of the money set aside for it.
+
+        Rows come campaign by campaign in order, each from one unit of money; what is carried from row to row is cash and units.
+        """
+        now, cash, held = None, 1.0, 0.0
+        for batch in batches:
+            place = list(zip(*[batch.column(k).to_pylist() for k in (*KEYS, "campaign")]))
+            taken, out = [], []
+            for k, (o, want) in enumerate(zip(batch.column("open").to_pylist(), batch.column("wanted").to_pylist())):
+                if place[k] != now:
+                    now, cash, held = place[k], 1.0, 0.0
+                worth = cash + held * o
+                move = want * worth - held * o
+                side = 0 if abs(move) <= 1e-12 * worth or (move < 0 and held <= 0) else 1 if move > 0 else -1
+                price = o * (1 + side * slip)
+                qty = move / (1 + fee) / price if side > 0 else held if want == 0 else min(held, -move / price)
+                qty = qty if side else 0.0
+                cash -= side * qty * price + qty * price * fee
+                held = held + side * qty if want or side >= 0 else 0.0
+                if side or want == 0:
+                    taken.append(k)
+                    out.append(({1: "buy", -1: "sell", 0: None}[side], qty, price, qty * price * fee, cash if want == 0 else None))
+            columns = list(zip(*out)) if out else [()] * 5
+            types = [pa.string(), *[pa.float64()] * 4]
+            own = batch.select([*KEYS, "campaign", "bar_idx"]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*own.schema.names, "side", "qty", "price", "fee", "growth"])
 
     return run
 
 
-def fractional_fills(df: DataFrame, delay: int = 1, fee: float = 0.001, slip: float = 0.0005, capital: float = 1000.0) -> DataFrame:
+def fractional_fills(df: DataFrame, delay: int = 1, fee: float = 0.001, slip: float = 0.0005, capital: float = 1000.0, block: int | None = None) -> DataFrame:
     """Fills of targets between 0 and 1: (keys, bar_idx, side, qty, price, fee).
 
-    What is bought or sold depends on cash and units so far, so one cell's segment is a fold in one task; cells and
-    segments run apart.
+    What is bought or sold depends on cash and units so far, but after a target of 0 all is cash, and all amounts scale with
+    it. So a segment is cut after each target of 0 into campaigns, which are folded apart from one unit of money, row after row;
+    a campaign's amounts are then multiplied by what the ones before it made of the capital. A task holds a campaign's
+    cash and units only, however long it is. Null opens and targets count as bars without a fill.
     """
-    schema = "cell bigint, symbol string, segment_id bigint, bar_idx bigint, side string, qty double, price double, fee double"
-    return df.select(*KEYS, "bar_idx", F.col("open").cast("double"), F.col("target").cast("double")).groupBy(*KEYS).applyInPandas(_fold(delay, fee, slip, capital), schema)
+    size = block or scans.BLOCK
+    wanted = scans.over_blocks(df.select(*KEYS, "bar_idx", "open", "target").withColumn("segment_id", F.struct("cell", "segment_id")), lambda d: d.withColumn("wanted", F.lag("target", delay).over(ordered())), delay, block=size)
+    wanted = wanted.select(*KEYS[:2], F.col("segment_id.segment_id").alias("segment_id"), "bar_idx", F.col("open").cast("double"), F.coalesce("wanted", F.lit(0)).cast("double").alias("wanted")).filter("open is not null")
+    out_of = F.when(F.col("wanted") == 0, 1).otherwise(0)
+    cut = scans.running(wanted, KEYS, "bar_idx", F.floor(F.col("bar_idx") / size), {"_outs": ("sum", out_of)})
+    cut = cut.withColumn("campaign", (F.col("_outs") - out_of).cast("bigint")).drop("_outs")
+    dealt = cut.withColumn("_walk", F.xxhash64(*KEYS, "campaign")).repartition("_walk").sortWithinPartitions("_walk", *KEYS, "campaign", "bar_idx").drop("_walk")
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in KEYS)
+    walked = written(dealt.mapInArrow(_fold(fee, slip), f"{kinds}, campaign bigint, bar_idx bigint, side string, qty double, price double, fee double, growth double"), "campaigns")
+    ends = walked.filter("growth is not null").select(*KEYS, "campaign", "growth")
+    before = scans.running(ends, KEYS, "campaign", F.floor(F.col("campaign") / size), {"_upto": ("sum", F.ln("growth"))})
+    scale = before.select(*KEYS, (F.col("campaign") + 1).alias("campaign"), F.exp("_upto").alias("_scale"))
+    fills = walked.filter("side is not null").drop("growth").join(scale, [*KEYS, "campaign"], "left")
+    money = F.lit(capital) * F.coalesce("_scale", F.lit(1.0))
+    return fills.select(*KEYS, "bar_idx", "side", (F.col("qty") * money).alias("qty"), "price", (F.col("fee") * money).alias("fee"))
 
 
 def fifo_match(fills: DataFrame) -> DataFrame:
@@ -113,8 +136,9 @@ def fifo_match(fills: DataFrame) -> DataFrame:
 def equity_curve(df: DataFrame, fills: DataFrame, capital: float = 1000.0) -> DataFrame:
     """Bars with ``units``, ``equity`` and ``position`` from fills."""
     signed = fills.select(*KEYS, "bar_idx", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")).alias("_du"), F.when(F.col("side") == "buy", -F.col("qty") * F.col("price") - F.col("fee")).otherwise(F.col("qty") * F.col("price") - F.col("fee")).alias("_dc"))
-    upto = _ordered().rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(signed, [*KEYS, "bar_idx"], "left").withColumns({"units": F.coalesce(F.sum("_du").over(upto), F.lit(0.0)), "_cash": F.lit(capital) + F.coalesce(F.sum("_dc").over(upto), F.lit(0.0))})
+    out = df.join(signed, [*KEYS, "bar_idx"], "left")
+    out = scans.running(out, KEYS, "bar_idx", F.floor(F.col("bar_idx") / scans.BLOCK), {"units": ("sum", F.col("_du")), "_cash": ("sum", F.col("_dc"))})
+    out = out.withColumns({"units": F.coalesce("units", F.lit(0.0)), "_cash": F.lit(capital) + F.coalesce("_cash", F.lit(0.0))})
     out = out.withColumn("equity", F.col("_cash") + F.col("units") * F.col("close"))
     return out.withColumn("position", F.when(F.col("equity") > 0, F.col("units") * F.col("close") / F.col("equity")).otherwise(F.lit(0.0))).drop("_du", "_dc", "_cash")
 

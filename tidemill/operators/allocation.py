@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .indicators import trend_up
 
 
@@ -51,8 +52,8 @@ def monthly_backtest(closes: DataFrame, benchmark: str, n: int = 10, cost: float
     df = df.crossJoin(F.broadcast(size)).filter(F.col("_i") >= n).withColumn("_w", F.when(F.col("close") > F.col("_mean"), 1.0 / F.col("_size")).otherwise(F.lit(0.0)))
     df = df.withColumn("_turn", F.abs(F.col("_w") - F.coalesce(F.lag("_w").over(by), F.lit(0.0)))).filter("_next is not null")
     per = df.groupBy("month").agg((F.sum(F.col("_w") * F.col("_next")) - cost * F.sum("_turn")).alias("r"), F.max(F.when(F.col("symbol") == benchmark, F.col("_next"))).alias("b"))
-    per = per.withColumn("_k", F.lit(1))
-    upto = Window.partitionBy("_k").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"_e": F.exp(F.sum(F.ln(1 + F.col("r"))).over(upto)), "_b": F.exp(F.sum(F.ln(1 + F.col("b"))).over(upto))})
-    per = per.withColumn("_d", F.col("_e") / F.greatest(F.lit(1.0), F.max("_e").over(upto)) - 1)
+    cut = scans.time_block("month", "1 day", 10_000)
+    per = scans.running(per, [], "month", cut, {"_e": ("sum", F.ln(1 + F.col("r"))), "_b": ("sum", F.ln(1 + F.col("b")))})
+    per = scans.running(per.withColumns({"_e": F.exp("_e"), "_b": F.exp("_b")}), [], "month", cut, {"_peak": ("max", F.col("_e"))})
+    per = per.withColumn("_d", F.col("_e") / F.greatest(F.lit(1.0), F.col("_peak")) - 1)
     return per.agg(F.count("*").alias("months"), (F.max_by("_e", "month") - 1).alias("strategy_total_return"), (F.max_by("_b", "month") - 1).alias("benchmark_total_return"), F.least(F.lit(0.0), F.min("_d")).alias("strategy_max_drawdown"))

@@ -1,17 +1,26 @@
 """Causal indicators: window expressions on segmented bars.
 
 Every function returns a Column that looks at the current and earlier bars of the segment only, null until
-enough of them exist. Frames are written out with their count, since a frame shrinks at the segment's start.
+enough of them exist. Frames are written out with their count, since a frame shrinks at the segment's start. Put the columns on
+long segments inside ``scans.over_blocks``. What looks back without bound (``ema``, ``rsi``) is a function of the DataFrame and
+goes outside.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .segments import ordered, frame
+from . import scans
+from .scans import over_blocks
+from .segments import frame, ordered
 
 
 def _col(c: str | Column) -> Column:
@@ -98,10 +107,71 @@ def volume_to_mean(n: int = 20) -> Column:
     return F.col("volume") / (sma(n, "volume") + 1e-8)
 
 
-def prior_rank(c: str = "range_24", n: int = 720, window: int = 24) -> Column:
-    """Share of n earlier values of ``c`` that are at most the latest one before this bar; that one isn't among them."""
-    refs, latest = F.collect_list(c).over(frame(-(n + 1), -2)), lag(c, 1)
-    return _full(F.when(F.size(refs) == n, F.aggregate(refs, F.lit(0), lambda s, x: s + (x <= latest).cast("int")) / F.lit(float(n))), n + window)
+class _Ordered:
+    """The last ``n`` values in order: a binary search adds one, another takes out the oldest. Nulls take a place but have no order."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.came, self.order = n, deque(), []
+
+    def add(self, x: float | None) -> None:
+        self.came.append(x)
+        if x is not None:
+            insort(self.order, x)
+        if len(self.came) > self.n and (old := self.came.popleft()) is not None:
+            del self.order[bisect_left(self.order, old)]
+
+    def median(self) -> float | None:
+        k = len(self.order)
+        return (self.order[(k - 1) // 2] + self.order[k // 2]) / 2 if k else None
+
+    def share(self, x: float | None) -> float | None:
+        return bisect_right(self.order, x) / self.n if x is not None and len(self.order) == self.n else None
+
+
+def moving_order(seg: DataFrame, values: dict[str, tuple[str, str, int]], halo: int = 1_000, block: int | None = None) -> DataFrame:
+    """``seg`` with order statistics of moving windows: {name: (kind, column, n)}.
+
+    'median': of the ``n`` values before this bar, nulls left out. 'rank': the share of ``n`` earlier values that are at most the
+    latest one before this bar, which isn't among them; null unless all are there.
+
+    Bars are read in order, block by block of their segment (``halo`` must cover the windows and what their columns look back at). A task
+    holds its windows in order: a bar costs a binary search a window, not a sort.
+    """
+    stats = list(values.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, windows, last = None, [], []
+        for batch in batches:
+            out, columns = [[] for _ in stats], [batch.column(c).to_pylist() for _, (_, c, _) in stats]
+            for k, place in enumerate(zip(batch.column("_key").to_pylist(), batch.column("bar_idx").to_pylist())):
+                if now is None or place != (now[0], now[1] + 1):
+                    windows, last = [_Ordered(n) for _, (_, _, n) in stats], [None] * len(stats)
+                now = place
+                for i, (_, (kind, _, _)) in enumerate(stats):
+                    x, w = columns[i][k], windows[i]
+                    if kind == "median":
+                        out[i].append(w.median())
+                        w.add(x)
+                    else:
+                        out[i].append(w.share(last[i]))
+                        w.add(last[i])
+                        last[i] = x
+            names = [c for c in batch.schema.names if c != "_key"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(o, pa.float64()) for o in out]], names=[*names, *values])
+
+    def build(d: DataFrame) -> DataFrame:
+        schema = StructType([*d.schema.fields, *[StructField(name, DoubleType()) for name in values]])
+        dealt = d.withColumn("_key", F.xxhash64("symbol", "segment_id")).repartition("_key").sortWithinPartitions("_key", "symbol", "segment_id", "bar_idx")
+        return dealt.mapInArrow(run, schema)
+
+    return over_blocks(seg, build, halo, block=block)
+
+
+def prior_rank(seg: DataFrame, out: str = "rank_720", n: int = 720, window: int = 24) -> DataFrame:
+    """``seg`` with the share of n earlier range ratios over ``window`` bars that are at most the latest one before this bar."""
+    ranged = over_blocks(seg, lambda d: d.withColumn(f"range_{window}", range_ratio(window)), window)
+    ranked = moving_order(ranged, {out: ("rank", f"range_{window}", n)}, n + 2)
+    return ranked.withColumn(out, _full(F.col(out), n + window))
 
 
 def regime(k: int = 168, up: float = 0.10, down: float = -0.10) -> Column:
@@ -143,9 +213,9 @@ def ewm(df: DataFrame, value: str, alpha: float, out: str, first: int = 0, block
     df = df.withColumns({"_blk": blk, "_at": at})
     df = df.withColumn("_part", F.sum(F.when(idx >= 0, x * F.pow(F.lit(keep), -F.col("_at")))).over(own) * F.pow(F.lit(keep), F.col("_at")))
     tails = df.filter(f"bar_idx >= {first} and _at = {block - 1}").select("symbol", "segment_id", (F.col("_blk") + 1).alias("_blk"), F.col("_part").alias("_tail"))
-    before = Window.partitionBy("symbol", "segment_id").orderBy("_blk").rowsBetween(1 - reach, 0)
-    carry = F.aggregate(F.collect_list("_tail").over(before), F.lit(0.0), lambda s, t: s * keep**block + t)
-    tails = tails.select("symbol", "segment_id", "_blk", carry.alias("_carry"))
+    carry = F.aggregate(F.collect_list("_tail").over(frame(1 - reach, 0)), F.lit(0.0), lambda s, t: s * keep**block + t)
+    tails = over_blocks(tails.withColumnRenamed("_blk", "bar_idx"), lambda d: d.withColumn("_carry", carry), reach)
+    tails = tails.select("symbol", "segment_id", F.col("bar_idx").alias("_blk"), "_carry")
     df = df.join(tails, ["symbol", "segment_id", "_blk"], "left")
     mean = F.col("_part") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
     return df.withColumn(out, F.when(idx >= 0, mean)).drop("_blk", "_at", "_part", "_carry")
@@ -159,17 +229,19 @@ def ema(df: DataFrame, n: int, value: str = "close", out: str | None = None) ->
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """``df`` with ``rsi``: exponential means (alpha 1 / n) of gains and losses, seeded at the first change; 100 without losses."""
     change = F.col("close") - lag("close", 1)
+    df = over_blocks(df, lambda d: d.withColumn("_change", change), 1)
+    change = F.col("_change")
     df = df.withColumns({"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))})
     df = ewm(ewm(df, "_gain", 1.0 / n, "_up", 1), "_loss", 1.0 / n, "_down", 1)
     value = F.when(F.col("_down") > 0, 100 - 100 / (1 + F.col("_up") / F.col("_down"))).when(F.col("_up") > 0, F.lit(100.0))
-    return df.withColumn("rsi", value).drop("_gain", "_loss", "_up", "_down")
+    return df.withColumn("rsi", value).drop("_change", "_gain", "_loss", "_up", "_down")
 
 
 def atr(df: DataFrame, n: int = 14) -> DataFrame:
     """``df`` with ``true_range`` (null on the first bar of a segment) and its mean ``atr`` over n bars."""
     prev = lag("close", 1)
     tr = F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
-    return df.withColumn("true_range", tr).withColumn("atr", _full(F.avg("true_range").over(frame(-(n - 1), 0)), n))
+    return over_blocks(df, lambda d: d.withColumn("true_range", tr).withColumn("atr", _full(F.avg("true_range").over(frame(-(n - 1), 0)), n)), n)
 
 
 def vwap_bands(bars: DataFrame, k: float = 2.0) -> DataFrame:
@@ -183,10 +255,19 @@ def vwap_bands(bars: DataFrame, k: float = 2.0) -> DataFrame:
     return df.withColumns({"upper_band": F.col("vwap") + k * F.col("vwap_std"), "lower_band": F.col("vwap") - k * F.col("vwap_std")}).drop("_typical")
 
 
-def rolling_mean(c: str, n: int) -> Column:
-    """Mean of the last n rows of the symbol, across days and gaps; null until there are n."""
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-(n - 1), 0)
-    return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
+def positions(bars: DataFrame, step: str = "1 hour", block: int | None = None) -> DataFrame:
+    """``bars`` as one series of each symbol, across days and gaps: segment_id 0 and their number as bar_idx, for windows by rows."""
+    plain = bars.drop("segment_id", "bar_idx")
+    return scans.number_runs(plain, ["symbol"], "ts", scans.time_block("ts", step, block), "true", [], "segment_id", "bar_idx")
+
+
+def rolling_mean(bars: DataFrame, c: str, n: int, out: str, step: str = "1 hour") -> DataFrame:
+    """``bars`` with the mean of the last n rows of the symbol, across days and gaps; null until there are n."""
+    mean = F.when(F.count(c).over(frame(-(n - 1), 0)) == n, F.avg(c).over(frame(-(n - 1), 0)))
+    own = {k: f"_{k}" for k in ("segment_id", "bar_idx") if k in bars.columns}
+    every = positions(bars.withColumns({new: F.col(k) for k, new in own.items()}), step)
+    every = over_blocks(every, lambda d: d.withColumn(out, mean), n).drop("segment_id", "bar_idx")
+    return every.withColumnsRenamed({new: k for k, new in own.items()})
 
 
 def trend_up(closes: DataFrame, n: int = 10) -> DataFrame:

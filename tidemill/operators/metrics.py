@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .event_study import compound
 
 
@@ -127,9 +128,10 @@ def segment_summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
 def account_vs_benchmark(account: DataFrame, benchmark: DataFrame, start: str) -> DataFrame:
     """(date, value) of both on days that both have from ``start`` on, positive only: returns, difference, drawdowns (negative); one row."""
     ok = lambda df, n: df.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("value") > 0)).select("date", F.col("value").alias(n))
-    both = ok(account, "a").join(ok(benchmark, "b"), "date").withColumn("_k", F.lit(1))
-    upto = Window.partitionBy("_k").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"_da": F.col("a") / F.max("a").over(upto) - 1, "_db": F.col("b") / F.max("b").over(upto) - 1})
+    both = ok(account, "a").join(ok(benchmark, "b"), "date")
+    peaks = {"_pa": ("max", F.col("a")), "_pb": ("max", F.col("b"))}
+    both = scans.running(both, [], "date", scans.time_block("date", "1 day", 1_000), peaks)
+    both = both.withColumns({"_da": F.col("a") / F.col("_pa") - 1, "_db": F.col("b") / F.col("_pb") - 1})
     ends = lambda c: F.max_by(c, "date") / F.min_by(c, "date") - 1
     out = both.agg(F.count("*").alias("trading_days"), F.min("date").alias("start"), F.max("date").alias("end"), ends("a").alias("account_return"), ends("b").alias("benchmark_return"), F.min("_da").alias("account_max_drawdown"), F.min("_db").alias("benchmark_max_drawdown"))
     enough = F.col("trading_days") >= 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .intervals import by_day
 
 
@@ -18,17 +19,15 @@ def frame(first: int | None, last: int | None):  # noqa: ANN201
     return ordered().rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
 
-def continuous_segments(bars: DataFrame, step: str, breaks: DataFrame | None = None) -> DataFrame:
+def continuous_segments(bars: DataFrame, step: str, breaks: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """``bars`` without those in ``breaks``, with ``segment_id`` (from 0 by symbol) and ``bar_idx`` (from 0 by segment).
 
-    A segment ends where the next bar is not exactly one ``step`` (an interval text) later. Gaps are never filled.
+    A segment ends where the next bar is not exactly one ``step`` (an interval text) later. Gaps are never filled. Bars are
+    numbered in blocks of about ``block`` of them (``scans.BLOCK``), so a symbol is many tasks.
     """
     if breaks is not None:
         bars = outside_intervals(bars, breaks)
-    order = Window.partitionBy("symbol").orderBy("ts")
-    fresh = F.when(F.col("ts") == F.lag("ts").over(order) + F.expr(f"interval {step}"), 0).otherwise(1)
-    cut = bars.withColumn("_fresh", fresh).withColumn("segment_id", (F.sum("_fresh").over(order) - 1).cast("bigint")).drop("_fresh")
-    return cut.withColumn("bar_idx", (F.row_number().over(Window.partitionBy("symbol", "segment_id").orderBy("ts")) - 1).cast("bigint"))
+    return scans.number_runs(bars, ["symbol"], "ts", scans.time_block("ts", step, block), f"ts = prev_ts + interval {step}", ["ts"], "segment_id", "bar_idx")
 
 
 def _lookup(df: DataFrame, intervals: DataFrame, how: str) -> DataFrame:
@@ -57,12 +56,12 @@ def boundary_termination(df: DataFrame, breaks: DataFrame) -> DataFrame:
     return df.join(inside, ["symbol", "ts"], "left")
 
 
-def split_series(bars: DataFrame, breaks: DataFrame) -> DataFrame:
-    """``bars`` outside ``breaks`` with ``series_id`` (from 0): a new one wherever blocked bars lie between; steps don't matter."""
+def split_series(bars: DataFrame, breaks: DataFrame, step: str = "1 hour", block: int | None = None) -> DataFrame:
+    """``bars`` outside ``breaks`` with ``series_id`` (from 0): a new one wherever blocked bars lie between; steps don't matter. ``step`` is how far bars are apart as a rule."""
     marked = bars.join(inside_intervals(bars, breaks).select("symbol", "ts", F.lit(1).alias("_in")).distinct(), ["symbol", "ts"], "left")
-    order = Window.partitionBy("symbol").orderBy("ts")
-    marked = marked.withColumn("_blocked", F.sum(F.coalesce("_in", F.lit(0))).over(order)).filter("_in is null")
-    return marked.withColumn("series_id", (F.dense_rank().over(Window.partitionBy("symbol").orderBy("_blocked")) - 1).cast("bigint")).drop("_blocked", "_in")
+    cut = scans.time_block("ts", step, block)
+    marked = scans.running(marked, ["symbol"], "ts", cut, {"_blocked": ("sum", F.coalesce("_in", F.lit(0)))}).filter("_in is null").drop("_in")
+    return scans.number_runs(marked, ["symbol"], "ts", cut, "_blocked = prev__blocked", ["_blocked"], "series_id", "_place").drop("_blocked", "_place")
 
 
 def lookback_eligible(seg: DataFrame, n: int, start: str | None = None, step: str = "1 hour") -> DataFrame:
@@ -77,7 +76,7 @@ def lookback_eligible(seg: DataFrame, n: int, start: str | None = None, step: st
 
 def return_eligible(seg: DataFrame) -> DataFrame:
     """``seg`` with ``eligible``: the bar before is one step earlier and neither is in a break."""
-    return seg.withColumn("eligible", F.lag("ts").over(ordered()).isNotNull())
+    return seg.withColumn("eligible", F.col("bar_idx") > 0)
 
 
 def synchronized_segments(lead: DataFrame, target: DataFrame, step: str, breaks: DataFrame | None = None) -> DataFrame:
@@ -90,5 +89,5 @@ def synchronized_segments(lead: DataFrame, target: DataFrame, step: str, breaks:
 
 def min_length(seg: DataFrame, n: int) -> DataFrame:
     """Rows of segments with at least ``n`` bars."""
-    size = F.count("*").over(Window.partitionBy("symbol", "segment_id"))
-    return seg.withColumn("_n", size).filter(F.col("_n") >= n).drop("_n")
+    long = seg.filter(F.col("bar_idx") == n - 1).select("symbol", "segment_id")
+    return seg.join(long, ["symbol", "segment_id"], "left_semi")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import indicators as I
-from .segments import ordered, frame
+from .scans import over_blocks
+from .segments import frame, ordered
 
 Grid = dict[str, list[float]]
 
@@ -163,17 +164,27 @@ def features_for(seg: DataFrame, signal: Signal, grid: Grid) -> DataFrame:
         text += " " + bound
         for column, (kind, values) in more.items():
             wanted[column] = (kind, sorted({*values, *wanted.get(column, (kind, []))[1]}))
-    df = I.with_base_columns(seg)
+    df = seg
     if signal.name == "hyp0004":
         for n in sorted({int(v) for v in grid["ema"]}):
             df = I.ema(df, n)
+    if "rank_720" in text:
+        df = I.prior_rank(df)
+    # no feature looks further back than all its parameters and the longest fixed window together
+    halo = 800 + sum(int(max(abs(v) for v in values)) for values in grid.values())
+    return over_blocks(df, lambda d: _features(d, signal, grid, text, wanted), halo)
+
+
+def _features(seg: DataFrame, signal: Signal, grid: Grid, text: str, wanted: dict[str, tuple[str, list[int]]]) -> DataFrame:
+    import re
+
+    df = I.with_base_columns(seg)
+    if signal.name == "hyp0004":
         df = df.withColumns({f"ema_{n}_ago_{k}": F.lag(f"ema_{n}", k).over(ordered()) for n in map(int, grid["ema"]) for k in map(int, grid["slope"])})
     words = set(re.findall(r"[a-z_0-9]+", text))
     if "vol_12" in words:
         df = df.withColumn("vol_12", I.prior_realized_vol(12))
         df = df.withColumn("med_vol_12", I.median_of_vol())
-    if "rank_720" in words:
-        df = df.withColumn("range_24", I.range_ratio(24)).withColumn("rank_720", I.prior_rank())
     own = {c: make() for c, make in _FIXED.items() if c in words and c not in df.columns}
     for column, (kind, values) in wanted.items():
         for v in values:
@@ -240,7 +251,7 @@ def held_targets(seg: DataFrame, name: str, grid: Grid | None = None) -> DataFra
 
 def vwap_triggers(bars: DataFrame, k: float = 2.0, n: int = 20) -> DataFrame:
     """``bars`` with bands, ``vol_ma`` and ``short`` / ``long``: a band is pierced, the close is back inside, volume is above its mean."""
-    df = I.vwap_bands(bars, k).withColumn("vol_ma", I.rolling_mean("volume", n))
+    df = I.rolling_mean(I.vwap_bands(bars, k), "volume", n, "vol_ma")
     loud = F.col("volume") > F.col("vol_ma")
     short = (F.col("high") > F.col("upper_band")) & (F.col("close") < F.col("upper_band")) & loud
     long = (F.col("low") < F.col("lower_band")) & (F.col("close") > F.col("lower_band")) & loud

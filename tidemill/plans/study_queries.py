@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import accounting, allocation, classifier, metrics, robustness, segments, signals
+from ..operators import accounting, allocation, classifier, metrics, robustness, scans, segments, signals
 from ..operators import event_study as G
 from ..operators import indicators as I
 from ..sources.store import written
@@ -92,7 +92,7 @@ def q_f24(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = X.event_bars(spark, sf_dir, True)
     seg = segments.synchronized_segments(bars.filter("symbol = 'click'"), bars.filter("symbol = 'purchase'"), "1 hour")
-    return seg.withColumn("lead_ret", I.ret(1, "lead_close"))
+    return scans.over_blocks(seg, lambda d: d.withColumn("lead_ret", I.ret(1, "lead_close")), 1)
 
 
 _PAIR = f"with {X.TYPE_SQL}, pair as (select p.*, c.close as lead_close from bars p join bars c on c.symbol = 'click' and p.symbol = 'purchase' and c.ts = p.ts), " + X.segments_sql("1 hour").replace("from bars", "from pair").replace("select symbol, ts, open", "select symbol, lead_close, ts, open") + f", pr as (select *, close / lag(close) {_P}) - 1 as r1, lead_close / lag(lead_close) {_P}) - 1 as lr from seg)"
@@ -237,7 +237,7 @@ def q_g7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("q_G8", _PAIR + f", fw as (select *, lead(close) {_P}) / close - 1 as nr from pr), cc as (select *, lr >= 0.01 and lr - r1 >= 0.005 as c from fw where bar_idx >= 1 and nr is not null) select count(*) filter (c) as conditional_events, count(*) as control_events, round(avg(nr) filter (c), 6) as conditional_mean, round(avg(nr), 6) as control_mean, round(avg(nr) filter (c) - avg(nr), 6) as difference from cc")
 def q_g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = _pair(spark, sf_dir).withColumn("r1", I.ret(1))
+    pair = scans.over_blocks(_pair(spark, sf_dir), lambda d: d.withColumn("r1", I.ret(1)), 1)
     return G.conditional_control(pair, (F.col("lead_ret") >= 0.01) & (F.col("lead_ret") - F.col("r1") >= 0.005), 1)
 
 
@@ -616,10 +616,11 @@ def q_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracket trades on daily bars by symbol with the classifier's features."""
     df = I.rsi(I.atr(segments.continuous_segments(X.daily_bars(spark, sf_dir), "1 day")))
-    df = df.withColumn("vol_ratio", I.volume_to_mean(20))
+    df = scans.over_blocks(df, lambda d: d.withColumn("vol_ratio", I.volume_to_mean(20)), 20)
     wicks = C.wick_features(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
     df = df.withColumns({k: wicks[k] for k in ("upper_wick_to_body", "lower_wick_to_body")})
-    loud = F.col("volume") > I.rolling_mean("volume", 20)
+    df = I.rolling_mean(df, "volume", 20, "vol_ma")
+    loud = F.col("volume") > F.col("vol_ma")
     short, long = F.col("close") < F.col("open"), F.col("close") > F.col("open")
     df = df.withColumns({"short": F.coalesce(short & loud, F.lit(False)), "long": F.coalesce(long & loud, F.lit(False))})
     return G.first_touch(df, fee=0.08, warm=F.col("atr").isNotNull() & F.col("rsi").isNotNull())
