@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import floor_interval
+from . import scans
 
 
 def _at(x: str):  # noqa: ANN202
@@ -26,9 +27,7 @@ def affected_hours(events: DataFrame, end: str, unit: str = "hour") -> DataFrame
 
 def coalesce_regions(hours: DataFrame, step: str = "1 hour") -> DataFrame:
     """Runs of consecutive hours as regions [start, end) with all their ids."""
-    order = Window.partitionBy("symbol").orderBy("hour")
-    fresh = F.when(F.col("hour") == F.lag("hour").over(order) + F.expr(f"interval {step}"), 0).otherwise(1)
-    runs = hours.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(order))
+    runs = scans.number_runs(hours, ["symbol"], "hour", scans.time_block("hour", step), f"hour = prev_hour + interval {step}", ["hour"], "_run", "_place")
     out = runs.groupBy("symbol", "_run").agg(F.min("hour").alias("start"), F.max("hour").alias("_last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("anomaly_ids")))).alias("anomaly_ids"))
     return out.select("symbol", "start", (F.col("_last") + F.expr(f"interval {step}")).alias("end"), "anomaly_ids")
 
@@ -87,17 +86,66 @@ def continuity_breaks(regions: DataFrame) -> DataFrame:
     return regions.select("symbol", "start", "end", "anomaly_ids", F.lit("bars on both sides of an affected region belong to different segments").alias("reason"))
 
 
-def by_day(intervals: DataFrame) -> DataFrame:
-    """Intervals that aren't empty, once for each ``_day`` that they touch: what lies in them or overlaps them meets them by an equal day."""
-    days = F.sequence(F.to_date("start"), F.to_date(F.col("end") - F.expr("interval 1 microsecond")))
-    return intervals.filter("start < end").withColumn("_day", F.explode(days))
+def in_intervals(df: DataFrame, intervals: DataFrame, out: str, ts: str = "ts", step: str = "1 hour") -> DataFrame:
+    """``df`` with ``out``: whether ``ts`` lies in a half-open interval (start, end), of its symbol where intervals have one.
+
+    A plane sweep: starts and rows are put in one order, and a row is inside where the largest end so far is later. The
+    order runs in blocks of time, whose carry is that one end, however long intervals are. Empty intervals hold nothing.
+    """
+    keys = ["symbol"] if "symbol" in intervals.columns else []
+    names = [F.col(k).alias(f"_k_{k}") for k in keys]
+    row = df.select(*names, F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(intervals.schema["end"].dataType).alias("_end"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    held = intervals.filter("start < end")
+    for k in keys:
+        held = held.filter(F.col(k).isNotNull())
+    start = held.select(*names, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), F.lit(None).cast(row.schema["_row"].dataType).alias("_row"))
+    both = row.unionByName(start).withColumn("_order", F.struct("_at", "_kind"))
+    swept = scans.running(both, [f"_k_{k}" for k in keys], "_order", scans.time_block("_at", step), {"_open": ("max", F.col("_end"))})
+    return swept.filter("_kind = 1").select("_row.*", F.coalesce(F.col("_open") > F.col("_at"), F.lit(False)).alias(out))
+
+
+#: Levels of the hours tree: enough for all timestamps.
+_LEVELS = 28
+
+
+def _hour(ts: Column) -> Column:
+    """Hours as a positive number that grows with ``ts``."""
+    return F.datediff(ts, F.lit("0001-01-01").cast("date")).cast("bigint") * 24 + F.hour(ts)
+
+
+def _nodes(df: DataFrame) -> DataFrame:
+    """Intervals that aren't empty, once for each node of the hours tree that they cover: at most two a level, each hour under one of them."""
+    lo, hi = _hour(F.col("start")), _hour(F.col("end") - F.expr("interval 1 microsecond")) + 1
+    df = df.filter("start < end").withColumns({"_lo": lo, "_hi": hi})
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        low, high = F.ceil(F.col("_lo") / size).cast("bigint"), F.floor(F.col("_hi") / size).cast("bigint")
+        first = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.alias("node")))
+        last = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("node")))
+        return F.array_compact(F.array(first, last))
+
+    nodes = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)))
+    return df.select("start", "end", nodes.alias("_node")).select("start", "end", "_node.level", "_node.node")
+
+
+def _starts_in(points: DataFrame, intervals: DataFrame, same: bool) -> DataFrame:
+    """(start, end) of both where an interval of ``points`` starts in one of ``intervals`` (at its very start only if ``same``).
+
+    A start has one node a level above it; an interval's nodes hold each hour once. They meet by equal nodes.
+    """
+    level = F.sequence(F.lit(0), F.lit(_LEVELS))
+    up = points.filter("start < end").select("start", "end", F.explode(level).alias("level"), _hour(F.col("start")).alias("_h"))
+    up = up.select("start", "end", "level", F.floor(F.col("_h") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint").alias("node"))
+    p, i = up.alias("p"), _nodes(intervals).alias("i")
+    later = (F.col("p.start") >= F.col("i.start")) if same else (F.col("p.start") > F.col("i.start"))
+    met = p.join(i, (F.col("p.level") == F.col("i.level")) & (F.col("p.node") == F.col("i.node")) & later & (F.col("p.start") < F.col("i.end")))
+    return met.select(F.col("p.start").alias("start"), F.least("p.end", "i.end").alias("end"))
 
 
 def _overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    cond = (F.col("a._day") == F.col("b._day")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    df = by_day(a).alias("a").join(by_day(b).alias("b"), cond)
-    both = df.select(F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"), F.col("a._day").alias("_day"))
-    return both.filter(F.col("_day") == F.to_date("start")).drop("_day")  # of the days that two share, the first
+    """Of two intervals that overlap, one starts in the other: rows grow with the intervals' number and the result, not with their length."""
+    return _starts_in(a, b, True).union(_starts_in(b, a, False))
 
 
 def common_breaks(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,11 +154,9 @@ def common_breaks(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def common_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Intersections of two sets of intervals, those that touch joined. The intersections are put in one order: regions are few beside bars."""
-    order = Window.orderBy("start")
-    df = _overlaps(a, b).withColumn("_f", F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1))
-    df = df.withColumn("_run", F.sum("_f").over(order))
-    return df.groupBy("_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    """Intersections of two sets of intervals, those that touch joined."""
+    runs = scans.number_runs(_overlaps(a, b), [], "start", scans.time_block("start", "1 hour"), "start = prev_end", ["start", "end"], "_run", "_place")
+    return runs.groupBy("_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def common_certification(labels: DataFrame, common: DataFrame) -> DataFrame:

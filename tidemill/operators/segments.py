@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scans
-from .intervals import by_day
+from .intervals import in_intervals
 
 
 def ordered():  # noqa: ANN201
@@ -30,20 +30,14 @@ def continuous_segments(bars: DataFrame, step: str, breaks: DataFrame | None = N
     return scans.number_runs(bars, ["symbol"], "ts", scans.time_block("ts", step, block), f"ts = prev_ts + interval {step}", ["ts"], "segment_id", "bar_idx")
 
 
-def _lookup(df: DataFrame, intervals: DataFrame, how: str) -> DataFrame:
-    own = F.col("b.symbol") == F.col("i.symbol") if "symbol" in intervals.columns else F.lit(True)
-    inside = own & (F.to_date("b.ts") == F.col("i._day")) & (F.col("b.ts") >= F.col("i.start")) & (F.col("b.ts") < F.col("i.end"))
-    return df.alias("b").join(by_day(intervals).alias("i"), inside, how)
-
-
 def outside_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows whose ``ts`` lies in no half-open interval (start, end), of their symbol where intervals have one. They meet by symbol and day."""
-    return _lookup(df, intervals, "left_anti")
+    """Rows whose ``ts`` lies in no half-open interval (start, end), of their symbol where intervals have one."""
+    return in_intervals(df, intervals, "_in").filter("not _in").drop("_in")
 
 
 def inside_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rows whose ``ts`` lies in an interval: membership in certified segments."""
-    return _lookup(df, intervals, "left_semi")
+    return in_intervals(df, intervals, "_in").filter("_in").drop("_in")
 
 
 #: Fixed value: why a trade has to end at a continuity break.
@@ -51,16 +45,15 @@ BOUNDARY = "DATA_BOUNDARY_TERMINATION"
 
 
 def boundary_termination(df: DataFrame, breaks: DataFrame) -> DataFrame:
-    """``df`` (symbol, ts, unique) with ``termination``: why a trade open at that time has to end there, null outside breaks."""
-    inside = inside_intervals(df, breaks).select("symbol", "ts", F.lit(BOUNDARY).alias("termination")).distinct()
-    return df.join(inside, ["symbol", "ts"], "left")
+    """``df`` with ``termination``: why a trade open at that time has to end there, null outside breaks."""
+    return in_intervals(df, breaks, "_in").withColumn("termination", F.when(F.col("_in"), BOUNDARY)).drop("_in")
 
 
 def split_series(bars: DataFrame, breaks: DataFrame, step: str = "1 hour", block: int | None = None) -> DataFrame:
     """``bars`` outside ``breaks`` with ``series_id`` (from 0): a new one wherever blocked bars lie between; steps don't matter. ``step`` is how far bars are apart as a rule."""
-    marked = bars.join(inside_intervals(bars, breaks).select("symbol", "ts", F.lit(1).alias("_in")).distinct(), ["symbol", "ts"], "left")
+    marked = in_intervals(bars, breaks, "_in")
     cut = scans.time_block("ts", step, block)
-    marked = scans.running(marked, ["symbol"], "ts", cut, {"_blocked": ("sum", F.coalesce("_in", F.lit(0)))}).filter("_in is null").drop("_in")
+    marked = scans.running(marked, ["symbol"], "ts", cut, {"_blocked": ("sum", F.col("_in").cast("int"))}).filter("not _in").drop("_in")
     return scans.number_runs(marked, ["symbol"], "ts", cut, "_blocked = prev__blocked", ["_blocked"], "series_id", "_place").drop("_blocked", "_place")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import indicators as I
 from .scans import over_blocks
 from .segments import frame, ordered
@@ -153,65 +155,123 @@ def _bound(rule: str, signal: Signal, grid: Grid) -> tuple[str, dict[str, tuple[
     return re.sub(r"\{(\w+):([\w,]+)\}", place, rule), wanted
 
 
-def features_for(seg: DataFrame, signal: Signal, grid: Grid) -> DataFrame:
-    """``seg`` with the features that the signal's rule reads, each lookback of the grid once."""
-    import re
-
-    rules = signal.latch or (signal.rule,)
+def _wanted(signal: Signal, grid: Grid) -> tuple[str, dict[str, tuple[str, list[int]]]]:
+    """The signal's bound rules, and the features by lookback that they read."""
     text, wanted = "", {}
-    for r in rules:
+    for r in signal.latch or (signal.rule,):
         bound, more = _bound(r, signal, grid)
         text += " " + bound
         for column, (kind, values) in more.items():
             wanted[column] = (kind, sorted({*values, *wanted.get(column, (kind, []))[1]}))
+    return text, wanted
+
+
+def features_for(seg: DataFrame, *signals: tuple[Signal, Grid]) -> DataFrame:
+    """``seg`` with the features that the signals' rules read, each lookback of their grids once, in one pass."""
+    read = [(signal, grid, *_wanted(signal, grid)) for signal, grid in signals]
     df = seg
-    if signal.name == "hyp0004":
-        for n in sorted({int(v) for v in grid["ema"]}):
-            df = I.ema(df, n)
-    if "rank_720" in text:
+    for n in sorted({int(v) for signal, grid in signals if signal.name == "hyp0004" for v in grid["ema"]}):
+        df = I.ema(df, n)
+    if any("rank_720" in text for _, _, text, _ in read):
         df = I.prior_rank(df)
     # no feature looks further back than all its parameters and the longest fixed window together
-    halo = 800 + sum(int(max(abs(v) for v in values)) for values in grid.values())
-    return over_blocks(df, lambda d: _features(d, signal, grid, text, wanted), halo)
+    halo = 800 + max(sum(int(max(abs(v) for v in values)) for values in grid.values()) for _, grid in signals)
+
+    def build(d: DataFrame) -> DataFrame:
+        d = I.with_base_columns(d)
+        for one in read:
+            d = _features(d, *one)
+        return d
+
+    return over_blocks(df, build, halo)
 
 
 def _features(seg: DataFrame, signal: Signal, grid: Grid, text: str, wanted: dict[str, tuple[str, list[int]]]) -> DataFrame:
     import re
 
-    df = I.with_base_columns(seg)
+    df = seg
     if signal.name == "hyp0004":
         df = df.withColumns({f"ema_{n}_ago_{k}": F.lag(f"ema_{n}", k).over(ordered()) for n in map(int, grid["ema"]) for k in map(int, grid["slope"])})
     words = set(re.findall(r"[a-z_0-9]+", text))
-    if "vol_12" in words:
+    if "vol_12" in words and "vol_12" not in df.columns:
         df = df.withColumn("vol_12", I.prior_realized_vol(12))
         df = df.withColumn("med_vol_12", I.median_of_vol())
-    own = {c: make() for c, make in _FIXED.items() if c in words and c not in df.columns}
+    own = {c: make() for c, make in _FIXED.items() if c in words}
     for column, (kind, values) in wanted.items():
         for v in values:
             if kind != "ema":
                 own[f"{column}_{v}"] = _by_lookback(kind, v) if not column.endswith("_prev") else F.lag(f"{kind}_{v}", 1).over(ordered())
-    direct = {c: e for c, e in own.items() if "_prev_" not in c}
+    direct = {c: e for c, e in own.items() if "_prev_" not in c and c not in df.columns}
     df = df.withColumns(direct) if direct else df
-    late = {c: e for c, e in own.items() if "_prev_" in c}
+    late = {c: e for c, e in own.items() if "_prev_" in c and c not in df.columns}
     return df.withColumns(late) if late else df
 
 
-def evaluate_grid(seg: DataFrame, name: str, grid: Grid | None = None) -> DataFrame:
-    """The bars of every cell on which a signal fires: symbol, segment_id, bar_idx, ts, ``cell`` and its ``params``.
+def _groups(parts: list[str], grid: Grid) -> tuple[list[str], list[tuple[list[str], list[str]]]]:
+    """The conditions without a parameter, and the others by groups of parameters that no condition joins with those of another group."""
+    import re
+
+    plain, groups = [], [([p], []) for p in grid]
+    for part in parts:
+        own = {p for p in re.findall(r"\bp\.(\w+)", part)}
+        if not own:
+            plain.append(part)
+            continue
+        met = [g for g in groups if own & set(g[0])]
+        groups = [g for g in groups if g not in met] + [(sorted({p for g in met for p in g[0]}, key=list(grid).index), [c for g in met for c in g[1]] + [part])]
+    return plain, groups
+
+
+def _hits(features: DataFrame, name: str, grid: Grid) -> DataFrame:
+    """The bars of every cell on which the signal fires, from bars with its features.
 
-    Features are computed once per lookback; the cells, a table of the grid's size, are broadcast, and the rule
-    filters as the pairs are made.
+    A rule is a conjunction, and most of its conditions have one threshold. So a bar isn't tried against each cell: it is
+    held against what all cells ask first, then against the values of each group of parameters on its own, and the cells
+    that fire are all combinations of the values that hold. Conditions grow with the sum of the groups, rows with the hits.
     """
+    import re
+
+    signal = SIGNALS[name]
+    rule, _ = _bound(signal.rule, signal, grid)
+    plain, groups = _groups(rule.split(" and "), grid)
+    stride, size = {}, 1
+    for p in reversed(grid):
+        stride[p], size = size, size * len(grid[p])
+    df = features.filter(" and ".join([f"bar_idx >= {signal.first}", *plain]))
+    for k, (params, conditions) in enumerate(groups):
+        held = []
+        for combo in product(*[range(len(grid[p])) for p in params]):
+            value = {p: float(grid[p][i]) for p, i in zip(params, combo)}
+            cell = sum(stride[p] * i for p, i in zip(params, combo))
+            own = F.struct(F.lit(cell).cast("bigint").alias("cell"), *[F.lit(value[p]).alias(p) for p in params])
+            text = " and ".join(re.sub(r"\bp\.(\w+)", lambda m: f"({value[m[1]]!r}D)", c) for c in conditions)  # noqa: B023
+            held.append(F.when(F.expr(text), own) if text else own)
+        df = df.withColumn(f"_g{k}", F.explode(F.array_compact(F.array(*held))))
+    at = {p: f"_g{k}" for k, (params, _) in enumerate(groups) for p in params}
+    cell = sum((F.col(f"_g{k}.cell") for k in range(1, len(groups))), F.col("_g0.cell"))
+    return df.select("symbol", "segment_id", "bar_idx", "ts", cell.alias("cell"), F.struct(*[F.col(f"{at[p]}.{p}").alias(p) for p in grid]).alias("params"))
+
+
+def evaluate_grid(seg: DataFrame, name: str, grid: Grid | None = None) -> DataFrame:
+    """The bars of every cell on which a signal fires: symbol, segment_id, bar_idx, ts, ``cell`` and its ``params``. Features are computed once per lookback."""
     signal = SIGNALS[name]
     grid = grid or signal.grid
     if signal.latch:
         raise ValueError(f"{name} has a held state: see held_targets")
-    features = features_for(seg, signal, grid)
-    rule, _ = _bound(signal.rule, signal, grid)
-    cells = param_grid(seg.sparkSession, grid)
-    cells = cells.select("cell", F.struct(*grid).alias("p"))
-    hits = features.join(F.broadcast(cells), F.expr(f"bar_idx >= {signal.first} and {rule}"))
-    return hits.select("symbol", "segment_id", "bar_idx", "ts", "cell", F.col("p").alias("params"))
+    return _hits(features_for(seg, (signal, grid)), name, grid)
+
+
+def evaluate_grids(seg: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``evaluate_grid`` of several signals with their registered grids: ``hypothesis``, symbol, segment_id, bar_idx, ts, cell.
+
+    The features of all are computed in one pass and written; each signal reads its own columns of them.
+    """
+    features = written(features_for(seg, *[(SIGNALS[n], SIGNALS[n].grid) for n in names]), "features")
+    out = None
+    for name in names:
+        hits = _hits(features, name, SIGNALS[name].grid).select(F.lit(name).alias("hypothesis"), "symbol", "segment_id", "bar_idx", "ts", "cell")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def latch(enter: Column, exit_: Column) -> Column:
@@ -234,7 +294,7 @@ def held_targets(seg: DataFrame, name: str, grid: Grid | None = None) -> DataFra
     """The target (0 or 1) of every bar and cell of a target-weight signal: the bars' columns, ``cell`` and ``target``."""
     signal = SIGNALS[name]
     grid = grid or signal.grid
-    features = features_for(seg, signal, grid)
+    features = features_for(seg, (signal, grid))
     cells = param_grid(seg.sparkSession, grid).select("cell", F.struct(*grid).alias("p"))
     if not signal.latch:
         rule, _ = _bound(signal.rule, signal, grid)

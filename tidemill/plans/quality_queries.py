@@ -481,3 +481,29 @@ def q_d19(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("q_D20", _LINES + " select symbol, min(ts) as start_ts, max(ts) as end_ts, any_value(rows) as rows, any_value(dataset_id) as dataset_id, '1d' as timeframe, 'v1' as normalization_version from d join r using (symbol) group by symbol")
 def q_d20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.dataset_metadata(X.daily_bars(spark, sf_dir), "v1", "1d")
+
+
+_TREE = _LINES.split(", m as (")[0] + """, l0 as (select symbol, row_number() over (partition by symbol order by line) - 1 as place, sha256(line) as h from d), n as (select symbol, count(*) as rows from l0 group by 1),
+  l1 as (select symbol, place // 64 as place, case when any_value(rows) > 1 then sha256(string_agg(h, chr(10) order by place)) else any_value(h) end as h from l0 join n using (symbol) group by 1, 2),
+  l2 as (select symbol, place // 64 as place, case when any_value(rows) > 64 then sha256(string_agg(h, chr(10) order by place)) else any_value(h) end as h from l1 join n using (symbol) group by 1, 2),
+  l3 as (select symbol, case when any_value(rows) > 64 * 64 then sha256(string_agg(h, chr(10) order by place)) else any_value(h) end as h from l2 join n using (symbol) group by 1)
+  select symbol, rows, sha256('version=v1' || chr(10) || rows || chr(10) || h) as dataset_id from l3 join n using (symbol)"""
+
+
+@Q.add("q_D18_tree", _TREE)
+def q_d18_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of daily bars by a tree of hashes, built from those before 1996 and extended by the others."""
+    bars = X.daily_bars(spark, sf_dir)
+    early = F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")
+    first = written(identity.tree_frontier(bars.filter(early), run=64), "frontier")
+    return identity.tree_identity(identity.tree_frontier(bars.filter(~early), first, 64), "v1", 64)
+
+
+@Q.add("q_A10_once", "select o_orderpriority as hypothesis, count(*) as n from orders group by 1")
+def q_a10_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records committed twice, the second time with all others: one copy of each."""
+    path = shared_path(spark, "commits")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_orderpriority").alias("hypothesis"), F.lit(0.001).alias("fee"), F.lit(0.0).alias("slip"), F.create_map(F.lit("status"), "o_orderstatus").alias("parameters"))
+    archives.commit_experiments(df.filter("crc32(experiment_id) % 2 = 0"), path)
+    archives.commit_experiments(df, path)
+    return archives.committed(spark, path).groupBy("hypothesis").agg(F.count("*").alias("n"))

@@ -83,7 +83,10 @@ for _name in _RULES:
     _signal(_name, _name in ("hyp0016", "hyp0020"))
 
 
-@Q.add("q_F24", f"{_PRE}, rr as (select *, case when bar_idx >= 23 then (max(high) over w - min(low) over w) / close end as rg, case when bar_idx >= 24 then max(high) {_prior(24)} end as xh from seg window w as (partition by symbol, segment_id order by bar_idx rows 23 preceding)), lr as (select *, lag(rg) {_P}) as latest, list(rg) {_P} rows between 721 preceding and 2 preceding) as refs from rr), rk as (select *, case when bar_idx >= 744 then len(list_filter(refs, lambda x: x <= latest)) / 720.0::double end as rank from lr){_cells_sql('hyp0024')} select cell, symbol, count(*) as hits, sum(bar_idx)::bigint as idx_sum from rk join cells on rank <= quantile and close >= xh * (1 + buffer) group by 1, 2")
+_RANK_HITS = f"{_PRE}, rr as (select *, case when bar_idx >= 23 then (max(high) over w - min(low) over w) / close end as rg, case when bar_idx >= 24 then max(high) {_prior(24)} end as xh from seg window w as (partition by symbol, segment_id order by bar_idx rows 23 preceding)), lr as (select *, lag(rg) {_P}) as latest, list(rg) {_P} rows between 721 preceding and 2 preceding) as refs from rr), rk as (select *, case when bar_idx >= 744 then len(list_filter(refs, lambda x: x <= latest)) / 720.0::double end as rank from lr){_cells_sql('hyp0024')} select cell, symbol, count(*) as hits, sum(bar_idx)::bigint as idx_sum from rk join cells on rank <= quantile and close >= xh * (1 + buffer) group by 1, 2"
+
+
+@Q.add("q_F24", _RANK_HITS)
 def q_f24(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = signals.evaluate_grid(daily(spark, sf_dir), "hyp0024")
     return hits.groupBy("cell", "symbol").agg(F.count("*").alias("hits"), F.sum("bar_idx").alias("idx_sum"))
@@ -98,7 +101,10 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR = f"with {X.TYPE_SQL}, pair as (select p.*, c.close as lead_close from bars p join bars c on c.symbol = 'click' and p.symbol = 'purchase' and c.ts = p.ts), " + X.segments_sql("1 hour").replace("from bars", "from pair").replace("select symbol, ts, open", "select symbol, lead_close, ts, open") + f", pr as (select *, close / lag(close) {_P}) - 1 as r1, lead_close / lag(lead_close) {_P}) - 1 as lr from seg)"
 
 
-@Q.add("q_F06", _PAIR + _cells_sql("hyp0006") + " select cell, count(*) as hits, sum(bar_idx)::bigint as idx_sum from pr join cells on lr >= lead_threshold and lr - r1 >= gap group by 1")
+_PAIR_HITS = _PAIR + _cells_sql("hyp0006") + " select cell, count(*) as hits, sum(bar_idx)::bigint as idx_sum from pr join cells on lr >= lead_threshold and lr - r1 >= gap group by 1"
+
+
+@Q.add("q_F06", _PAIR_HITS)
 def q_f06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.evaluate_grid(_pair(spark, sf_dir), "hyp0006").groupBy("cell").agg(F.count("*").alias("hits"), F.sum("bar_idx").alias("idx_sum"))
 
@@ -152,14 +158,15 @@ SHOCK = {"volume_lookback": [24, 48], "shock": [1.2, 1.5], "return_threshold": [
 CYCLES = (("next", ("hyp0005", "hyp0006", "hyp0007"), 45), ("2", ("hyp0008", "hyp0009", "hyp0010"), 45), ("3", ("hyp0011", "hyp0012", "hyp0013"), 33), ("4", ("hyp0014", "hyp0015", "hyp0016"), 26), ("5", ("hyp0017", "hyp0018", "hyp0019"), 28), ("6", ("hyp0020", "hyp0021", "hyp0022"), 40), ("7", ("hyp0023", "hyp0024", "hyp0025"), 28))
 _GRIDS = "".join(_cells_sql(n).replace("cells(", f"g_{n}(", 1) for _, names, _ in CYCLES for n in names)
 _COUNTED = " union all ".join(f"select '{cycle}' as cycle, '{n}' as hypothesis, cell from g_{n}" for cycle, names, _ in CYCLES for n in names)
-_FIRED = " union all ".join(f"select '{n}' as hypothesis, cell, count(*) as hits from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]} group by cell" for n in ("hyp0005", "hyp0008", "hyp0012", "hyp0019"))
+_FIRED = " union all ".join(f"select '{n}' as hypothesis, cell, count(*) as hits from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]} group by cell" for _, names, _ in CYCLES for n in names if n in _RULES)
+#: The registered pair and rank signals have tables of their own.
+_FIRED += f" union all select 'hyp0006', cell, hits from ({_PAIR_HITS}) union all select 'hyp0024', cell, sum(hits)::bigint from ({_RANK_HITS}) group by cell"
 
 
 @Q.add("q_F31_F33", f"{_PRE}{_FEAT}{_GRIDS}, every as ({_COUNTED}), fired as ({_FIRED}) select cycle, count(*) as cells, count(distinct (hypothesis, cell)) as numbers, coalesce(sum(hits), 0)::bigint as hits from every left join fired using (hypothesis, cell) group by 1")
 def q_f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered grids with their counts asserted, and how often some of them fire on all bars."""
-    seg = daily(spark, sf_dir)
-    every = fired = None
+    """All registered grids with their counts asserted, and how often their cells fire: the pair signal on the synchronised pair, the others on all daily bars."""
+    every = None
     for cycle, names, n in CYCLES:
         own = None
         for name in names:
@@ -167,9 +174,9 @@ def q_f31(spark: SparkSession, sf_dir: str) -> DataFrame:
             own = grid if own is None else own.union(grid)
         own = signals.assert_cells(own, n)
         every = own if every is None else every.union(own)
-    for name in ("hyp0005", "hyp0008", "hyp0012", "hyp0019"):
-        hits = signals.evaluate_grid(seg, name).groupBy("cell").agg(F.count("*").alias("hits")).select(F.lit(name).alias("hypothesis"), "cell", "hits")
-        fired = hits if fired is None else fired.union(hits)
+    hits = signals.evaluate_grids(daily(spark, sf_dir), tuple(n for _, names, _ in CYCLES for n in names if n != "hyp0006"))
+    pair = signals.evaluate_grid(_pair(spark, sf_dir), "hyp0006").select(F.lit("hyp0006").alias("hypothesis"), "cell")
+    fired = hits.select("hypothesis", "cell").union(pair).groupBy("hypothesis", "cell").agg(F.count("*").alias("hits"))
     both = every.join(fired, ["hypothesis", "cell"], "left")
     return both.groupBy("cycle").agg(F.count("*").alias("cells"), F.count_distinct("hypothesis", "cell").alias("numbers"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from zipfile import BadZipFile, ZipFile
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import delete, written
+
 RAW = "archive string, member string, members int, row_no bigint, fields array<string>"
 
 
@@ -125,17 +129,90 @@ def write_evidence(df: DataFrame, path: str, by: tuple[str, ...] = ("symbol",),
     df.write.partitionBy(*by).format(kind).save(path)
 
 
-def append_experiment(df: DataFrame, path: str, required: tuple[str, ...] = ("experiment_id", "hypothesis"), costs: tuple[str, ...] = ("fee", "slip")) -> None:
-    """Append records, all of them or none: ``required`` texts must not be blank, ``costs`` not negative."""
+def _checked(df: DataFrame, required: tuple[str, ...], costs: tuple[str, ...]) -> None:
     bad = [F.coalesce(F.trim(c) == "", F.lit(True)) for c in required] + [F.coalesce(F.col(c) < 0, F.lit(True)) for c in costs]
     wrong = bad[0]
     for b in bad[1:]:
         wrong = wrong | b
     if df.filter(wrong).limit(1).count():
         raise ValueError("experiment records need identifiers and costs of zero or more")
+
+
+def append_experiment(df: DataFrame, path: str, required: tuple[str, ...] = ("experiment_id", "hypothesis"), costs: tuple[str, ...] = ("fee", "slip")) -> None:
+    """Append records, all of them or none: ``required`` texts must not be blank, ``costs`` not negative. What is appended twice is there twice; see ``commit_experiments``."""
+    _checked(df, required, costs)
     df.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """Committed batches, in order."""
+    fs, where = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in names if n.startswith("batch="))
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """All committed records; None before the first commit. What a crash left staged isn't seen."""
+    names = _batches(spark, path)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in names]).drop("batch", "_body") if names else None
+
+
+def _moved(spark: SparkSession, staged: str, target: str) -> bool:
+    """Renames in one step, unless the target exists."""
+    jvm = spark._jvm
+    fs, to = _files(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(staged), to, none)
+    except Py4JJavaError as e:
+        if fs.exists(to):
+            return False
+        raise e
+    return True
+
+
+def commit_experiments(df: DataFrame, path: str, key: str = "experiment_id", required: tuple[str, ...] = ("experiment_id", "hypothesis"), costs: tuple[str, ...] = ("fee", "slip")) -> int:
+    """Records written once, whatever is repeated, retried or killed: the number of the batch committed, 0 if all were there.
+
+    A record is its ``key`` and the hash of its content. Those already there are left out; another content under a known key is an
+    error, and nothing is written. New records are staged beside the batches and become the next batch by one rename; if
+    another writer took that number meanwhile, all is checked again. Readers see whole batches only.
+    """
+    _checked(df, required, costs)
+    spark = df.sparkSession
+    body = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    rows = df.withColumn("_body", body)
+    first = rows.groupBy(key).agg(F.first(F.struct(*rows.columns)).alias("_row"), F.min("_body").alias("_low"), F.max("_body").alias("_high"))
+    first = written(first, "records")
+    if first.filter("_low <> _high").limit(1).count():
+        raise ValueError("a record occurs with several contents")
+    rows = first.select("_row.*")
+    while True:
+        names, new = _batches(spark, path), rows
+        if names:
+            old = spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in names]).select(key, F.col("_body").alias("_old"))
+            new = rows.join(old, key, "left")
+            if new.filter("_old is not null and _old <> _body").limit(1).count():
+                raise ValueError("a committed record can't be changed")
+            new = new.filter("_old is null").select(rows.columns)
+        staged = f"{path}/_staged-{uuid.uuid4().hex}"
+        new.write.parquet(staged)
+        number = 1 + (int(names[-1].split("=")[1]) if names else 0)
+        empty = not spark.read.schema(new.schema).parquet(staged).limit(1).count()
+        done = not empty and _moved(spark, staged, f"{path}/batch={number:08d}")
+        if not done:
+            delete(spark, staged)
+        if done or empty:
+            return number if done else 0
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
     """``files`` (path, content) as file name and SHA-256."""
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
