@@ -70,7 +70,7 @@ def test_matches_loops(spark, seed, support, shard, bits):
     rows = made(seed) + [("en", None), (None, ""), ("en", " . , "), ("en", "a")]
     rows += rows[:7]
     df = spark.createDataFrame([(*r, 1, "k", 2.0) for r in rows], "lang string, text string, n int, phrase string, score double").repartition(3)
-    got = sorted(tuple(r) for r in collocations.collocations(df, support, shard_bytes=shard, filter_bits=bits, keep=40).collect())
+    got = sorted(tuple(r) for r in collocations.collocations(df, support, shard_bytes=shard, filter_bits=bits, section_words=400, keep=40).collect())
     assert got == brute(rows, support, 40) and got
 
 

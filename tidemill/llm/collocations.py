@@ -102,18 +102,17 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     size, langs = 0, {}
 
     def closed() -> Shard:
-        data, at, pieces, out = [], 0, 0, []
-        for lang, part, carried in held:
-            starts, ends, piece = _words(part)
-            raw = np.frombuffer(part, np.uint8)
-            hashes = np.concatenate([_hashes(raw[a:b], s, e) for a, b, s, e in _runs(starts, ends)] or [np.empty(0, np.uint64)])
-            new = np.ones(len(starts), bool)
-            new[:carried] = False
-            out.append(((starts + at).astype(np.uint32), (ends + at).astype(np.uint32), hashes, (piece + pieces).astype(np.uint32), np.full(len(starts), lang, np.int32), new))
-            pieces += int(piece[-1] if len(piece) else 0) + 1
-            data.append(part)
-            at += len(part)
-        return Shard(b"".join(data), *[np.concatenate(c) for c in zip(*out)], list(langs))
+        data = b"\n".join(part for _, part, _ in held)  # a line end, so no piece goes on in the next text
+        begins = np.cumsum([0, *(len(part) + 1 for _, part, _ in held)])
+        starts, ends, piece = _words(data)
+        raw = np.frombuffer(data, np.uint8)
+        hashes = np.concatenate([_hashes(raw[a:b], s, e) for a, b, s, e in _runs(starts, ends)] or [np.empty(0, np.uint64)])
+        first = np.searchsorted(starts, begins)
+        lang = np.repeat(np.array([x for x, _, _ in held], np.int32), np.diff(first))
+        new = np.ones(len(starts), bool)
+        for k, (_, _, carried) in enumerate(held):
+            new[first[k] : first[k] + carried] = False
+        return Shard(data, starts.astype(np.uint32), ends.astype(np.uint32), hashes, piece.astype(np.uint32), lang, new, list(langs))
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -141,26 +140,20 @@ def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return word_hashes(raw, starts, ends) if len(raw) <= 1 << 20 else hashed_words(raw, np.array([0, len(raw)]))[0]  # a very long word is a run alone
 
 
-class Filter:
-    """A bitmap of the hashes that may be frequent, in sections; what it lacks isn't.
+def _places(hashes: np.ndarray, sections: int) -> np.ndarray:
+    """The leading bits of hashes by which phrases are told apart among shards: 32 in each of so many sections, a power of 2."""
+    return hashes >> _U(33 - sections.bit_length())
 
-    Of ``mined`` rows (h, seen), the counts of a hash are added up by Spark. A row without hash is the most that a shard may
-    have left out of any hash; added up, that is what a sum may lack. Spark builds the sections; ``bits`` / 8 bytes at
-    most reach the driver.
-    """
 
-    def __init__(self, mined: DataFrame, support: int, bits: int):
-        sums = mined.groupBy("h").agg(F.sum("seen").alias("seen"))
-        at, marks = F.pmod(F.col("h"), F.lit(bits)) + 1, F.col("h").isNull()
+class Filter:
+    """A bitmap of the places of hashes that may be frequent; what it lacks isn't."""
+
+    def __init__(self, places: DataFrame, sections: int, bits: int):
+        """Of rows (at, lacks): Spark unites the bits ``at``, ``bits`` / 8 bytes at most reach the driver; ``lacks`` of the rows without is what the sums behind them may lack."""
+        at = F.col("at") + 1
         section, place = F.coalesce(F.bitmap_bucket_number(at), F.lit(0)), F.coalesce(F.bitmap_bit_position(at), F.lit(0))
-        lacks = 0
-        while True:
-            near = sums.filter(marks | (F.col("seen") + lacks >= support))
-            found = near.groupBy(section.alias("section")).agg(F.bitmap_construct_agg(place).alias("bits"), F.max(F.when(marks, F.col("seen"))).alias("lacks")).collect()
-            more = max((r.lacks or 0 for r in found), default=0)
-            if more <= lacks:
-                break
-            lacks = more  # few shards, so a small table: once more with what they left out
+        found = places.groupBy(section.alias("section")).agg(F.bitmap_construct_agg(place).alias("bits"), F.max("lacks").alias("lacks")).collect()
+        self.lacks, self.sections = max((r.lacks or 0 for r in found), default=0), sections
         self.bits = np.zeros(bits // 8, np.uint8)
         for r in found:
             if r.section:
@@ -168,14 +161,10 @@ class Filter:
                 self.bits[low : low + _SECTION // 8] = np.frombuffer(r.bits, np.uint8)[: len(self.bits) - low]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes % _U(len(self.bits) * 8)).astype(np.int64)
+        at = (mix(_places(hashes, self.sections)) % _U(len(self.bits) * 8)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _as_long(hashes: np.ndarray) -> pa.Array:
-    return pa.array(hashes.view(np.int64))
-
-
 def _shorter(shard: Shard, n: int, filter_: Filter) -> tuple[np.ndarray, np.ndarray]:
     """``phrases(n)`` of which both phrases of ``n`` - 1 words within may be frequent."""
     at, hashes = shard.phrases(n)
@@ -187,20 +176,62 @@ def _shorter(shard: Shard, n: int, filter_: Filter) -> tuple[np.ndarray, np.ndar
     return at[keep], hashes[keep]
 
 
-def _mined(docs: DataFrame, n: int, shorter, support: int, total: int, shard_bytes: int) -> DataFrame:  # noqa: ANN001
-    """(h, seen): hashes of phrases of ``n`` words that are frequent in a shard, at as large a part of ``support`` as the shard has of all words, and their counts beyond what a shard may leave out; a row without hash says how much that is."""
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers as the planes of their bytes, of which most are zero and compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places within a section, and counts."""
+    steps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in np.frombuffer(blob, np.uint8).reshape(2, 4, -1))
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def _mined(docs: DataFrame, n: int, shorter, support: int, total: int, shard_bytes: int, sections: int) -> DataFrame:  # noqa: ANN001
+    """(section, seen): the phrases of ``n`` words that are frequent in a shard, at as large a part of ``support`` as the shard has of all words, with their counts beyond what a shard may leave out. Section -1 says how much that is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_bytes):
             _, hashes = _shorter(shard, n, shorter.value)
-            found, count = np.unique(hashes, return_counts=True)
-            # the parts sum to the support over all shards, so what is below its part everywhere is below the support; floats only lower them
+            found, count = np.unique(_places(hashes, sections), return_counts=True)
+            # the parts sum to the support over all shards, so what is below its part everywhere is below the support; floats only lower it
             low = max(1, math.ceil(support * (int(shard.new.sum()) / total) * (1 - 1e-9)))
             found, count = found[count >= low], count[count >= low] - (low - 1)
-            h = pa.concat_arrays([_as_long(found), pa.nulls(1, pa.int64())])
-            yield pa.RecordBatch.from_arrays([h, pa.array(np.append(count, low - 1).astype(np.int64))], names=["h", "seen"])
-
-    return docs.mapInArrow(run, "h bigint, seen bigint")
+            cut = np.searchsorted(found, np.arange(sections + 1, dtype=np.uint64) << _U(32))
+            own, blobs = [-1], [_packed(np.array([0])) + _packed(np.array([low - 1]))]
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                part = found[cut[k] : cut[k + 1]] & _U(0xFFFFFFFF)
+                own.append(k)
+                blobs.append(_packed(np.diff(part, prepend=_U(0))) + _packed(count[cut[k] : cut[k + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["section", "seen"])
+
+    return docs.mapInArrow(run, "section int, seen binary")
+
+
+def _frequent(mined: DataFrame, support: int, sections: int, bits: int) -> Filter:
+    """What may be frequent: the shards' lists are added up section by section. A sum may lack what shards have left out."""
+
+    def added(lacks: int):  # noqa: ANN202
+        def run(rows: pa.Table) -> pa.Table:
+            section = rows["section"][0].as_py()
+            lists = [_unpacked(blob.as_py()) for blob in rows["seen"]]
+            if section < 0:
+                return pa.table({"at": pa.nulls(1, pa.int64()), "lacks": pa.array([int(sum(c.sum() for _, c in lists))], pa.int64())})
+            place, count = (np.concatenate(x) for x in zip(*lists))
+            order = np.argsort(place)
+            place, first = np.unique(place[order], return_index=True)
+            near = place[np.add.reduceat(count[order], first) + lacks >= support] | _U(section << 32)
+            at = (mix(near) % _U(bits)).astype(np.int64)
+            return pa.table({"at": at, "lacks": pa.nulls(len(at), pa.int64())})
+
+        return run
+
+    lacks = 0
+    while True:
+        out = Filter(mined.groupBy("section").applyInArrow(added(lacks), "at bigint, lacks bigint"), sections, bits)
+        if out.lacks <= lacks:
+            return out
+        lacks = out.lacks  # few shards, so a small table: once more with what they left out
 
 
 _COUNTED = "lang string, words int, phrase string, n bigint"
@@ -226,32 +257,24 @@ def _counted(docs: DataFrame, wanted: dict, shard_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, _COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
 
 
-def _hashed(counts: DataFrame, n: int) -> DataFrame:
-    """``h`` of counted phrases, as shards hash them."""
+def _words_filter(words: DataFrame, sections: int, bits: int) -> Filter:
+    """A filter of the words in (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty(batch.num_rows, np.uint64)
-            for lang in set(batch.column("lang").to_pylist()):
-                own = np.flatnonzero(np.array([x == lang for x in batch.column("lang").to_pylist()]))
-                lines = [batch.column("phrase")[k].as_py().encode() for k in own.tolist()]
-                text = b"\n".join(lines)
-                starts, ends, _ = _words(text)
-                hashes = word_hashes(np.frombuffer(text, np.uint8), starts, ends)
-                h = np.full(len(own), hash_text(lang), np.uint64)
-                for j in range(n):
-                    h = h * _STEP + hashes[j::n]
-                out[own] = mix(h + _U(n))
-            yield pa.RecordBatch.from_arrays([_as_long(out)], names=["h"])
-
-    return counts.select("lang", "phrase").mapInArrow(run, "h bigint")
-
-
-def phrase_counts(docs: DataFrame, support: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = 1 << 23, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+            for shard in shards(iter([batch]), 1 << 22):
+                at = (mix(_places(shard.phrases(1)[1], sections)) % _U(bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.int64())], names=["at", "lacks"])
+
+    return Filter(words.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "at bigint, lacks bigint"), sections, bits)
+
+
+def phrase_counts(docs: DataFrame, support: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = 1 << 23, filter_bits: int = 1 << 27, section_words: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all phrases of up to ``longest`` words that occur ``support`` times or more, and (lang, n), all words.
 
     Length by length each shard lists its phrases that are frequent at the support's share for its size and whose shorter
-    phrases may be frequent everywhere; Spark adds the lists up and unites what may be frequent in a bitmap of ``filter_bits``.
+    phrases may be frequent everywhere; Spark adds the lists up, in sections of about ``section_words`` entries, and unites what may
+    be frequent in a bitmap of ``filter_bits``.
     Then all shards count what the bitmaps have, with its text, and the sums decide. A full bitmap only lets more
     phrases be counted. Where a shard's share of the support is below 1, as it is with more shards than ``support``, it lists all its
     phrases with frequent parts, and nothing is left out of the sums. A task holds one shard at a time. Within a shard
@@ -263,9 +286,10 @@ def phrase_counts(docs: DataFrame, support: int = 30, longest: int = 4, text_col
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = words.agg(F.sum("f")).first()[0] or 1
     frequent = words.filter(F.col("f") >= support)
-    shorter, wanted = share(Filter(_hashed(frequent, 1).withColumn("seen", F.lit(support)), support, filter_bits)), {}
+    sections = 1 << min(16, max(0, math.ceil(math.log2(total / section_words))))
+    shorter, wanted = share(_words_filter(frequent, sections, filter_bits)), {}
     for n in range(2, longest + 1):
-        shorter = wanted[n] = share(Filter(_mined(docs, n, shorter, support, total, shard_bytes), support, filter_bits))
+        shorter = wanted[n] = share(_frequent(_mined(docs, n, shorter, support, total, shard_bytes, sections), support, sections, filter_bits))
     found = written(_counted(docs, wanted, shard_bytes).filter(F.col("f") >= support), "phrases")
     return frequent.unionByName(found), totals
 
