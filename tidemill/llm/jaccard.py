@@ -354,9 +354,10 @@ def _near_leader(num: int, den: int, k: int | None = None) -> Callable[[Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                near = (bounded if k is None else linked)(batch)
-                yield batch.select(["component", "leader", "id"]).filter(pa.array(near))
+            for a in range(0, len(batch), 1_024):
+                part = batch.slice(a, 1_024)
+                near = (bounded if k is None else linked)(part)
+                yield part.select(["component", "leader", "id"]).filter(pa.array(near))
 
     return run
 
@@ -435,7 +436,7 @@ def ngram_jaccard_join(
     num: int = 80,
     den: int = 100,
     tile_rows: int = 512,
-    broadcast_rows: int = 500_000,
+    broadcast_rows: int = 100_000,
     links: bool = True,
 ) -> DataFrame:
     """Links of documents whose sets of ``k``-word shingles have Jaccard similarity of ``num/den`` or more.
