@@ -2,7 +2,8 @@
 
 import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 from tidemill.llm import html_text
 
@@ -59,18 +60,24 @@ def blanked(page):
 
 def brute_templates(rows):
     """Each host's template from occurrence vectors written out page by page."""
-    pages = defaultdict(dict)
-    for url, page in sorted(rows, key=lambda r: r[1]):
-        parsed = html_text.parse(page)
-        pages[re.match(r"https?://([^/]*)", url)[1]][frozenset(b for _, b, _, _ in parsed.blocks)] = html_text._page_tokens(parsed)
+    hosts, pages = defaultdict(dict), defaultdict(dict)
+    for url, page in rows:
+        hosts[re.match(r"https?://([^/]*)", url)[1]][page] = html_text.parse(page)
+    for host, own in hosts.items():
+        texts = {p: {(words, e.token, b) for e, b, words, _ in x.blocks if not e.side} for p, x in own.items()}
+        on = Counter(t[1:] for x in texts.values() for t in x)
+        for page, parsed in own.items():
+            longest = max((t for t in texts[page] if on[t[1:]] < len(own)), key=lambda t: (t[0], html_text._mark(t[1], f"={t[2]}")), default=None)
+            pages[host].setdefault(longest and longest[1:], html_text._page_tokens(parsed))
     out = {}
     for host, own in pages.items():
         n, tokens = len(own), []
         for token in {t for p in own.values() for t in p} - {0}:
             has = [p[token] for p in own.values() if token in p]
             text = has[0][2] < 0
-            least = max(3, n if n < 8 else 0) if text else 2
-            if len(has) >= 2 and (any(v[3] for v in has) or (len(has) >= least and 2 * len(has) >= n)):
+            words = sum(v[6] + v[7] for v in has) / sum(v[1] for v in has)
+            least = max(3 + words / 5, min(n, n / 2 + n**0.5 / 2)) if text else max(2, n / 2)
+            if len(has) >= 2 and (any(v[3] for v in has) or len(has) >= least):
                 vector = tuple(p[token][1] if token in p else 0 for p in own.values())
                 tokens.append(html_text.Token(token, has[0][0], vector, len(has), sum(v[1] for v in has), min(v[2] for v in has), any(v[3] for v in has), any(v[4] for v in has), min(v[5] for v in has), *(sum(v[k] for v in has) for k in range(6, 10))))
         if tokens:
@@ -113,6 +120,87 @@ def test_near_copies_keep_their_text(spark):
     assert all(all(p in got[i] for p in parts) for i in range(3))
 
 
+STORY = "The mayor opened the new bridge this morning. Hundreds came to see it. It took four years to build. Traffic starts on Monday."
+
+
+def test_short_near_copies_keep_their_text(spark):
+    """A story that a host has under several addresses, beside one block that differs, is one page and no template."""
+    page = "<body><div>City news</div><div><h1>Bridge</h1>%s<p>Read %d times</p></div><div>All rights reserved</div></body>"
+    for body in (f"<p>{STORY}</p>", "".join(f"<p>{x}.</p>" for x in STORY.split(". "))):
+        few = [(i, f"http://few.example/{i}", page % (body, i)) for i in range(3)]
+        many = [(10 + i, f"http://many.example/{i}", page % (body, i)) for i in range(9)]
+        many += [(30 + i, f"http://many.example/o{i}", page % (f"<p>Story {i} is of something else that nobody saw before on day {i}.</p>" * 2, i)) for i in range(4)]
+        got = texts(spark, few + many, 2)
+        assert all("opened the new bridge" in got[i] and "starts on Monday" in got[i] for i in (*range(3), *range(10, 19)))
+        assert all("something else" in got[30 + i] for i in range(4))
+
+
+def test_tenth_of_its_kind(spark):
+    """Each of many like blocks is judged on its own, the tenth and later too: a fixed one goes, one that differs stays."""
+    page = "<body><div>" + "".join(f"<p>%s part {k}.</p>" for k in range(14)) + "</div><div>end of all</div></body>"
+    rows = [(i, f"http://parts.example/{i}", page % tuple("fixed" if k == 11 else f"page {i}" for k in range(14))) for i in range(9)]
+    got = texts(spark, rows)
+    assert all(got[i] == "\n".join(f"page {i} part {k}." for k in range(14) if k != 11) for i in range(9))
+
+
+def test_notices_in_the_article_go_with_the_template(spark):
+    """Of pages whose notices stand inside the article element, without names, only the template tells them apart."""
+    page = "<body><article><h1>Head %d</h1><p>Subscribe to our letter.</p><p>Story %d has its own words, and more of them %d.</p><p>Share this with friends.</p></article></body>"
+    rows = [(i, f"http://in.example/{i}", page % (i, i, i)) for i in range(12)]
+    got = texts(spark, rows, 3)
+    assert got == {i: f"Head {i}\nStory {i} has its own words, and more of them {i}." for i in range(12)}
+    assert all("Subscribe" in html_text._extract(p, None, frozenset()) for _, _, p in rows)
+
+
+class Plain(HTMLParser):
+    """The text of a page's article by another parser: no templates, no tokens."""
+
+    VOID, INLINE = {"br", "img", "hr", "meta", "link", "input", "wbr"}, {"a", "abbr", "b", "bdi", "cite", "code", "em", "i", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var"}
+    GONE = {"script", "style", "nav", "footer", "aside", "form", "noscript", "svg", "head", "button", "iframe"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], ""
+
+    def cut(self):
+        self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.cut()
+        if tag not in self.VOID:
+            self.open.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        names = " ".join(f"{a.get('class') or ''} {a.get('id') or ''}" for t, a in self.open)
+        side = re.search(r"comment|share|social|related|advert|promo|newsletter|cookie|sponsor|notice|banner|\bads?\b", names)
+        if "article" in tags and not self.GONE & set(tags) and not side:
+            self.now += data
+
+    @classmethod
+    def text(cls, page):
+        p = cls()
+        p.feed(page)
+        p.cut()
+        return "\n".join(b for b in p.blocks if b)
+
+
+def test_agrees_with_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    want = {r.page_id: Plain.text(r.html or "") for r in pages.collect()}
+    assert {i: t for i, t in got.items() if t != want[i]} == {}
+
+
 def test_salted_join_by_host(spark):
     rows = [(i, f"http://big.example/{i % 40}", f"<body><div>notice of all</div><p>story {i}</p><div>end of all</div></body>") for i in range(60)] + [(100, None, "<p>x"), (101, "http://small.example/", "<p>y")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")

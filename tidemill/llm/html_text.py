@@ -54,8 +54,6 @@ def _mark(parent: int, name: str) -> int:
 
 
 _ARTICLE, _MAIN, _HELD, _NAMED, _BODY = 1, 2, 3, 4, 5
-#: Elements of one tag and names under one parent are told apart by their place up to this one.
-_PLACES = 9
 
 
 class _Element:
@@ -188,7 +186,7 @@ def parse(text: str) -> Page:
         if top.kids is None:
             top.kids = Counter()
         top.kids[like] += 1
-        e = _Element(tag, top, _mark(top.token, f"{like} {min(top.kids[like], _PLACES)}"))
+        e = _Element(tag, top, _mark(top.token, f"{like} {top.kids[like]}"))
         e.edge = tag in _SIDE or (tag == "header" and not top.article)
         e.side = top.side or e.edge
         e.named = bool(names and not e.side and tag != "body" and _SIDE_NAME.search(names))
@@ -263,8 +261,8 @@ class Token(NamedTuple):
 _TEXT = -1
 #: A token that all pages have.
 _ANY = 0
-#: With fewer pages than this, a text is a host's own only if all of them have it.
-_FEW = 8
+#: So many words of a text need one page more to be taken for a template's.
+_WORDS_A_PAGE = 5
 
 
 def _page_tokens(page: Page) -> dict[int, list]:
@@ -285,12 +283,6 @@ def _page_tokens(page: Page) -> dict[int, list]:
     return out
 
 
-def _print(page: Page) -> int:
-    """A hash of the set of a page's text blocks, which copies of a page share."""
-    body = "\n".join(sorted({block for _, block, _, _ in page.blocks}))
-    return int.from_bytes(blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
 class Template(NamedTuple):
     """``root``: the element whose slots hold the article, ``drop``: elements in it whose slots don't, ``static``: texts of the template itself."""
 
@@ -305,15 +297,14 @@ def nest(tokens: list[Token], share: float = 0.75) -> Template:
     Tokens of a class occur on the same pages equally often. Elements of classes that occur once a page nest by
     parent into the template; text tokens are its fixed texts, and what they don't account for is in the slots. From
     the outermost element inwards the root moves to the one element below that holds ``share`` of the words in slots
-    outside links, and of the first headings, as long as it holds more than single blocks. An element that is an
-    article or main by its tag and holds 0.3 of the words goes first, one that is named so wins from half of them.
+    outside links, and of the first headings, as long as it holds more than single blocks; half of the words are enough
+    for an element that is named as an article. Only where there is no such element, one that is an article or main by its
+    tag and holds 0.3 of the words is the root.
     Slots under the root are dropped where most words are links, or where a name says so and they hold less than half.
-    On a host with few pages, text tokens of 25 words and more, or that hold most words of the root, 40 a page and
-    more, are an article in near copies and no template.
+    Texts that hold most words of the root, 2.5 times those in slots and 40 a page, are an article in near copies and no
+    template.
     """
     every = max((t.pages for t in tokens), default=0)
-    if every < _FEW:
-        tokens = [t for t in tokens if t.role != _TEXT or t.words + t.links < 25 * t.times]
     by = {t.token: t for t in tokens}
     left = {t.token: [t.words, t.heads, t.blocks] for t in tokens}
     for t in tokens:
@@ -328,27 +319,26 @@ def nest(tokens: list[Token], share: float = 0.75) -> Template:
             below[t.parent].append(t)
     once = lambda t: t.times == t.pages and t.holds and left[t.token][0] > 0
     total = sum(left[t.token][0] for t in below[_ANY])
-    root = None
-    for role in (_ARTICLE, _MAIN, _HELD):
-        own = [t for t in tokens if t.role == role and once(t) and left[t.token][0] >= 0.3 * total]
-        if own:
-            root = min(own, key=lambda t: (t.depth, -left[t.token][0], t.token)).token
+    here, now = _ANY, [total, sum(left[t.token][1] for t in below[_ANY]), 0]
+    while True:
+        fits = [
+            t for t in below[here]
+            if once(t) and not t.named and left[t.token][0] >= (0.5 if t.role == _NAMED else share) * now[0] and left[t.token][1] >= share * now[1] and left[t.token][2] >= 1.2 * t.pages
+        ]
+        if not fits:
             break
+        here = max(fits, key=lambda t: (left[t.token][0], t.token)).token
+        now = left[here]
+    root = here if here != _ANY else None
     if root is None:
-        here, now = _ANY, [total, sum(left[t.token][1] for t in below[_ANY]), 0]
-        while True:
-            fits = [
-                t for t in below[here]
-                if once(t) and not t.named and left[t.token][0] >= (0.5 if t.role == _NAMED else share) * now[0] and left[t.token][1] >= share * now[1] and left[t.token][2] >= 1.2 * t.pages
-            ]
-            if not fits:
+        for role in (_ARTICLE, _MAIN, _HELD):
+            own = [t for t in tokens if t.role == role and once(t) and left[t.token][0] >= 0.3 * total]
+            if own:
+                root = min(own, key=lambda t: (t.depth, -left[t.token][0], t.token)).token
                 break
-            here = max(fits, key=lambda t: (left[t.token][0], t.token)).token
-            now = left[here]
-        root = here if here != _ANY else None
     words = left[root][0] if root is not None else total
     fixed = by[root].words - words if root is not None else sum(by[t.token].words for t in below[_ANY]) - total
-    if every < _FEW and fixed > 2.5 * words and fixed >= 40 * every:
+    if fixed > 2.5 * words and fixed >= 40 * every:
         return nest([t for t in tokens if t.role != _TEXT], share)
     drop, inner = set(), [t for t in below[_ANY if root is None else root]]
     while inner:
@@ -368,31 +358,44 @@ def template_classes(pages: DataFrame, host_col: str = "host", html_col: str = "
     """Each host's tokens of valid equivalence classes: host, the class as ``vector``, and the fields of ``Token``.
 
     Tokens are elements told apart by the path of their ancestors and their place among their like, and text blocks
-    under theirs. Rows of a host whose pages have the same longest block are one page (of them the one with the least
-    hash of its html), so copies of a page and near copies, by repeated rows or under several addresses, have one
-    vote. Tokens of one host whose occurrence vectors (how often each page has them) are the same form a class; the
+    under theirs. Rows of a host whose pages have the same longest block, of the blocks that not all of its pages have, are
+    one page (of them the one with the least hash of its html), so copies of a page and near copies, by repeated rows or
+    under several addresses, have one vote. Tokens of one host whose occurrence vectors (how often each page has them) are the same form a class; the
     vectors are compared by hashes combined over pages, so a host of any number of pages takes one row per token and
-    task. A class is valid if ``min_support`` of the pages have it, at least two; text blocks need three at least, as
-    an article that is on two pages can't be told from a template, and all pages of a host with few. Elements with a side's name need two pages. A page
-    with a token has its parents too, so valid classes nest.
+    task. A class is valid if ``min_support`` of the pages have it, at least two. A text block asks for more, the
+    longer it is, as an article that several pages have can't be told from a template: three pages and one for every five words, and
+    half the root of the host's pages beyond ``min_support``. Elements with a side's name need two pages. A page with a
+    token has its parents too, so valid classes nest.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: list[tuple] = []
-            ends, prints = [0], []
+            ends = [0]
             for text in batch.column(1).to_pylist():
-                page = parse(text or "")
-                own += [(t, *v) for t, v in _page_tokens(page).items()]
+                own += [(t, *v) for t, v in _page_tokens(parse(text or "")).items()]
                 ends.append(len(own))
-                prints.append(_print(page))
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*own), _COLUMNS)] if own else [pa.array([], t) for _, t in _COLUMNS]
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in _COLUMNS]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2), listed], ["host", "page", "print", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed], ["host", "page", "found"])
 
-    named = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("print"))
-    found = named.mapInArrow(count, f"host string, page bigint, print bigint, found {_FOUND}")
-    found = found.groupBy("host", "page").agg(F.min_by("found", "print").alias("found")).select("host", "page", F.inline("found"))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, names = [], ["host", "page", "token", "words"]
+            for host, text, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                own += {(host, page, _mark(e.token, f"={block}"), words) for e, block, words, _ in parse(text or "").blocks if not e.side}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own) if own else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names)
+
+    named = pages.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("page"))
+    # the pages that count: one of each longest block that its host doesn't have everywhere
+    every = named.select("host", "page").distinct()
+    size = every.groupBy("host").agg(F.count("*").alias("_all"))
+    texts = written(named.mapInArrow(blocks, "host string, page bigint, token bigint, words bigint").distinct(), "texts")
+    spread = texts.groupBy("host", "token").agg(F.count_distinct("page").alias("_on")).join(size, "host").filter("_on < _all").select("host", "token")
+    longest = texts.join(spread, ["host", "token"]).groupBy("host", "page").agg(F.max(F.struct("words", "token"))["token"].alias("_longest"))
+    voting = every.join(longest, ["host", "page"], "left").groupBy("host", "_longest").agg(F.min("page").alias("page")).select("host", "page")
+    found = named.mapInArrow(count, f"host string, page bigint, found {_FOUND}")
+    found = found.groupBy("host", "page").agg(F.first("found").alias("found")).join(voting, ["host", "page"]).select("host", "page", F.inline("found"))
     sums = [F.sum(c).alias(c) for c in ("words", "links", "heads", "blocks")]
     tokens = found.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times"),
@@ -401,9 +404,10 @@ def template_classes(pages: DataFrame, host_col: str = "host", html_col: str = "
     tokens = written(tokens.filter(f"pages > 1 or token = {_ANY}"), "tokens")
     size = tokens.filter(F.col("token") == _ANY).select(F.col("host").alias("_host"), F.col("pages").alias("host_pages"))
     joined = tokens.filter(F.col("token") != _ANY).join(size, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    few = F.least(F.col("host_pages"), F.lit(_FEW))
-    least = F.when(F.col("role") == _TEXT, F.greatest(F.lit(3), F.when(few < _FEW, few).otherwise(0))).otherwise(2)
-    return joined.filter(((F.col("pages") >= least) & (F.col("pages") >= min_support * F.col("host_pages"))) | F.col("named")).select("host", *Token._fields)
+    text, share = F.col("role") == _TEXT, min_support * F.col("host_pages")
+    least = F.when(text, 3 + (F.col("words") + F.col("links")) / F.col("times") / _WORDS_A_PAGE).otherwise(2)
+    share = F.when(text, F.least(F.col("host_pages"), share + F.sqrt("host_pages") / 2)).otherwise(share)
+    return joined.filter(((F.col("pages") >= least) & (F.col("pages") >= share)) | F.col("named")).select("host", *Token._fields)
 
 
 def host_templates(classes: DataFrame) -> DataFrame:
