@@ -135,7 +135,7 @@ def test_one_symbol_is_many_tasks(spark, apart):
     df = spark.range(n).select(F.lit("A").alias("symbol"), F.expr("timestamp_ntz '2000-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int))").alias("ts"), (F.col("id") % 97 + 1.0).alias("close"))
     seg = segments.continuous_segments(df, "1 minute", block=20_000)
     out = scans.over_blocks(seg, lambda d: d.withColumn("mean", indicators.sma(24)), 24, block=20_000)
-    tasks = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("bar_idx").alias("last")).collect()
+    tasks = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("bar_idx").alias("last"), F.max("mean").alias("mean")).collect()
     assert sum(r.n for r in tasks) == n and max(r.last for r in tasks) == n - 1
     assert len(tasks) >= 6 and max(r.n for r in tasks) < n / 2
 

@@ -1,7 +1,9 @@
 """Readers and writers on files."""
 
 import hashlib
-from zipfile import ZipFile
+import io
+import tracemalloc
+from zipfile import ZIP_DEFLATED, ZipFile
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +26,25 @@ def test_zip_archives(spark, tmp_path):
     assert digest in {r.sha256 for r in archives.hash_files(spark, f"file://{tmp_path}/*.zip").collect()}
 
 
+def test_large_members_are_streamed(spark, tmp_path):
+    """A member of 40 MB is read in some of memory; a damaged one gives no rows."""
+    line = "1704067200000,1,2,0.5,1,10\n"
+    packed = io.BytesIO()
+    with ZipFile(packed, "w", ZIP_DEFLATED) as z:
+        z.writestr("a.csv", line * 1_500_000)
+    tracemalloc.start()
+    rows = largest = last = 0
+    for batch in archives._archive_batches("x/a.zip", packed.getvalue()):
+        rows, largest, last = rows + batch.num_rows, max(largest, batch.num_rows), batch.column(3)[-1].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, largest, last) == (1_500_000, 20_000, 1_500_000) and peak < 30e6
+    broken = bytearray(packed.getvalue())
+    broken[len(broken) // 2] ^= 255
+    got = [b.to_pylist() for b in archives._archive_batches("b.zip", bytes(broken))]
+    assert got == [[{"archive": "b.zip", "member": None, "members": 0, "row_no": None, "fields": None}]]
+
+
 def test_csv_counts_blank_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n\n , \nc,d,e\n")
     got = archives.read_kline_csv(spark, f"file://{tmp_path}/x.csv").orderBy("row_no").collect()

@@ -40,10 +40,10 @@ def bar_violation(symbol: Column, ts: Column, o: Column, h: Column, lo: Column,
     return (
         F.when(ts.isNull(), "timestamp missing")
         .when(no(F.trim(symbol) != ""), "symbol missing")
-        .when(no((o > 0) & (h > 0) & (lo > 0) & (c > 0)), "prices must be positive")
+        .when(no((o > 0) & (h > 0) & (lo > 0) & (c > 0)), "price not above zero")
         .when(no((lo <= o) & (o <= h)), "open outside range")
         .when(no((lo <= c) & (c <= h)), "close outside range")
-        .when(no(v >= 0), "volume must not be negative")
+        .when(no(v >= 0), "volume below zero")
     )
 
 

@@ -122,7 +122,7 @@ def segment_summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("segments"), compound("total_return").alias("compound_return"), F.avg("total_return").alias("mean_segment_return"),
         F.avg((F.col("total_return") > 0).cast("double")).alias("positive_segment_fraction"), F.max("max_drawdown").alias("max_segment_drawdown"), F.sum("trades").alias("trade_count"), F.min("total_return").alias("_w"),
     )
-    return out.withColumn("error", F.when(F.col("_w") <= -1, "segment return of -100% or less cannot be compounded")).drop("_w")
+    return out.withColumn("error", F.when(F.col("_w") <= -1, "a segment lost all, nothing left to compound")).drop("_w")
 
 
 def account_vs_benchmark(account: DataFrame, benchmark: DataFrame, start: str) -> DataFrame:

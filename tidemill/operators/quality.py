@@ -29,7 +29,7 @@ def normalize_klines(raw: DataFrame, symbols: DataFrame | None = None) -> DataFr
     df = df.withColumn("aligned", F.coalesce(typed & is_aligned(F.col("ts")), F.lit(False)))
     df = df.withColumn("violation", F.when(F.col("aligned"), bar_violation(F.col("symbol"), F.col("ts"), *[F.col(n) for n in _NAMES])))
     if symbols is not None:
-        df = df.join(F.broadcast(symbols), "symbol", "left")
+        df = df.join(symbols, "symbol", "left")
     return df
 
 
@@ -65,11 +65,11 @@ def _event(df: DataFrame, kind: str | Column, rule: str | Column, message: str |
 
 def scan_structure(archives: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """Events of ``archives`` (symbol, archive, member, members): not exactly one member, or one of another symbol or name."""
-    many = _event(archives.filter("members <> 1"), "SCHEMA_ERROR", "exactly one member", "archive does not hold exactly one file", timeframe, source)
+    many = _event(archives.filter("members <> 1"), "SCHEMA_ERROR", "ARCHIVE_ONE_FILE", "archive does not hold exactly one file", timeframe, source)
     own = F.regexp_extract("member", r"^(.+)-[^-]+-\d{4}-\d{2}(?:-\d{2})?\.csv$", 1)
     bad = archives.filter("members = 1").withColumn("_own", own).filter("_own <> symbol")
     message = F.when(F.col("_own") == "", "file in the archive has another kind of name").otherwise("file in the archive is of another symbol")
-    return many.unionByName(_event(bad, "SCHEMA_ERROR", "member symbol must match", message, timeframe, source))
+    return many.unionByName(_event(bad, "SCHEMA_ERROR", "ARCHIVE_FILE_NAME", message, timeframe, source))
 
 
 def scan_schema(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
@@ -85,11 +85,11 @@ def scan_alignment(rows: DataFrame, timeframe: str = "1h", source: str = "archiv
 
 
 def scan_duplicates(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
-    return _event(flagged(rows).filter("duplicate"), "DUPLICATE_TIMESTAMP", "timestamps must be unique", "time seen before in this archive", timeframe, source)
+    return _event(flagged(rows).filter("duplicate"), "DUPLICATE_TIMESTAMP", "TIME_ONCE", "time seen before in this archive", timeframe, source)
 
 
 def scan_order(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
-    return _event(flagged(rows).filter("out_of_order"), "OUT_OF_ORDER_TIMESTAMP", "timestamps must increase", "time is earlier than that of the row above", timeframe, source)
+    return _event(flagged(rows).filter("out_of_order"), "OUT_OF_ORDER_TIMESTAMP", "TIME_ASCENDING", "time is earlier than that of the row above", timeframe, source)
 
 
 def scan_values(rows: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
@@ -108,7 +108,7 @@ def _holes(df: DataFrame, keys: list[str], order: str, step: str) -> DataFrame:
 def scan_gaps(rows: DataFrame, step: str = "1 hour", timeframe: str = "1h", source: str = "archive") -> DataFrame:
     """An event for each missing time between consecutive valid rows of an archive."""
     holes = _holes(valid_timestamps(rows), ["symbol", "archive"], "row_no", step)
-    return _event(holes, "MISSING_INTERVAL", "intervals must be complete", "no valid row for this time", timeframe, source)
+    return _event(holes, "MISSING_INTERVAL", "TIME_WITHOUT_GAP", "no valid row for this time", timeframe, source)
 
 
 def scan_checksums(files: DataFrame, timeframe: str = "1h", source: str = "archive") -> DataFrame:
@@ -125,15 +125,15 @@ def scan_quality(rows: DataFrame, step: str = "1 hour", timeframe: str = "1h", s
     found = (
         (layout, F.lit("SCHEMA_ERROR"), F.lit("kline row layout"), message),
         (~layout & ~F.col("aligned"), F.lit("NON_ALIGNED_TIMESTAMP"), F.lit("timestamp on an interval boundary"), F.lit("time lies between interval starts")),
-        (F.col("duplicate"), F.lit("DUPLICATE_TIMESTAMP"), F.lit("timestamps must be unique"), F.lit("time seen before in this archive")),
-        (F.col("out_of_order"), F.lit("OUT_OF_ORDER_TIMESTAMP"), F.lit("timestamps must increase"), F.lit("time is earlier than that of the row above")),
+        (F.col("duplicate"), F.lit("DUPLICATE_TIMESTAMP"), F.lit("TIME_ONCE"), F.lit("time seen before in this archive")),
+        (F.col("out_of_order"), F.lit("OUT_OF_ORDER_TIMESTAMP"), F.lit("TIME_ASCENDING"), F.lit("time is earlier than that of the row above")),
         (F.col("violation").isNotNull(), F.when(volume, "INVALID_VOLUME").otherwise("INVALID_OHLC"), F.col("violation"), F.col("violation")),
     )
     each = F.array_compact(F.array(*[F.when(bad, F.struct(k.alias("kind"), r.alias("rule"), m.alias("message"))) for bad, k, r, m in found]))
     own = rows.withColumn("_e", F.explode(each))
     own = _event(own, F.col("_e.kind"), F.col("_e.rule"), F.col("_e.message"), timeframe, source)
     valid = rows.filter("aligned and violation is null and not duplicate").select("symbol", "archive", "row_no", "ts")
-    return own.unionByName(_event(_holes(valid, ["symbol", "archive"], "row_no", step), "MISSING_INTERVAL", "intervals must be complete", "no valid row for this time", timeframe, source))
+    return own.unionByName(_event(_holes(valid, ["symbol", "archive"], "row_no", step), "MISSING_INTERVAL", "TIME_WITHOUT_GAP", "no valid row for this time", timeframe, source))
 
 
 def tag_provenance(events: DataFrame, known: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def tag_provenance(events: DataFrame, known: DataFrame) -> DataFrame:
     """
     times = known.filter("raw_timestamp is not null").select("raw_timestamp", F.col("issue").alias("_t")).distinct()
     files = known.filter("archive is not null").select("archive", F.col("issue").alias("_a")).distinct()
-    df = events.join(F.broadcast(times), "raw_timestamp", "left").join(F.broadcast(files), "archive", "left")
+    df = events.join(times, "raw_timestamp", "left").join(files, "archive", "left")
     issue = F.when(F.col("anomaly_type") == "MISSING_INTERVAL", F.col("_a")).otherwise(F.col("_t"))
     return df.withColumn("source_provenance", F.coalesce(issue, F.col("source_provenance"))).select(*EVENT_COLUMNS)
 

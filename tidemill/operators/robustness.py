@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
 from .event_study import compound, event_equity
 from .indicators import regime
+from .scans import over_blocks
 
 
 def param_neighborhood(summary: DataFrame, keys: list[str], share: float = 0.6, variant: str = "median") -> DataFrame:
@@ -41,7 +42,7 @@ def regime_events(events: DataFrame, seg: DataFrame, keys: list[str], least: int
     'bars' counts regimes with ``least`` labelled bars and passes with fewer than two of them or two positive ones;
     'strict' counts regimes with ``least`` events and needs two, both positive.
     """
-    labelled = seg.withColumn("regime", regime(k, up, down)).filter("regime is not null")
+    labelled = over_blocks(seg, lambda d: d.withColumn("regime", regime(k, up, down)), k).filter("regime is not null")
     bars = labelled.groupBy("symbol", "regime").agg(F.count("*").alias("bars"))
     own = events.join(labelled.select("symbol", "segment_id", "bar_idx", "regime"), ["symbol", "segment_id", "bar_idx"])
     got = own.groupBy(*keys, "regime").agg(F.count("*").alias("events"), compound().alias("compound_return"))
@@ -141,13 +142,17 @@ def transferability(summary: DataFrame, keys: list[str], control: DataFrame | No
     return out.join(control.select(*keys, "difference"), keys, "left").withColumn("pass", F.col("pass") & F.coalesce(F.col("difference") > 0, F.lit(False)))
 
 
-def battery(events: DataFrame, seg: DataFrame, cells: DataFrame, nine: bool = False, base: str = "baseline", worst: str = "stress_2") -> DataFrame:
+def battery(events: DataFrame, seg: DataFrame, cells: DataFrame, nine: bool = False, base: str = "baseline", worst: str = "stress_2", family: Column | None = None, control: DataFrame | None = None) -> DataFrame:
     """Every cell as a hypothesis' base: (cell and a boolean per dimension), each over all symbols of ``seg``. See ``decide``.
 
     Eight dimensions: neighbourhood of all cells, costs, timing, regimes, leave-one-out with a gain, concentration,
     drawdown and recovery, transfer to every symbol. ``nine`` takes the stricter regimes and the drawdown dated by
     exits, and adds the protocol's eligibility. Of ``events`` it reads those of cost ``base`` and delay 1, but for
     costs and timing. A symbol without events fails what it has no row for.
+
+    ``events`` may be of several hypotheses: ``family``, an expression of ``cell``, says whose cell it is, and only cells of
+    one hypothesis are neighbours. ``cells`` are then the hypotheses' bases. With ``control`` (cell, symbol, difference) transfer
+    asks for a positive difference to it too.
     """
     keys = ["cell", "symbol"]
     summary = metrics.cell_summary(events, [*keys, "cost", "delay"])
@@ -164,14 +169,15 @@ def battery(events: DataFrame, seg: DataFrame, cells: DataFrame, nine: bool = Fa
         "sample_size_stability": leave_one_out(segs, keys, seg).join(first, keys).select(*keys, (F.col("pass") & (F.col("compound_return") > 0)).alias("pass")),
         "concentration": log_concentration(segs, keys).join(top_share(own, keys, "tenth" if nine else "ceil"), keys, "left").select(*keys, half.alias("pass")),
         "drawdown_recovery": fall,
-        "asset_transferability": first.select(*keys, gain.alias("pass")),
+        "asset_transferability": first.select(*keys, gain.alias("pass")) if control is None else transferability(first, keys, control).select(*keys, "pass"),
     }
     if nine:
         economic = (F.col("compound_return") >= 0.1) & (F.col("mean_segment_return") > 0) & F.col("pass")
         dims["protocol_eligibility"] = first.join(fall, keys, "left").select(*keys, economic.alias("pass"))
-    out = cells.select("cell").crossJoin(F.broadcast(seg.select("symbol").distinct()))
-    around = param_neighborhood(first, ["symbol"]).select("symbol", F.col("pass").alias("parameter_neighborhood"))
-    out = out.join(around, "symbol", "left")
+    out = cells.select("cell").crossJoin(seg.select("symbol").distinct())
+    mine = F.lit(0) if family is None else family
+    around = param_neighborhood(first.withColumn("_family", mine), ["_family", "symbol"]).select("_family", "symbol", F.col("pass").alias("parameter_neighborhood"))
+    out = out.withColumn("_family", mine).join(around, ["_family", "symbol"], "left").drop("_family")
     for name, df in dims.items():
         out = out.join(df.select(*keys, F.col("pass").alias(name)), keys, "left")
     names = ["parameter_neighborhood", *dims]
@@ -214,6 +220,6 @@ def segment_rows(seg: DataFrame, events: DataFrame, cells: DataFrame, keys: list
     """
     size = seg.groupBy("symbol", "segment_id").agg(F.count("*").alias("bars"))
     own = metrics.segment_returns(events, keys)
-    out = size.crossJoin(F.broadcast(cells)).join(own, [*keys, "segment_id"], "left")
+    out = size.crossJoin(cells).join(own, [*keys, "segment_id"], "left")
     error = F.when(F.col("bars") < least, F.format_string("segment of %d bars, %d needed", F.col("bars"), F.lit(least))).when(F.col("segment_return") <= -1, "segment lost everything").when(F.col("events").isNull(), "no events")
     return out.select(*keys, "segment_id", "bars", F.coalesce("events", F.lit(0)).alias("events"), "segment_return", error.alias("error"))

@@ -70,6 +70,33 @@ SIGNALS: dict[str, Signal] = {
 }
 
 
+# The registered base parameters of the hypotheses that are decided on single bars.
+BASES: dict[str, dict[str, float]] = {
+    "hyp0005": {"volume_lookback": 24, "shock": 3, "return_threshold": 0.01},
+    "hyp0007": {"volume_lookback": 24, "shock": 3, "return_threshold": -0.015},
+    "hyp0008": {"lookback": 24, "multiplier": 3, "threshold": 0.015},
+    "hyp0009": {"compression": 0.7, "breakout_lookback": 12, "breakout": 0.005},
+    "hyp0010": {"selloff": 0.01, "volume_multiplier": 0},
+    "hyp0011": {"selloff": 0.01, "location": 0.85},
+    "hyp0012": {"lookback": 24, "multiplier": 3, "location": 0.85},
+    "hyp0013": {"pullback": 0.01, "trend_lookback": 24, "location": 0.7},
+    "hyp0014": {"breakout": 0.0025, "location": 0.85},
+    "hyp0015": {"lookback": 24, "volume_multiplier": 2.5, "location": 0.9},
+    "hyp0016": {"weekday": 5, "trend_threshold": 0.005, "location": 0.9},
+    "hyp0017": {"gap": 0.005, "location": 0.9},
+    "hyp0018": {"threshold": 0.01, "location": 0.9},
+    "hyp0019": {"lookback": 24, "breakout": 0.0025, "volume_cap": 0.75, "location": 0.9},
+    "hyp0020": {"hour": 0, "threshold": 0.005, "location": 0.9},
+    "hyp0021": {"k": 3, "threshold": 0.005, "location": 0.5},
+    "hyp0022": {"body_ratio": 0.6, "range_ratio": 0.005, "body_return": 0.0025},
+}
+
+
+def base_cell(name: str) -> int:
+    """The number of a hypothesis' base in its registered grid."""
+    return reduce(lambda n, p: n * len(SIGNALS[name].grid[p]) + SIGNALS[name].grid[p].index(BASES[name][p]), SIGNALS[name].grid, 0)
+
+
 def _by_lookback(kind: str, n: int) -> Column:
     """The features that a rule names as ``{kind:parameter}``, for one value of the parameter."""
     return {

@@ -52,7 +52,7 @@ RAW_SQL = f"""with {X.TYPE_SQL},
   p as (select *, case unit when 'milliseconds' then make_timestamp(n * 1000) when 'microseconds' then make_timestamp(n) end as ts,
      f1::bigint as o, f2::bigint as h, f3::bigint as l, f4::bigint as c, f5::bigint as v from u),
   q as (select *, coalesce(n_fields >= 6 and ts = date_trunc('hour', ts), false) as aligned from p),
-  rows_ as (select *, case when not aligned then null when not (o > 0 and h > 0 and l > 0 and c > 0) then 'prices must be positive' when not (l <= o and o <= h) then 'open outside range' when not (l <= c and c <= h) then 'close outside range' when not (v >= 0) then 'volume must not be negative' end as violation from q),
+  rows_ as (select *, case when not aligned then null when not (o > 0 and h > 0 and l > 0 and c > 0) then 'price not above zero' when not (l <= o and o <= h) then 'open outside range' when not (l <= c and c <= h) then 'close outside range' when not (v >= 0) then 'volume below zero' end as violation from q),
   flagged as (select *, aligned and row_number() over (partition by symbol, archive, aligned, ts order by row_no) > 1 as duplicate,
      coalesce(aligned and ts < last_value(case when aligned then ts end ignore nulls) over (partition by symbol, archive order by row_no rows between unbounded preceding and 1 preceding), false) as out_of_order from rows_),
   valid as (select symbol, archive, row_no, ts from flagged where aligned and violation is null and not duplicate),

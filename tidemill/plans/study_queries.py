@@ -537,8 +537,8 @@ def q_j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.protocol_eligibility(summary(spark, sf_dir)[2], ["cell", "cost", "delay"])
 
 
-def _battery_sql(nine: bool) -> str:
-    """All dimensions by cell, each a table (cell, symbol, ok), over the pieces of the queries above."""
+def _battery_sql(nine: bool, hits: str = _SHOCK_HITS, family: str = "0") -> str:
+    """All dimensions by cell, each a table (cell, symbol, ok), over the pieces of the queries above; ``family`` says which cells are neighbours."""
     base = "cost = 'baseline' and delay = 1"
     regime = "count(*) filter (events >= 100 and comp > 0) >= 2" if nine else "count(*) filter (bars >= 100) < 2 or count(*) filter (bars >= 100 and comp > 0) >= 2"
     fall = "n > 0 and mdd < 0.7 and least(worst, 0) >= -0.5 and " + ("exit_recovery <= 0.5 * bars" if nine else "recovery <= 0.5 * duration")
@@ -556,13 +556,13 @@ def _battery_sql(nine: bool) -> str:
     names = ["parameter_neighborhood", *dims]
     rest = _REG[len(_STUDY):] + _LOO[len(_SEGS):] + _DD[len(_SEGS):] + _RECOVERY
     tables = "".join(f", d_{n} as ({q})" for n, q in dims.items())
-    around = f", d_parameter_neighborhood as (select c.cell, symbol, ok from cells c cross join (select symbol, avg((msr > 0)::int) >= 0.6 and quantile_cont(comp, 0.5) > 0 as ok from su where {base} group by 1))"
+    around = f", d_parameter_neighborhood as (select c.cell, symbol, ok from (select *, {family} as fam from cells) c join (select {family} as fam, symbol, avg((msr > 0)::int) >= 0.6 and quantile_cont(comp, 0.5) > 0 as ok from su where {base} group by 1, 2) using (fam))"
     every = ", fr as (select c.cell, y.symbol from cells c cross join (select distinct symbol from seg) y)"
     joined = "".join(f" left join (select cell, symbol, ok as {n} from d_{n}) using (cell, symbol)" for n in names)
     wide = f", wd as (select cell, {', '.join(f'bool_and(coalesce({n}, false)) as {n}' for n in names)} from fr{joined} group by 1)"
     failed = "array_to_string(list_filter([" + ", ".join(f"case when not {n} then '{n}' end" for n in names) + "], lambda x: x is not null), ',')"
     passed = " + ".join(f"{n}::int" for n in names)
-    return _J + rest + tables + around + every + wide + f" select cell, {failed} as failed, {len(names)} as required, {passed} as passed, case when {passed} = {len(names)} then 'PASS' else 'FAIL' end as decision from wd"
+    return hits + _J[len(_SHOCK_HITS):] + rest + tables + around + every + wide + f" select cell, {failed} as failed, {len(names)} as required, {passed} as passed, case when {passed} = {len(names)} then 'PASS' else 'FAIL' end as decision from wd"
 
 
 def _decision(name: str, nine: bool) -> None:
@@ -576,6 +576,23 @@ def _decision(name: str, nine: bool) -> None:
 _decision("q_J15", False)
 _decision("q_J15_nine", True)
 
+_ONE_BAR = tuple(signals.BASES)
+_BASES_OF = {n: 1_000 * k + signals.base_cell(n) for k, n in enumerate(_ONE_BAR)}
+_ALL_HITS = f"{_PRE}{_FEAT}{_GRIDS}, cells(cell) as (values {', '.join(f'({c})' for c in _BASES_OF.values())}), hits as (" + " union all ".join(f"select {1_000 * k} + cell as cell, symbol, segment_id, bar_idx from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]}" for k, n in enumerate(_ONE_BAR)) + ")"
+
+
+@Q.add("q_J15_cycles", "select case cell " + " ".join(f"when {c} then '{n}'" for n, c in _BASES_OF.items()) + " end as hypothesis, failed, required, passed, decision from (" + _battery_sql(False, _ALL_HITS, "cell // 1000") + ")")
+def q_j15_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw rows to the decision of every hypothesis of the next to the sixth cycle on single bars: segments, all cells of all grids, events under all costs and delays, the battery at each base."""
+    seg = written(daily(spark, sf_dir), "bars")
+    number = F.create_map(*[F.lit(x) for k, n in enumerate(_ONE_BAR) for x in (n, 1_000 * k)])
+    hits = signals.evaluate_grids(seg, _ONE_BAR).withColumn("cell", number[F.col("hypothesis")] + F.col("cell"))
+    events = written(G.run_events(hits, seg, G.stress_grid(spark)), "events")
+    bases = spark.createDataFrame(list(_BASES_OF.items()), "hypothesis string, cell bigint")
+    dims = robustness.battery(events, seg, bases, family=F.floor(F.col("cell") / 1_000))
+    out = robustness.decide(dims, ["cell"]).join(bases, "cell")
+    return out.select("hypothesis", F.array_join("failed", ",").alias("failed"), "required", "passed", "decision")
+
 
 @Q.add("q_J16_segments", _SEGS + ", sz as (select symbol, segment_id, count(*) as bars from seg group by 1, 2), r1 as (select cell, symbol, segment_id, events, sret from sr where cost = 'baseline' and delay = 1) select c.cell, z.symbol, z.segment_id, z.bars, coalesce(r.events, 0) as events, round(r.sret, 6) as segment_return, case when z.bars < 100 then 'segment of ' || z.bars || ' bars, 100 needed' when r.sret <= -1 then 'segment lost everything' when r.events is null then 'no events' end as error from sz z cross join cells c left join r1 r on r.cell = c.cell and r.symbol = z.symbol and r.segment_id = z.segment_id")
 def q_j16_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

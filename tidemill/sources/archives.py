@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 from zipfile import BadZipFile, ZipFile
 
 import pyarrow as pa
@@ -17,33 +19,50 @@ from .store import delete, written
 RAW = "archive string, member string, members int, row_no bigint, fields array<string>"
 
 
+def _archive_batches(path: str, content: bytes, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """An archive's rows, at most ``most`` a batch. Its one member is inflated twice, to see that it is whole and then row by row, and never held."""
+    import csv
+
+    name, names, sound = path.rsplit("/", 1)[-1], [], False
+    try:
+        z = ZipFile(io.BytesIO(content))
+        names = [n for n in z.namelist() if not n.endswith("/")]
+        if len(names) == 1:
+            with io.TextIOWrapper(z.open(names[0]), encoding="utf-8", newline="") as f:
+                while f.read(1 << 20):
+                    pass
+            sound = True
+    except (BadZipFile, zlib.error, EOFError, UnicodeDecodeError):
+        names = []
+    member = names[0] if sound else None
+
+    def batch(first: int, part: list[list[str] | None]) -> pa.RecordBatch:
+        columns = [pa.array([x] * len(part), t) for x, t in ((name, pa.string()), (member, pa.string()), (len(names), pa.int32()))]
+        numbers = pa.array([first + k if r is not None else None for k, r in enumerate(part)], pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, numbers, pa.array(part, pa.list_(pa.string()))], ["archive", "member", "members", "row_no", "fields"])
+
+    if not sound:
+        yield batch(1, [None])
+        return
+    with io.TextIOWrapper(z.open(member), encoding="utf-8", newline="") as f:
+        rows, first = csv.reader(f), 1
+        while part := list(islice(rows, most)):
+            yield batch(first, part)
+            first += len(part)
+
+
 def archive_rows(files: DataFrame) -> DataFrame:
     """Rows of zip archives ``files`` (path, content): archive, member, members, row_no, fields.
 
-    An archive with other than one member, or that is no archive, gives one row without ``row_no``. Rows are numbered from 1 as they stand, blank ones
-    included. Files are read apart, one task each at most.
+    An archive with other than one member, or that is damaged or none, gives one row without ``row_no``; a damaged one counts no
+    members. An empty member gives no rows. Rows are numbered from 1 as they stand, blank ones included. Files are read apart; a task holds one
+    archive as it is packed, and some rows.
     """
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import csv
-
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = path.rsplit("/", 1)[-1]
-                try:
-                    with ZipFile(io.BytesIO(content or b"")) as z:
-                        names = [n for n in z.namelist() if not n.endswith("/")]
-                        rows = list(csv.reader(io.TextIOWrapper(z.open(names[0]), encoding="utf-8", newline=""))) if len(names) == 1 else None
-                except BadZipFile:
-                    names, rows = [], None
-                member = names[0] if len(names) == 1 else None
-                for a in range(0, max(1, len(rows or [])), 50_000):
-                    part = rows[a : a + 50_000] if rows is not None else [None]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x] * len(part), t) for x, t in ((name, pa.string()), (member, pa.string()), (len(names), pa.int32()))]
-                        + [pa.array([a + k + 1 if r is not None else None for k, r in enumerate(part)], pa.int64()), pa.array(part, pa.list_(pa.string()))],
-                        ["archive", "member", "members", "row_no", "fields"],
-                    )
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _archive_batches(path, content.as_py() or b"")
 
     return files.select("path", "content").mapInArrow(unzip, RAW)
 
