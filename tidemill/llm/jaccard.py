@@ -437,6 +437,7 @@ def ngram_jaccard_join(
     den: int = 100,
     tile_rows: int = 512,
     broadcast_rows: int = 100_000,
+    broadcast_keys: int = 500_000,
     links: bool = True,
 ) -> DataFrame:
     """Links of documents whose sets of ``k``-word shingles have Jaccard similarity of ``num/den`` or more.
@@ -452,7 +453,8 @@ def ngram_jaccard_join(
     with equal sets are one point. Large blocks, and without ``links`` large classes, have a leader, whom all rows are
     held against first: what it links with it connects, so only pairs with one of the other rows are compared after
     that. These, and where link counts are asked for all pairs of a class, are joined by pairs of tiles of ``tile_rows``
-    points; no pair leaves a task, only link counts and a spanning forest.
+    points; no pair leaves a task, only link counts and a spanning forest. Tables of at most ``broadcast_rows`` rows, and
+    keys alone (8 bytes each) up to ``broadcast_keys``, are broadcast.
 
     Texts of fewer than ``k`` words have their whole word sequence as one shingle; null texts and texts without
     words have none and link with nothing. Long texts are hashed part by part. A row without id gets its set size, no
@@ -468,8 +470,9 @@ def ngram_jaccard_join(
     classes = written(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    few_keys = lambda df: F.broadcast(df) if df.count() <= broadcast_keys else df
     singles = classes.select(F.col("rep").alias("id"), "copies")
-    blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few).join(singles, "id"), "blocks")
+    blocks = written(_blocks(known.select(F.explode("keys").alias("key"), "id"), few_keys).join(singles, "id"), "blocks")
     vectors = known.select("id", "n", "vec")
     followers = _followers(blocks, vectors, _near_leader(num, den), 4 * tile_rows, few)
     tiles = written(_tiles(blocks, 4 * tile_rows, followers), "tiles")
