@@ -10,7 +10,7 @@ from tidemill.llm._store import delete, passing_tables, written
 from tidemill.llm.queries import vocabulary
 
 #: Ids that are joined by broadcast at most; beyond, by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (5 words, similarity 0.8): that of the smallest id. Rows without id stay."""
-    linked = written(jaccard.ngram_jaccard_join(docs, broadcast_rows=BROADCAST_ROWS, links=False), "linked")
+    linked = written(jaccard.ngram_jaccard_join(docs, links=False), "linked")
     gone = linked.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
 
