@@ -185,5 +185,5 @@ def test_stacked_windows_share_one_shuffle(spark):
     df = indicators.with_base_columns(seg).withColumns({"a": indicators.sma(5), "b": indicators.prior_median("volume", 5), "c": indicators.range_ratio(5)})
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window [") >= 4
-    executed = df._jdf.queryExecution().executedPlan().toString()
-    assert executed.count("hashpartitioning(symbol") <= 3
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(symbol")
+    assert shuffles(df) <= shuffles(seg) + 1

@@ -130,14 +130,20 @@ def test_fractional_campaigns(spark, block, delay):
     assert accounting.fifo_match(fills).agg(F.sum("pnl")).first()[0] == pytest.approx(sum(pnls), rel=1e-6)
 
 
-def test_one_symbol_is_many_tasks(spark, apart):
+def test_one_symbol_is_many_blocks(spark):
+    """What a window holds together is a block and its halo, however long the segment."""
     n = 400_000
     df = spark.range(n).select(F.lit("A").alias("symbol"), F.expr("timestamp_ntz '2000-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int))").alias("ts"), (F.col("id") % 97 + 1.0).alias("close"))
     seg = segments.continuous_segments(df, "1 minute", block=20_000)
-    out = scans.over_blocks(seg, lambda d: d.withColumn("mean", indicators.sma(24)), 24, block=20_000)
-    tasks = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("bar_idx").alias("last"), F.max("mean").alias("mean")).collect()
-    assert sum(r.n for r in tasks) == n and max(r.last for r in tasks) == n - 1
-    assert len(tasks) >= 6 and max(r.n for r in tasks) < n / 2
+    groups = []
+
+    def build(d):
+        groups.extend(d.groupBy("symbol", "segment_id").count().collect())
+        return d.withColumn("mean", indicators.sma(24))
+
+    out = scans.over_blocks(seg, build, 24, block=20_000).agg(F.count("*").alias("n"), F.max("bar_idx").alias("last"), F.count("mean").alias("means")).first()
+    assert (out.n, out.last, out.means) == (n, n - 1, n - 23)
+    assert len(groups) >= n / 20_000 and max(g["count"] for g in groups) <= 20_024
 
 
 def test_account_over_many_days(spark):
