@@ -142,10 +142,10 @@ def attach_entry_exit(events: DataFrame, seg: DataFrame, delay: str = "delay", h
 def run_events(hits: DataFrame, seg: DataFrame, stress: DataFrame, hold: str | None = None) -> DataFrame:
     """Events and net returns of all cells under all cost cases and delays.
 
-    ``hits`` are the bars where cells fire. An event takes delay + hold bars (hold 1 without a parameter of that name); signals
-    meanwhile are passed over; where an exit would lie beyond the segment there is no event.
+    ``hits`` are the bars where cells fire. An event takes delay + hold bars: the parameter ``hold``, or a column ``hold`` of the hits,
+    or 1; signals meanwhile are passed over; where an exit would lie beyond the segment there is no event.
     """
-    held = F.col("params")[hold].cast("int") if hold else F.lit(1)
+    held = F.col("params")[hold].cast("int") if hold else F.col("hold") if "hold" in hits.columns else F.lit(1)
     delays = stress.select("delay").distinct()
     df = hits.withColumn("hold", held).join(F.broadcast(delays))
     last = seg.groupBy("symbol", "segment_id").agg(F.max("bar_idx").alias("_last"))

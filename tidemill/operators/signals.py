@@ -70,9 +70,10 @@ SIGNALS: dict[str, Signal] = {
 }
 
 
-# The registered base parameters of the hypotheses that are decided on single bars.
+# The registered base parameters of the hypotheses on events.
 BASES: dict[str, dict[str, float]] = {
     "hyp0005": {"volume_lookback": 24, "shock": 3, "return_threshold": 0.01},
+    "hyp0006": {"lead_threshold": 0.015, "gap": 0.005},
     "hyp0007": {"volume_lookback": 24, "shock": 3, "return_threshold": -0.015},
     "hyp0008": {"lookback": 24, "multiplier": 3, "threshold": 0.015},
     "hyp0009": {"compression": 0.7, "breakout_lookback": 12, "breakout": 0.005},
@@ -89,6 +90,9 @@ BASES: dict[str, dict[str, float]] = {
     "hyp0020": {"hour": 0, "threshold": 0.005, "location": 0.9},
     "hyp0021": {"k": 3, "threshold": 0.005, "location": 0.5},
     "hyp0022": {"body_ratio": 0.6, "range_ratio": 0.005, "body_return": 0.0025},
+    "hyp0023": {"abnormal": 0.1, "threshold": 0.005, "hold_bars": 12},
+    "hyp0024": {"quantile": 0.2, "buffer": 0.0025, "hold_bars": 12},
+    "hyp0025": {"parent_body_ratio": 0.5, "location": 0.75, "hold_bars": 12},
 }
 
 
@@ -289,14 +293,15 @@ def evaluate_grid(seg: DataFrame, name: str, grid: Grid | None = None) -> DataFr
 
 
 def evaluate_grids(seg: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``evaluate_grid`` of several signals with their registered grids: ``hypothesis``, symbol, segment_id, bar_idx, ts, cell.
+    """``evaluate_grid`` of several signals with their registered grids: ``hypothesis``, symbol, segment_id, bar_idx, ts, cell, and for how many bars the cell holds.
 
     The features of all are computed in one pass and written; each signal reads its own columns of them.
     """
     features = written(features_for(seg, *[(SIGNALS[n], SIGNALS[n].grid) for n in names]), "features")
     out = None
     for name in names:
-        hits = _hits(features, name, SIGNALS[name].grid).select(F.lit(name).alias("hypothesis"), "symbol", "segment_id", "bar_idx", "ts", "cell")
+        hold = F.col("params.hold_bars").cast("int") if SIGNALS[name].hold else F.lit(1)
+        hits = _hits(features, name, SIGNALS[name].grid).select(F.lit(name).alias("hypothesis"), "symbol", "segment_id", "bar_idx", "ts", "cell", hold.alias("hold"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

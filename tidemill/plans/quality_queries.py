@@ -22,32 +22,38 @@ START, END, MIDDLE = "2024-01-01 00:00:00", "2024-01-31 00:00:00", "2024-01-15 0
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text rows of the event bars by type, archived by day, with some off the grid, swapped, doubled, late or cut."""
-    bars = X.event_bars(spark, sf_dir, by_type=True)
+    """Text rows of the event bars by type, see ``as_raw_rows``."""
+    return as_raw_rows(X.event_bars(spark, sf_dir, by_type=True))
+
+
+def as_raw_rows(bars: DataFrame, sparse: int = 1) -> DataFrame:
+    """Bars as text rows archived by day, with some off the grid, swapped, doubled, late or cut; fewer of them the larger ``sparse``."""
     df = bars.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint").cast("string")
-    t = F.unix_millis(F.to_timestamp("ts")) + F.when(F.col("idx") % 41 == 0, 789).otherwise(0)
-    text = F.when(F.col("idx") % 71 == 5, "bad").when(F.col("idx") % 59 == 3, (t * 1000).cast("string")).otherwise(t.cast("string"))
-    swap = F.col("idx") % 53 == 7
-    volume = F.concat(F.when(F.col("idx") % 67 == 9, "-").otherwise(""), cents("volume"))
+    t = F.unix_millis(F.to_timestamp("ts")) + F.when(F.col("idx") % (41 * sparse) == 0, 789).otherwise(0)
+    text = F.when(F.col("idx") % (71 * sparse) == 5, "bad").when(F.col("idx") % (59 * sparse) == 3, (t * 1000).cast("string")).otherwise(t.cast("string"))
+    swap = F.col("idx") % (53 * sparse) == 7
+    volume = F.concat(F.when(F.col("idx") % (67 * sparse) == 9, "-").otherwise(""), cents("volume"))
     fields = F.array(text, cents("open"), F.when(swap, cents("low")).otherwise(cents("high")), F.when(swap, cents("high")).otherwise(cents("low")), cents("close"), volume)
-    fields = F.when(F.col("idx") % 89 == 11, F.slice(fields, 1, 5)).otherwise(fields)
+    fields = F.when(F.col("idx") % (89 * sparse) == 11, F.slice(fields, 1, 5)).otherwise(fields)
     df = df.withColumns({"fields": fields, "archive": F.concat_ws("", "symbol", F.lit("-1h-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".zip"))})
-    df = df.withColumn("k", F.explode(F.when(F.col("idx") % 83 == 13, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    late = F.col("idx") + F.when(F.col("idx") % 97 == 17, 3.5).otherwise(0.0)
+    df = df.withColumn("k", F.explode(F.when(F.col("idx") % (83 * sparse) == 13, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    late = F.col("idx") + F.when(F.col("idx") % (97 * sparse) == 17, 3.5).otherwise(0.0)
     order = Window.partitionBy("archive").orderBy(late, "k")
     return df.select("symbol", "archive", F.regexp_replace("archive", "zip$", "csv").alias("member"), F.row_number().over(order).cast("bigint").alias("row_no"), "fields")
 
 
-RAW_SQL = f"""with {X.TYPE_SQL},
+def raw_sql(bars: str, end: str, sparse: int = 1) -> str:
+    """``as_raw_rows`` of the table ``bars``, its events, regions and certified segments up to ``end``."""
+    return f"""with {bars},
   i as (select *, row_number() over (partition by symbol order by ts) - 1 as idx from bars),
-  t as (select *, epoch_ms(ts) + case when idx % 41 = 0 then 789 else 0 end as t from i),
-  f as (select *, case when idx % 71 = 5 then 'bad' when idx % 59 = 3 then (t * 1000)::varchar else t::varchar end as f0, round(open * 100)::bigint::varchar as f1,
-     round((case when idx % 53 = 7 then low else high end) * 100)::bigint::varchar as f2, round((case when idx % 53 = 7 then high else low end) * 100)::bigint::varchar as f3,
-     round(close * 100)::bigint::varchar as f4, (case when idx % 67 = 9 then '-' else '' end) || round(volume * 100)::bigint::varchar as f5,
-     symbol || '-1h-' || strftime(ts, '%Y-%m-%d') || '.zip' as archive, unnest(case when idx % 83 = 13 then [0, 1] else [0] end) as k from t),
-  raw as (select symbol, archive, replace(archive, '.zip', '.csv') as member, row_number() over (partition by archive order by idx + case when idx % 97 = 17 then 3.5 else 0 end, k) as row_no,
-     f0, f1, f2, f3, f4, case when idx % 89 = 11 then null else f5 end as f5, case when idx % 89 = 11 then 5 else 6 end as n_fields from f),
+  t as (select *, epoch_ms(ts) + case when idx % {41 * sparse} = 0 then 789 else 0 end as t from i),
+  f as (select *, case when idx % {71 * sparse} = 5 then 'bad' when idx % {59 * sparse} = 3 then (t * 1000)::varchar else t::varchar end as f0, round(open * 100)::bigint::varchar as f1,
+     round((case when idx % {53 * sparse} = 7 then low else high end) * 100)::bigint::varchar as f2, round((case when idx % {53 * sparse} = 7 then high else low end) * 100)::bigint::varchar as f3,
+     round(close * 100)::bigint::varchar as f4, (case when idx % {67 * sparse} = 9 then '-' else '' end) || round(volume * 100)::bigint::varchar as f5,
+     symbol || '-1h-' || strftime(ts, '%Y-%m-%d') || '.zip' as archive, unnest(case when idx % {83 * sparse} = 13 then [0, 1] else [0] end) as k from t),
+  raw as (select symbol, archive, replace(archive, '.zip', '.csv') as member, row_number() over (partition by archive order by idx + case when idx % {97 * sparse} = 17 then 3.5 else 0 end, k) as row_no,
+     f0, f1, f2, f3, f4, case when idx % {89 * sparse} = 11 then null else f5 end as f5, case when idx % {89 * sparse} = 11 then 5 else 6 end as n_fields from f),
   u as (select *, try_cast(f0 as bigint) as n, case when try_cast(f0 as bigint) >= 100000000000 and try_cast(f0 as bigint) < 100000000000000 then 'milliseconds' when try_cast(f0 as bigint) >= 100000000000000 and try_cast(f0 as bigint) < 100000000000000000 then 'microseconds' end as unit from raw),
   p as (select *, case unit when 'milliseconds' then make_timestamp(n * 1000) when 'microseconds' then make_timestamp(n) end as ts,
      f1::bigint as o, f2::bigint as h, f3::bigint as l, f4::bigint as c, f5::bigint as v from u),
@@ -64,18 +70,21 @@ RAW_SQL = f"""with {X.TYPE_SQL},
     union all select symbol, archive, row_no, f0, ts, 'OUT_OF_ORDER_TIMESTAMP' from flagged where out_of_order
     union all select symbol, archive, row_no, f0, ts, case when violation like '%volume%' then 'INVALID_VOLUME' else 'INVALID_OHLC' end from rows_ where violation is not null
     union all select symbol, archive, null, null, ts, 'MISSING_INTERVAL' from gaps),
-  hours as (select distinct symbol, date_trunc('hour', parsed_timestamp)::timestamp as hour from events_ where parsed_timestamp is not null and parsed_timestamp < timestamp '{END}'),
+  hours as (select distinct symbol, date_trunc('hour', parsed_timestamp)::timestamp as hour from events_ where parsed_timestamp is not null and parsed_timestamp < timestamp '{end}'),
   hruns as (select *, hour - row_number() over (partition by symbol order by hour) * interval 1 hour as run from hours),
   regions as (select symbol, min(hour) as start, max(hour) + interval 1 hour as "end" from hruns group by symbol, run),
-  clean as (select distinct symbol, date_trunc('hour', ts)::timestamp as hour from valid where ts < timestamp '{END}' and (symbol, date_trunc('hour', ts)::timestamp) not in (select (symbol, hour) from hours)),
+  clean as (select distinct symbol, date_trunc('hour', ts)::timestamp as hour from valid where ts < timestamp '{end}' and (symbol, date_trunc('hour', ts)::timestamp) not in (select (symbol, hour) from hours)),
   pairs as (select a.symbol, a.hour from clean a join clean b on a.symbol = b.symbol and b.hour = a.hour + interval 1 hour),
   restored as (select r.symbol, r.start, coalesce((select min(p.hour) from pairs p where p.symbol = r.symbol and p.hour >= r."end"), r."end") as "end" from regions r),
-  inside as (select symbol, greatest(start, timestamp '{START}') as s, least("end", timestamp '{END}') as e from restored where "end" > timestamp '{START}' and start < timestamp '{END}'),
-  edges as (select * from inside union all select distinct symbol, timestamp '{END}', timestamp '{END}' from bars),
+  inside as (select symbol, greatest(start, timestamp '{START}') as s, least("end", timestamp '{end}') as e from restored where "end" > timestamp '{START}' and start < timestamp '{end}'),
+  edges as (select * from inside union all select distinct symbol, timestamp '{end}', timestamp '{end}' from bars),
   cert as (select symbol, cursor as start, s as "end" from (select *, coalesce(max(e) over (partition by symbol order by s, e rows between unbounded preceding and 1 preceding), timestamp '{START}') as cursor from edges) where cursor < s)
 """
 
 
+RAW_SQL = raw_sql(X.TYPE_SQL, END)
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.normalize_klines(raw_rows(spark, sf_dir))
 

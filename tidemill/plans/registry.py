@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bar_queries, quality_queries, study_queries
+from . import bar_queries, evidence_queries, quality_queries, study_queries
 
-_MODULES = (quality_queries, bar_queries, study_queries)
+_MODULES = (quality_queries, bar_queries, study_queries, evidence_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import accounting, allocation, classifier, metrics, robustness, scans, segments, signals
+from ..operators import accounting, allocation, classifier, metrics, research, robustness, scans, segments, signals
 from ..operators import event_study as G
 from ..operators import indicators as I
 from ..sources.store import written
@@ -83,7 +83,8 @@ for _name in _RULES:
     _signal(_name, _name in ("hyp0016", "hyp0020"))
 
 
-_RANK_HITS = f"{_PRE}, rr as (select *, case when bar_idx >= 23 then (max(high) over w - min(low) over w) / close end as rg, case when bar_idx >= 24 then max(high) {_prior(24)} end as xh from seg window w as (partition by symbol, segment_id order by bar_idx rows 23 preceding)), lr as (select *, lag(rg) {_P}) as latest, list(rg) {_P} rows between 721 preceding and 2 preceding) as refs from rr), rk as (select *, case when bar_idx >= 744 then len(list_filter(refs, lambda x: x <= latest)) / 720.0::double end as rank from lr){_cells_sql('hyp0024')} select cell, symbol, count(*) as hits, sum(bar_idx)::bigint as idx_sum from rk join cells on rank <= quantile and close >= xh * (1 + buffer) group by 1, 2"
+_RANK = f", rr as (select *, case when bar_idx >= 23 then (max(high) over w - min(low) over w) / close end as rg, case when bar_idx >= 24 then max(high) {_prior(24)} end as xh from seg window w as (partition by symbol, segment_id order by bar_idx rows 23 preceding)), lr as (select *, lag(rg) {_P}) as latest, list(rg) {_P} rows between 721 preceding and 2 preceding) as refs from rr), ranked as (select *, case when bar_idx >= 744 then len(list_filter(refs, lambda x: x <= latest)) / 720.0::double end as rank from lr)"
+_RANK_HITS = f"{_PRE}{_RANK}{_cells_sql('hyp0024')} select cell, symbol, count(*) as hits, sum(bar_idx)::bigint as idx_sum from ranked join cells on rank <= quantile and close >= xh * (1 + buffer) group by 1, 2"
 
 
 @Q.add("q_F24", _RANK_HITS)
@@ -98,7 +99,13 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.over_blocks(seg, lambda d: d.withColumn("lead_ret", I.ret(1, "lead_close")), 1)
 
 
-_PAIR = f"with {X.TYPE_SQL}, pair as (select p.*, c.close as lead_close from bars p join bars c on c.symbol = 'click' and p.symbol = 'purchase' and c.ts = p.ts), " + X.segments_sql("1 hour").replace("from bars", "from pair").replace("select symbol, ts, open", "select symbol, lead_close, ts, open") + f", pr as (select *, close / lag(close) {_P}) - 1 as r1, lead_close / lag(lead_close) {_P}) - 1 as lr from seg)"
+def _pair_of(pre: str, bars: str, lead: str, target: str) -> str:
+    """``seg`` of two symbols' bars at equal times and ``pr`` with their returns."""
+    seg = X.segments_sql("1 hour").replace("from bars", "from pair").replace("select symbol, ts, open", "select symbol, lead_close, ts, open")
+    return f"{pre}, pair as (select p.*, c.close as lead_close from {bars} p join {bars} c on c.symbol = '{lead}' and p.symbol = '{target}' and c.ts = p.ts), {seg}, pr as (select *, close / lag(close) {_P}) - 1 as r1, lead_close / lag(lead_close) {_P}) - 1 as lr from seg)"
+
+
+_PAIR = _pair_of(f"with {X.TYPE_SQL}", "bars", "click", "purchase")
 
 
 _PAIR_HITS = _PAIR + _cells_sql("hyp0006") + " select cell, count(*) as hits, sum(bar_idx)::bigint as idx_sum from pr join cells on lr >= lead_threshold and lr - r1 >= gap group by 1"
@@ -520,10 +527,11 @@ def q_j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.transferability(summary(spark, sf_dir)[2], ["cell", "cost", "delay"])
 
 
+_CONTROL = f", fw as (select *, lead(close) {_P}) / close - 1 as nr from pr), c0 as (select avg(nr) as m from fw where bar_idx >= 1 and nr is not null), cd as (select cell, avg(nr) - (select m from c0) as difference from hits join fw using (symbol, segment_id, bar_idx) where nr is not null group by 1)"
 _LEAD_HITS = _PAIR + _cells_sql("hyp0006") + ", hits as (select cell, symbol, segment_id, bar_idx from pr join cells on bar_idx >= 1 and lr >= lead_threshold and lr - r1 >= gap)"
 
 
-@Q.add("q_J13_control", _LEAD_HITS + _STUDY_OF_HITS + f", sr as (select {_K}, segment_id, {_COMP} as sret from ev where cost = 'baseline' and delay = 1 group by cell, symbol, cost, delay, segment_id), su as (select cell, avg(sret) as msr, exp(sum(ln(1 + sret))) - 1 as comp from sr group by 1), fw as (select *, lead(close) {_P}) / close - 1 as nr from pr), c0 as (select avg(nr) as m from fw where bar_idx >= 1 and nr is not null), cd as (select cell, avg(nr) - (select m from c0) as difference from hits join fw using (symbol, segment_id, bar_idx) where nr is not null group by 1) select cell, 1::bigint as symbols, {_OK} and coalesce(difference > 0, false) as pass, round(difference, 6) as difference from su left join cd using (cell)")
+@Q.add("q_J13_control", _LEAD_HITS + _STUDY_OF_HITS + f", sr as (select {_K}, segment_id, {_COMP} as sret from ev where cost = 'baseline' and delay = 1 group by cell, symbol, cost, delay, segment_id), su as (select cell, avg(sret) as msr, exp(sum(ln(1 + sret))) - 1 as comp from sr group by 1){_CONTROL} select cell, 1::bigint as symbols, {_OK} and coalesce(difference > 0, false) as pass, round(difference, 6) as difference from su left join cd using (cell)")
 def q_j13_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfer of the lead and lag signal: gains at baseline cost and delay 1, and a mean above that of all bars."""
     pair = written(_pair(spark, sf_dir), "pairs")
@@ -537,8 +545,15 @@ def q_j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.protocol_eligibility(summary(spark, sf_dir)[2], ["cell", "cost", "delay"])
 
 
-def _battery_sql(nine: bool, hits: str = _SHOCK_HITS, family: str = "0") -> str:
-    """All dimensions by cell, each a table (cell, symbol, ok), over the pieces of the queries above; ``family`` says which cells are neighbours."""
+#: Events of hits with a column ``hold``: how many bars each takes.
+_STUDY_OF_HELD = _STUDY_OF_HITS.replace("h.bar_idx, d.delay from", "h.bar_idx, h.hold, d.delay from").replace("h.bar_idx + d.delay <= lb", "h.bar_idx + d.delay + h.hold - 1 <= lb")
+_STUDY_OF_HELD = _STUDY_OF_HELD.replace("delay, min(bar_idx) as bar_idx from cand group by 1, 2, 3, 4", "delay, hold, min(bar_idx) as bar_idx from cand group by 1, 2, 3, 4, 5").replace("delay, nxt from", "delay, hold, nxt from").replace("c.bar_idx > w.bar_idx + w.delay)", "c.bar_idx >= w.bar_idx + w.delay + w.hold)")
+_STUDY_OF_HELD = _STUDY_OF_HELD.replace("b.ts as exit_ts, b.close *", "x.ts as exit_ts, x.close *").replace("join stress s on", "join seg x on x.symbol = w.symbol and x.segment_id = w.segment_id and x.bar_idx = w.bar_idx + w.delay + w.hold - 1 join stress s on")
+
+
+def _battery_sql(nine: bool, hits: str = _SHOCK_HITS, family: str = "0", held: bool = False, control: bool = False) -> str:
+    """All dimensions by cell, each a table (cell, symbol, ok), over the pieces of the queries above; ``family`` says which cells are
+    neighbours, ``held`` that hits have a column hold, ``control`` that transfer is held against all bars of ``pr``."""
     base = "cost = 'baseline' and delay = 1"
     regime = "count(*) filter (events >= 100 and comp > 0) >= 2" if nine else "count(*) filter (bars >= 100) < 2 or count(*) filter (bars >= 100 and comp > 0) >= 2"
     fall = "n > 0 and mdd < 0.7 and least(worst, 0) >= -0.5 and " + ("exit_recovery <= 0.5 * bars" if nine else "recovery <= 0.5 * duration")
@@ -551,10 +566,13 @@ def _battery_sql(nine: bool, hits: str = _SHOCK_HITS, family: str = "0") -> str:
         "drawdown_recovery": f"select cell, symbol, {fall} as ok from dd join ws using ({_K}) join rk using ({_K}) join du using (symbol) where {base}",
         "asset_transferability": f"select cell, symbol, {_OK} as ok from su where {base}",
     }
+    if control:
+        dims["asset_transferability"] = f"select cell, symbol, {_OK} and coalesce(difference > 0, false) as ok from su left join cd using (cell) where {base}"
     if nine:
         dims["protocol_eligibility"] = f"select s.cell, s.symbol, s.comp >= 0.1 and s.msr > 0 and d.ok and t.support as ok from (select * from su where {base}) s join d_drawdown_recovery d using (cell, symbol) join (select cell, sum(events) >= 300 and sum(nseg) >= 20 as support from su where {base} group by 1) t on t.cell = s.cell"
     names = ["parameter_neighborhood", *dims]
-    rest = _REG[len(_STUDY):] + _LOO[len(_SEGS):] + _DD[len(_SEGS):] + _RECOVERY
+    rest = _REG[len(_STUDY):] + _LOO[len(_SEGS):] + _DD[len(_SEGS):] + (_RECOVERY.replace("entry_ts", "exit_ts") if held else _RECOVERY) + (_CONTROL if control else "")
+    study = _J[len(_SHOCK_HITS):].replace(_STUDY_OF_HITS, _STUDY_OF_HELD) if held else _J[len(_SHOCK_HITS):]
     tables = "".join(f", d_{n} as ({q})" for n, q in dims.items())
     around = f", d_parameter_neighborhood as (select c.cell, symbol, ok from (select *, {family} as fam from cells) c join (select {family} as fam, symbol, avg((msr > 0)::int) >= 0.6 and quantile_cont(comp, 0.5) > 0 as ok from su where {base} group by 1, 2) using (fam))"
     every = ", fr as (select c.cell, y.symbol from cells c cross join (select distinct symbol from seg) y)"
@@ -562,7 +580,7 @@ def _battery_sql(nine: bool, hits: str = _SHOCK_HITS, family: str = "0") -> str:
     wide = f", wd as (select cell, {', '.join(f'bool_and(coalesce({n}, false)) as {n}' for n in names)} from fr{joined} group by 1)"
     failed = "array_to_string(list_filter([" + ", ".join(f"case when not {n} then '{n}' end" for n in names) + "], lambda x: x is not null), ',')"
     passed = " + ".join(f"{n}::int" for n in names)
-    return hits + _J[len(_SHOCK_HITS):] + rest + tables + around + every + wide + f" select cell, {failed} as failed, {len(names)} as required, {passed} as passed, case when {passed} = {len(names)} then 'PASS' else 'FAIL' end as decision from wd"
+    return hits + study + rest + tables + around + every + wide + f" select cell, {failed} as failed, {len(names)} as required, {passed} as passed, case when {passed} = {len(names)} then 'PASS' else 'FAIL' end as decision from wd"
 
 
 def _decision(name: str, nine: bool) -> None:
@@ -576,22 +594,20 @@ def _decision(name: str, nine: bool) -> None:
 _decision("q_J15", False)
 _decision("q_J15_nine", True)
 
-_ONE_BAR = tuple(signals.BASES)
-_BASES_OF = {n: 1_000 * k + signals.base_cell(n) for k, n in enumerate(_ONE_BAR)}
-_ALL_HITS = f"{_PRE}{_FEAT}{_GRIDS}, cells(cell) as (values {', '.join(f'({c})' for c in _BASES_OF.values())}), hits as (" + " union all ".join(f"select {1_000 * k} + cell as cell, symbol, segment_id, bar_idx from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]}" for k, n in enumerate(_ONE_BAR)) + ")"
+_ONE_BAR = tuple(n for n in signals.BASES if n != "hyp0006" and not signals.SIGNALS[n].hold)
+_BASES_OF = {n: research.SPAN * k + signals.base_cell(n) for k, n in enumerate(_ONE_BAR)}
 
 
-@Q.add("q_J15_cycles", "select case cell " + " ".join(f"when {c} then '{n}'" for n, c in _BASES_OF.items()) + " end as hypothesis, failed, required, passed, decision from (" + _battery_sql(False, _ALL_HITS, "cell // 1000") + ")")
+def _all_hits(pre: str) -> str:
+    """Hits of all cells of all hypotheses on single bars, on ``seg`` of ``pre``; ``cells`` are the bases."""
+    return f"{pre}{_FEAT}{_GRIDS}, cells(cell) as (values {', '.join(f'({c})' for c in _BASES_OF.values())}), hits as (" + " union all ".join(f"select {research.SPAN * k} + cell as cell, symbol, segment_id, bar_idx from f2 join g_{n} as cells on bar_idx >= 1 and {_RULES[n]}" for k, n in enumerate(_ONE_BAR)) + ")"
+
+
+@Q.add("q_J15_cycles", "select case cell " + " ".join(f"when {c} then '{n}'" for n, c in _BASES_OF.items()) + " end as hypothesis, failed, required, passed, decision from (" + _battery_sql(False, _all_hits(_PRE), "cell // 1000") + ")")
 def q_j15_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw rows to the decision of every hypothesis of the next to the sixth cycle on single bars: segments, all cells of all grids, events under all costs and delays, the battery at each base."""
-    seg = written(daily(spark, sf_dir), "bars")
-    number = F.create_map(*[F.lit(x) for k, n in enumerate(_ONE_BAR) for x in (n, 1_000 * k)])
-    hits = signals.evaluate_grids(seg, _ONE_BAR).withColumn("cell", number[F.col("hypothesis")] + F.col("cell"))
-    events = written(G.run_events(hits, seg, G.stress_grid(spark)), "events")
-    bases = spark.createDataFrame(list(_BASES_OF.items()), "hypothesis string, cell bigint")
-    dims = robustness.battery(events, seg, bases, family=F.floor(F.col("cell") / 1_000))
-    out = robustness.decide(dims, ["cell"]).join(bases, "cell")
-    return out.select("hypothesis", F.array_join("failed", ",").alias("failed"), "required", "passed", "decision")
+    out = research.decide_hypotheses(written(daily(spark, sf_dir), "bars"), _ONE_BAR)
+    return out.withColumn("failed", F.array_join("failed", ","))
 
 
 @Q.add("q_J16_segments", _SEGS + ", sz as (select symbol, segment_id, count(*) as bars from seg group by 1, 2), r1 as (select cell, symbol, segment_id, events, sret from sr where cost = 'baseline' and delay = 1) select c.cell, z.symbol, z.segment_id, z.bars, coalesce(r.events, 0) as events, round(r.sret, 6) as segment_return, case when z.bars < 100 then 'segment of ' || z.bars || ' bars, 100 needed' when r.sret <= -1 then 'segment lost everything' when r.events is null then 'no events' end as error from sz z cross join cells c left join r1 r on r.cell = c.cell and r.symbol = z.symbol and r.segment_id = z.segment_id")
