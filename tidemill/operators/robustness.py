@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import metrics
 from .event_study import compound, event_equity
 from .indicators import regime
@@ -155,10 +156,10 @@ def battery(events: DataFrame, seg: DataFrame, cells: DataFrame, nine: bool = Fa
     asks for a positive difference to it too.
     """
     keys = ["cell", "symbol"]
-    summary = metrics.cell_summary(events, [*keys, "cost", "delay"])
+    summary = written(metrics.cell_summary(events, [*keys, "cost", "delay"]), "summary")
     at = (F.col("cost") == base) & (F.col("delay") == 1)
     first, own = summary.filter(at), events.filter(at)
-    segs = metrics.segment_returns(own, keys)
+    segs = written(metrics.segment_returns(own, keys), "returns")
     gain = (F.col("mean_segment_return") > 0) & (F.col("compound_return") > 0)
     half = (F.col("max_share") <= 0.5) & (F.col("top_share") <= 0.5)
     fall = drawdown_gate(drawdown_recovery(own, seg, keys, "exit" if nine else "entry")).select(*keys, "pass")
