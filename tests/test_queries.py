@@ -13,7 +13,7 @@ import __spark_entry__
 from tidemill.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = "q_A1 q_A3 q_A5 q_A7 q_B1_B2_B3 q_B7 q_B10 q_C4 q_C5 q_C7 q_C12 q_D3 q_D4 q_D9 q_D13 q_D18 q_E3 q_E7 q_E13 q_E18 q_F05 q_F10 q_F02 q_G1 q_G9 q_H2 q_I8 q_I12 q_J4 q_J7 q_K2_K4 q_K3 q_B11 q_D8_certified q_D8_boundary q_D14 q_D19 q_C13 q_H3 q_H4 q_H5 q_J11 q_J13_control q_J15 q_J15_nine q_J16_segments q_L1 q_F31_F33 q_A10_once q_D2 q_D8 q_D10 q_D18_tree q_E16 q_E17 q_F04 q_F24 q_G5 q_I14 q_J15_cycles".split()
+SOME = "q_A1 q_A3 q_A5 q_A7 q_B1_B2_B3 q_B7 q_B10 q_C4 q_C5 q_C7 q_C12 q_D3 q_D4 q_D9 q_D13 q_D18 q_E3 q_E7 q_E13 q_E18 q_F05 q_F10 q_F02 q_G1 q_G9 q_H2 q_I8 q_I12 q_J4 q_J7 q_K2_K4 q_K3 q_B11 q_D8_certified q_D8_boundary q_D14 q_D19 q_C13 q_H3 q_H4 q_H5 q_J11 q_J13_control q_J15 q_J15_nine q_J16_segments q_L1 q_F31_F33 q_A10_once q_D2 q_D8 q_D10 q_D18_tree q_E16 q_E17 q_F04 q_F24 q_G5 q_I14 q_J15_cycles q_J15_evidence q_C9 q_C11_archives q_D15_pairs q_I15_faults q_E23_errors q_K1_errors q_J16_stress q_L3_sides".split()
 
 
 def plain(v):

@@ -165,3 +165,21 @@ def common_certification(labels: DataFrame, common: DataFrame) -> DataFrame:
     agg = labels.agg(F.max(F.col("certification") == "UNVERIFIED").alias("failed"), F.min(F.col("certification") == "VALID").alias("clean"))
     label = F.when(F.col("failed"), "UNVERIFIED").when(F.col("n") == 0, "UNUSABLE").when(F.col("clean"), "VALID").otherwise("VALID WITH DOCUMENTED EXCLUSIONS")
     return agg.crossJoin(some).select(label.alias("certification"))
+
+
+def common_certifications(labels: DataFrame, certified: DataFrame, partitions: DataFrame) -> DataFrame:
+    """``common_certification`` of every two symbols in every partition: symbol_a, symbol_b, name, certification.
+
+    ``labels`` are those of ``certification``, ``certified`` segments (symbol, start, end), ``partitions`` (name, start, end)
+    few. Two symbols have something in common in a partition where segments of both overlap within it.
+    """
+    c, p = certified.alias("c"), partitions.alias("p")
+    cut = c.join(p, (F.col("c.start") < F.col("p.end")) & (F.col("p.start") < F.col("c.end")))
+    cut = cut.select("symbol", "name", F.greatest("c.start", "p.start").alias("start"), F.least("c.end", "p.end").alias("end"))
+    meet = (F.col("a.name") == F.col("b.name")) & (F.col("a.symbol") < F.col("b.symbol"))
+    over = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    names = [F.col("a.symbol").alias("symbol_a"), F.col("b.symbol").alias("symbol_b"), F.col("a.name").alias("name")]
+    common = cut.alias("a").join(cut.alias("b"), meet & over).select(*names).distinct().withColumn("_some", F.lit(True))
+    both = labels.alias("a").join(labels.alias("b"), meet).select(*names, F.col("a.certification").alias("_a"), F.col("b.certification").alias("_b"))
+    label = F.when((F.col("_a") == "UNVERIFIED") | (F.col("_b") == "UNVERIFIED"), "UNVERIFIED").when(F.col("_some").isNull(), "UNUSABLE").when((F.col("_a") == "VALID") & (F.col("_b") == "VALID"), "VALID").otherwise("VALID WITH DOCUMENTED EXCLUSIONS")
+    return both.join(common, ["symbol_a", "symbol_b", "name"], "left").select("symbol_a", "symbol_b", "name", label.alias("certification"))

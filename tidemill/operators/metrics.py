@@ -139,8 +139,13 @@ def account_vs_benchmark(account: DataFrame, benchmark: DataFrame, start: str) -
     return out.withColumn("difference", F.col("account_return") - F.col("benchmark_return"))
 
 
-def validate_metrics_input(eq: DataFrame, keys: list[str], by: str = "bar_idx") -> DataFrame:
-    """Per keys the ``error`` of an equity curve: first value not positive, or a position outside 0 to 1; null if none."""
-    out = eq.groupBy(*keys).agg(F.min_by("equity", by).alias("_e"), F.min(F.coalesce(F.col("position").between(0, 1), F.lit(True))).alias("_p"))
-    error: Column = F.when(F.col("_e") <= 0, "initial equity must be positive").when(~F.col("_p"), "positions must be between 0 and 1")
+def validate_metrics_input(eq: DataFrame, keys: list[str], by: str = "bar_idx", universe: DataFrame | None = None) -> DataFrame:
+    """Per keys the first ``error`` of an equity curve, null if none: no values, positions for some of them only, a position outside
+    0 to 1, a first value of zero or less. Curves without values are those of ``universe`` (keys) that ``eq`` doesn't have.
+    """
+    inside = F.min(F.coalesce(F.col("position").between(0, 1), F.lit(True)))
+    out = eq.groupBy(*keys).agg(F.min_by("equity", by).alias("_e"), inside.alias("_p"), F.count("position").alias("_given"), F.count("*").alias("_n"))
+    if universe is not None:
+        out = universe.select(*keys).distinct().join(out, keys, "left")
+    error: Column = F.when(F.col("_n").isNull(), "no equity").when((F.col("_given") > 0) & (F.col("_given") < F.col("_n")), "positions are incomplete").when(~F.col("_p"), "a position is outside 0 to 1").when(F.col("_e") <= 0, "equity starts at zero or less")
     return out.select(*keys, error.alias("error"))

@@ -148,10 +148,17 @@ def tag_provenance(events: DataFrame, known: DataFrame) -> DataFrame:
     return df.withColumn("source_provenance", F.coalesce(issue, F.col("source_provenance"))).select(*EVENT_COLUMNS)
 
 
-def certify(events: DataFrame, prefix: str) -> DataFrame:
-    """One row ``certification``: no events, only events whose provenance starts with ``prefix``, or others."""
-    all_known = F.min(F.col("source_provenance").startswith(prefix))
-    return events.agg(F.when(F.count("*") == 0, VALID).when(all_known, DOCUMENTED).otherwise(UNUSABLE).alias("certification"))
+def certify(events: DataFrame, prefix: str, universe: DataFrame | None = None) -> DataFrame:
+    """``certification``: no events, only events whose provenance starts with ``prefix``, or others. One row for all events, or one for
+    each row of ``universe`` (distinct keys that events have too, such as archives).
+    """
+    keys = universe.columns if universe is not None else []
+    known = F.min(F.coalesce(F.col("source_provenance").startswith(prefix), F.lit(False)))
+    out = events.groupBy(*keys).agg(F.count("*").alias("_n"), known.alias("_known"))
+    if universe is not None:
+        out = universe.join(out, keys, "left")
+    label = F.when(F.coalesce("_n", F.lit(0)) == 0, VALID).when(F.col("_known"), DOCUMENTED).otherwise(UNUSABLE)
+    return out.select(*keys, label.alias("certification"))
 
 
 def summarize_quality(rows: DataFrame, events: DataFrame) -> DataFrame:
