@@ -129,7 +129,7 @@ def repeated_fingerprints(prints: DataFrame, column: str, rows: int, bits: int,
     return prints.select(column).mapInArrow(build, _BLOCK).groupBy("slice").applyInArrow(merge, f"{column} bigint")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, hot_rows: int = 100_000) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, hot_rows: int = 100_000, hot_groups: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the largest id is
@@ -137,13 +137,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The others are routed to verification, which groups their rows by all bytes of the text (combined in each
     partition first), so texts that merely share a fingerprint stay apart. The filter's verdict is broadcast while it
     has at most ``broadcast_rows`` fingerprints (8 bytes each) and joined by shuffle beyond. Groups of more than
-    ``hot_rows`` rows, of which there can be only so many, reach their rows by broadcast, all others by shuffle.
+    ``hot_rows`` rows, and of more than the ``hot_groups``-th part of all rows, reach their rows by broadcast: there are fewer than
+    ``hot_groups`` of them at any size. All others do by shuffle.
 
     Texts of any length are hashed and compared as a whole. Rows that repeat an id and a text are equal rows: all of
     them have ``kept`` if their id is the largest. A row without id is kept only where no row of its group has an id.
     Other columns are ignored, an empty table gives no rows.
     """
     rows = docs.count()
+    hot_rows = max(hot_rows, rows // hot_groups)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), fingerprint(text, fingerprint_bits(rows)).alias("_print"))
     repeated = _repeated(keyed, rows, broadcast_rows)
