@@ -145,3 +145,13 @@ def test_indicators_do_not_know_the_future(runs):
             df = step(df)
         made.append(written(df, "indicators"))
     same(made[0], made[1], cut)
+
+
+def test_grids_together_are_each_alone(spark, runs):
+    """No feature of one grid takes the name of another's: median volume and median volatility of 12 bars both occur."""
+    names = ("hyp0009", "hyp0019")
+    count = lambda df: {(r.cell, r["count"]) for r in df.groupBy("cell").count().collect()}
+    both = written(signals.evaluate_grids(runs[1], names), "hits")
+    for name in names:
+        alone = count(signals.evaluate_grid(runs[1], name))
+        assert alone and count(both.filter(F.col("hypothesis") == name)) == alone

@@ -49,7 +49,7 @@ SIGNALS: dict[str, Signal] = {
         Signal("hyp0006", {"lead_threshold": [0.01, 0.015, 0.02], "gap": [0.0025, 0.005, 0.01]}, "lead_ret >= p.lead_threshold and lead_ret - ret_1 >= p.gap"),
         Signal("hyp0007", {"volume_lookback": [24, 48], "shock": [2, 3, 4], "return_threshold": [-0.01, -0.015, -0.02]}, "{med_vol:volume_lookback} > 0 and volume >= p.shock * {med_vol:volume_lookback} and ret_1 <= p.return_threshold"),
         Signal("hyp0008", {"lookback": [24, 48], "multiplier": [2, 3, 4], "threshold": [0.01, 0.015, 0.02]}, "{med_abs:lookback} > 0 and ret_4 >= p.threshold and ret_4 >= p.multiplier * {med_abs:lookback}"),
-        Signal("hyp0009", {"compression": [0.5, 0.7, 0.9], "breakout_lookback": [12, 24], "breakout": [0.001, 0.005, 0.01]}, "vol_12 <= p.compression * med_vol_12 and close >= {max_close:breakout_lookback} * (1 + p.breakout)"),
+        Signal("hyp0009", {"compression": [0.5, 0.7, 0.9], "breakout_lookback": [12, 24], "breakout": [0.001, 0.005, 0.01]}, "vol_12 <= p.compression * vol_12_med and close >= {max_close:breakout_lookback} * (1 + p.breakout)"),
         Signal("hyp0010", {"selloff": [0.005, 0.01, 0.015], "volume_multiplier": [0, 1, 1.5]}, "bar_idx >= 2 and prev_ret <= -p.selloff and ret_1 <= -p.selloff and close > open and (p.volume_multiplier = 0 or volume >= p.volume_multiplier * med_vol_24)"),
         Signal("hyp0011", {"selloff": [0.005, 0.01, 0.015], "location": [0.75, 0.85, 0.95]}, "prev_ret <= -p.selloff and close > open and location >= p.location"),
         Signal("hyp0012", {"lookback": [24, 48], "multiplier": [2, 3, 4], "location": [0.75, 0.85]}, "{range_exp:lookback} >= p.multiplier and location >= p.location"),
@@ -226,7 +226,7 @@ def _features(seg: DataFrame, signal: Signal, grid: Grid, text: str, wanted: dic
     words = set(re.findall(r"[a-z_0-9]+", text))
     if "vol_12" in words and "vol_12" not in df.columns:
         df = df.withColumn("vol_12", I.prior_realized_vol(12))
-        df = df.withColumn("med_vol_12", I.median_of_vol())
+        df = df.withColumn("vol_12_med", I.median_of_vol())  # med_vol_12 is the median volume of a lookback of 12
     own = {c: make() for c, make in _FIXED.items() if c in words}
     for column, (kind, values) in wanted.items():
         for v in values:
