@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,25 @@ def test_stacked_windows_share_one_shuffle(spark):
     assert plan.count("Window [") >= 4
     shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(symbol")
     assert shuffles(df) <= shuffles(seg) + 1
+
+
+def test_bars_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Means and sums are those of decimals, rounded once, whatever the order and the number of files."""
+    rng = random.Random(3)
+    rows = [("A", T0 + timedelta(days=d), round(rng.uniform(1e6, 9e6), 2), float(rng.randint(1, 50)), rng.choice("FO")) for d in range(20) for _ in range(300)]
+    rows += [("A", T0 + timedelta(days=20), None, 1.0, "F"), ("A", T0 + timedelta(days=20), 7.25, 2.0, "O"), ("A", T0 + timedelta(days=20), 0.25, 2.0, "O")]
+
+    def mean(prices):
+        exact = sum(map(Decimal, map(str, prices))) / len(prices)
+        return float(exact.quantize(Decimal("1e-8"), ROUND_HALF_UP))
+
+    want = {}
+    for day in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == day and r[2] is not None]
+        sides = [[r[2] for r in own if r[4] == side] or [r[2] for r in own] for side in "FO"]
+        want[day] = (*map(mean, sides), sum(r[3] for r in rows if r[1] == day))
+    for k, order in enumerate((rows, rows[::-1], sorted(rows, key=lambda r: r[2] or 0))):
+        df = spark.createDataFrame(order, "l_returnflag string, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_linestatus string")
+        df.coalesce(1 + k).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got = {r.ts: (r.open, r.close, r.volume) for r in fixtures.daily_bars(spark, f"{tmp_path}/{k}").collect()}
+        assert got == want

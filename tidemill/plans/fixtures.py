@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 _PRICES = ("open", "high", "low", "close", "volume")
 
 
-def _priced(grouped, price: str, first: Column, last: Column, volume: Column) -> DataFrame:  # noqa: ANN001
+def _exact(amount: str | Column) -> Column:
+    """An amount as a decimal: its sums are the same in any order, those of doubles aren't."""
+    return (F.col(amount) if isinstance(amount, str) else amount).cast("decimal(20,8)")
+
+
+def _priced(grouped, price: str, first: Column, last: Column, volume: str) -> DataFrame:  # noqa: ANN001
     """Order-free bars: the two sides' means as open and close, quartiles for the range."""
-    mean = F.avg(price)
+
+    def mean(side: Column) -> Column:
+        return F.try_divide(F.sum(F.when(side, _exact(price))), F.count(F.when(side, F.col(price))))
+
+    every = mean(F.lit(True))
     out = grouped.agg(
-        F.coalesce(F.avg(F.when(first, F.col(price))), mean).alias("open"),
-        F.coalesce(F.avg(F.when(last, F.col(price))), mean).alias("close"),
+        F.round(F.coalesce(mean(first), every), 8).cast("double").alias("open"),
+        F.round(F.coalesce(mean(last), every), 8).cast("double").alias("close"),
         F.expr(f"percentile({price}, 0.75)").alias("q3"),
         F.expr(f"percentile({price}, 0.25)").alias("q1"),
-        volume.alias("volume"),
+        F.sum(_exact(volume)).cast("double").alias("volume"),
     )
     out = out.withColumns({"high": F.greatest("open", "close", "q3"), "low": F.least("open", "close", "q1")})
     return out.select("symbol", "ts", *[F.round(c, 8).alias(c) for c in _PRICES])
@@ -26,14 +35,14 @@ def daily_bars(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame
     """``lineitem`` by return flag and ``unit`` of the ship date."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     grouped = df.groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-    return _priced(grouped, "l_extendedprice", F.col("l_linestatus") == "F", F.col("l_linestatus") == "O", F.sum("l_quantity"))
+    return _priced(grouped, "l_extendedprice", F.col("l_linestatus") == "F", F.col("l_linestatus") == "O", "l_quantity")
 
 
 def gap_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` by priority and day: sparse at small scale, so with many gaps."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     grouped = df.groupBy(F.col("o_orderpriority").alias("symbol"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts"))
-    return _priced(grouped, "o_totalprice", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", F.sum("o_totalprice"))
+    return _priced(grouped, "o_totalprice", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", "o_totalprice")
 
 
 def event_bars(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
@@ -41,7 +50,7 @@ def event_bars(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataF
     df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("p", F.col("value") + 1)
     symbol = F.col("event_type") if by_type else F.lit("ALL")
     out = df.groupBy(symbol.alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
-        F.min_by("p", "ts").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "ts").alias("close"), F.sum("p").alias("volume")
+        F.min_by("p", "ts").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "ts").alias("close"), F.sum(_exact("p")).cast("double").alias("volume")
     )
     return out.select("symbol", F.col("hour").alias("ts"), *[F.round(c, 8).alias(c) for c in _PRICES])
 
