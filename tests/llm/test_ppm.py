@@ -2,11 +2,14 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.llm import ppm
 from tidemill.llm.ppm import ppm_scores
 
 TEXTS = ["the cat sat on the mat", "The dog sat  on a log", "", None, "zebra über Öl", "aaaa aaaa aaaa", "the the\nthe " * 30, "q"]
@@ -72,3 +75,19 @@ def test_nothing_to_learn(spark):
     row = ppm_scores(docs, F.lit(False)).first()
     assert row.train_tokens == 0 and row.score == pytest.approx(-3 * math.log10(255), rel=1e-4)
     assert ppm_scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_counting_holds_little_more_than_its_result():
+    """Counts are those of one array, and taking in many parts needs at most three times the memory of the table that they make."""
+    parts = [np.random.default_rng(k).integers(0, 1 << 40, 100_000) for k in range(40)]
+    parts += [p[:50_000] for p in parts]
+    counter = ppm._Counter()
+    tracemalloc.start()
+    for p in parts:
+        counter.add(p)
+    keys, n = counter.merged()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, times = np.unique(np.concatenate(parts), return_counts=True)
+    assert np.array_equal(keys, want) and np.array_equal(n, times)
+    assert peak < 3 * (keys.nbytes + n.nbytes)

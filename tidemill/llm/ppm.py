@@ -20,6 +20,8 @@ _LOW = 2
 _BEFORE, _END = 0xFE, 0xFF
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
 _WORD, _GRAM, _BASE, _TOTAL = range(4)
+#: Bytes of text that are worked on at once; each takes some 60 bytes of a worker's memory meanwhile.
+_PIECE = 1 << 20
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +39,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return gram[own], offsets[:-1] + np.arange(rows)
 
 
-def _gram_parts(data: np.ndarray, offsets: np.ndarray, order: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _gram_parts(data: np.ndarray, offsets: np.ndarray, order: int, most: int = _PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``_grams`` of some rows; of a long text, which is alone, part after part, and the rows' places each time."""
     if len(data) <= 2 * most or len(offsets) != 2:
         yield _grams(data, offsets, order)
@@ -55,37 +57,49 @@ def _row_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h.view(np.int64) & ~np.int64(1), first + np.arange(len(offsets))
 
 
+def _reduced(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of ``keys``, which are in order, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, n
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    return _reduced(keys[order], n[order])
+
+
 class _Counter:
-    """Counts of integer keys, merged when many have gathered."""
+    """Counts of integer keys in tables, each at least twice as large as the next; one that isn't takes the next in."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
 
     def add(self, values: np.ndarray) -> None:
         self.parts.append(np.unique(values, return_counts=True))
-        self.held += len(self.parts[-1][0])
-        if self.held > 4_000_000 and len(self.parts) > 1:
-            self.merged()
+        while len(self.parts) > 1 and len(self.parts[-2][0]) < 2 * len(self.parts[-1][0]):
+            self._join()
+
+    def _join(self) -> None:
+        # the new keys are put in place, without sorting or copying both tables at once
+        (more, m), (keys, n) = sorted((self.parts.pop(), self.parts.pop()), key=lambda part: len(part[0]))
+        at = np.searchsorted(keys, more)
+        same = at < len(keys)
+        same[same] = keys[at[same]] == more[same]
+        n[at[same]] += m[same]
+        new = ~same
+        at, more, m = at[new], more[new], m[new]
+        keys = np.insert(keys, at, more)
+        self.parts.append((keys, np.insert(n, at, m)))
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-            self.parts = [(keys, np.bincount(place, np.concatenate([c for _, c in self.parts])).astype(np.int64))]
-        self.held = 0
+        while len(self.parts) > 1:
+            self._join()
         return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of each one's counts."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n, first)
-
-
 def _low_tables(grams: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For contexts of 0 to ``_LOW`` bytes: the contexts, and a row of 256 counts, probabilities and escapes of each.
 
@@ -188,7 +202,7 @@ def _asked(order: int, buckets: list[int], unit_bytes: int) -> Callable[[Iterato
         out = []
         for kind, counter in zip((_WORD, _GRAM), counters):
             keys, n = counter.merged()  # the last bit: of a training row
-            keys, n = _summed(keys >> 1, n * (keys & 1))
+            keys, n = _reduced(keys >> 1, n * (keys & 1))
             if kind == _GRAM:
                 own = n > 0
                 short, m = _summed(keys[own] & ((1 << 8 * (_LOW + 1)) - 1), n[own])
@@ -212,7 +226,7 @@ def _asked(order: int, buckets: list[int], unit_bytes: int) -> Callable[[Iterato
             for k in range(rows + 1):
                 full = k < rows and sizes[k] > room and room < unit_bytes
                 if full or k == rows:
-                    for a, b, data, offsets in _text.pieces(batch.column(1).slice(start, k - start)):
+                    for a, b, data, offsets in _text.pieces(batch.column(1).slice(start, k - start), _PIECE):
                         own = train[start + a : start + b]
                         h, first = _row_words(data, offsets)
                         counters[0].add(h | np.repeat(own, np.diff(first)))
@@ -257,7 +271,7 @@ def _scored(order: int, buckets: list[int], train_tokens: int, known_words: int)
     spread = math.log10(train_tokens + 0.1 * (known_words + 1))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        pieces = [p for chunk in rows["_text"].chunks for p in _text.pieces(chunk)]
+        pieces = [p for chunk in rows["_text"].chunks for p in _text.pieces(chunk, _PIECE)]
         counters = _Counter(), _Counter()
         for _, _, data, offsets in pieces:  # what the unit asked, in the same order
             counters[0].add(_row_words(data, offsets)[0] >> 1)
