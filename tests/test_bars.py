@@ -210,3 +210,25 @@ def test_bars_do_not_depend_on_the_order_of_rows(spark, tmp_path):
         df.coalesce(1 + k).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
         got = {r.ts: (r.open, r.close, r.volume) for r in fixtures.daily_bars(spark, f"{tmp_path}/{k}").collect()}
         assert got == want
+
+
+def test_bars_take_each_kind_of_row_once(spark, tmp_path):
+    """Equal rows are counted before prices meet in objects, and quartiles, means and volumes count each of them as often."""
+    rng = random.Random(4)
+    rows = [("A", T0 + timedelta(days=d), float(rng.randint(1, 9)), float(rng.randint(1, 3)), rng.choice("FO")) for d in range(3) for _ in range(400)]
+    df = spark.createDataFrame(rows, "l_returnflag string, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_linestatus string")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    bars_ = fixtures.daily_bars(spark, str(tmp_path))
+    for r in bars_.collect():
+        own = sorted(x[2] for x in rows if x[1] == r.ts)
+        at = lambda p: own[int(p)] + (own[int(p) + 1] - own[int(p)]) * (p - int(p))  # noqa: B023, E731
+        sides = [[x[2] for x in rows if x[1] == r.ts and x[4] == s] for s in "FO"]
+        first, last = (sum(s) / len(s) for s in sides)
+        assert (r.open, r.close) == (pytest.approx(first, abs=1e-8), pytest.approx(last, abs=1e-8))
+        assert (r.high, r.low) == (pytest.approx(max(first, last, at(0.75 * 399)), abs=1e-8), pytest.approx(min(first, last, at(0.25 * 399)), abs=1e-8))
+        assert r.volume == sum(x[3] for x in rows if x[1] == r.ts)
+    import re
+
+    plan = bars_._jdf.queryExecution().optimizedPlan().toString()
+    kinds = [line for line in plan.splitlines() if re.search(r"\bAggregate \[", line)]
+    assert len(kinds) == 2 and "percentile" in kinds[0] and "percentile" not in kinds[1]

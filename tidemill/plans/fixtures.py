@@ -13,19 +13,25 @@ def _exact(amount: str | Column) -> Column:
     return (F.col(amount) if isinstance(amount, str) else amount).cast("decimal(20,8)")
 
 
-def _priced(grouped, price: str, first: Column, last: Column, volume: str) -> DataFrame:  # noqa: ANN001
-    """Order-free bars: the two sides' means as open and close, quartiles for the range."""
-
-    def mean(side: Column) -> Column:
-        return F.try_divide(F.sum(F.when(side, _exact(price))), F.count(F.when(side, F.col(price))))
-
-    every = mean(F.lit(True))
-    out = grouped.agg(
-        F.round(F.coalesce(mean(first), every), 8).cast("double").alias("open"),
-        F.round(F.coalesce(mean(last), every), 8).cast("double").alias("close"),
-        F.expr(f"percentile({price}, 0.75)").alias("q3"),
-        F.expr(f"percentile({price}, 0.25)").alias("q1"),
-        F.sum(_exact(volume)).cast("double").alias("volume"),
+def _priced(df: DataFrame, symbol: str, ts: Column, price: str, status: str, volume: str) -> DataFrame:
+    """Order-free bars: the two sides' means as open and close, quartiles for the range.
+
+    Equal rows are counted first, by keys that need no objects; a bar takes each of them once, as often as it was found.
+    """
+    equal = df.groupBy(F.col(symbol).alias("symbol"), ts.cast("timestamp_ntz").alias("ts"), F.col(status).alias("side"), F.col(price).alias("price"), F.col(volume).alias("amount")).agg(F.count("*").alias("n"))
+    times = F.col("n").cast("decimal(10,0)")
+    priced = equal.withColumns({"paid": _exact("price") * times, "sold": _exact("amount") * times, "k": F.when(F.col("price").isNotNull(), F.col("n"))})
+
+    def mean(side: str | None = None) -> Column:
+        own = lambda c: F.col(c) if side is None else F.when(F.col("side") == side, F.col(c))
+        return F.try_divide(F.sum(own("paid")).cast("decimal(28,8)"), F.sum(own("k")))
+
+    out = priced.groupBy("symbol", "ts").agg(
+        F.round(F.coalesce(mean("F"), mean()), 8).cast("double").alias("open"),
+        F.round(F.coalesce(mean("O"), mean()), 8).cast("double").alias("close"),
+        F.percentile("price", F.lit(0.75), F.col("n")).alias("q3"),
+        F.percentile("price", F.lit(0.25), F.col("n")).alias("q1"),
+        F.sum("sold").cast("double").alias("volume"),
     )
     out = out.withColumns({"high": F.greatest("open", "close", "q3"), "low": F.least("open", "close", "q1")})
     return out.select("symbol", "ts", *[F.round(c, 8).alias(c) for c in _PRICES])
@@ -34,15 +40,13 @@ def _priced(grouped, price: str, first: Column, last: Column, volume: str) -> Da
 def daily_bars(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """``lineitem`` by return flag and ``unit`` of the ship date."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    grouped = df.groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
-    return _priced(grouped, "l_extendedprice", F.col("l_linestatus") == "F", F.col("l_linestatus") == "O", "l_quantity")
+    return _priced(df, "l_returnflag", F.date_trunc(unit, "l_shipdate"), "l_extendedprice", "l_linestatus", "l_quantity")
 
 
 def gap_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` by priority and day: sparse at small scale, so with many gaps."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    grouped = df.groupBy(F.col("o_orderpriority").alias("symbol"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts"))
-    return _priced(grouped, "o_totalprice", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", "o_totalprice")
+    return _priced(df, "o_orderpriority", F.date_trunc("day", "o_orderdate"), "o_totalprice", "o_orderstatus", "o_totalprice")
 
 
 def event_bars(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
